@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from graphloom.llm import line_dedup, mixing, ngram_join, packing, toxicity
+from graphloom.llm import language, line_dedup, mixing, neighbours, ngram_join, packing, pii, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_quality_rules": quality.op2_quality_rules,
+    "op3_language_id": language.op3_language_id,
+    "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_pii_spans": pii.op6_pii_spans,
     "op7_toxicity_chain": toxicity.op7_toxicity_chain,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 SQL = {
