@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from graphloom.plans import ranking, structure
+
+QUERIES = {**structure.QUERIES, **ranking.QUERIES}
+SQL = {**structure.SQL, **ranking.SQL}
