@@ -81,12 +81,14 @@ def canonical_runtime_name(c: Column) -> Column:
     return F.regexp_replace(at, "(?:_[0-9]+)+$", "")
 
 
+def is_runtime_canonical(c: Column) -> Column:
+    """Whether a canonical name is a runtime function's; one pattern, so the name is evaluated once."""
+    exact = "|".join(RUNTIME_NAMES)
+    return F.coalesce(c.rlike(f"^(?:{exact})$|^(?:{'|'.join(RUNTIME_PREFIXES)})"), F.lit(False))
+
+
 def is_runtime_name(c: Column) -> Column:
-    s = canonical_runtime_name(c)
-    starts = F.lit(False)
-    for p in RUNTIME_PREFIXES:
-        starts = starts | s.startswith(p)
-    return F.coalesce(s.isin(RUNTIME_NAMES) | starts, F.lit(False))
+    return is_runtime_canonical(canonical_runtime_name(c))
 
 
 def is_system(is_library: Column, is_thunk: Column, name: Column) -> Column:

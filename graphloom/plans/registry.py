@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.plans import ranking, structure
+from graphloom.plans import dataflow, drawing, ranking, structure, texts
 
-QUERIES = {**structure.QUERIES, **ranking.QUERIES}
-SQL = {**structure.SQL, **ranking.SQL}
+_ALL = (structure, ranking, texts, dataflow, drawing)
+QUERIES = {k: f for m in _ALL for k, f in m.QUERIES.items()}
+SQL = {k: s for m in _ALL for k, s in m.SQL.items()}
