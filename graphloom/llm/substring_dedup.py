@@ -105,7 +105,7 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in B.parts(batch.column("text"), 4 * B.SLICE):
+            for lo, hi, data, off in B.parts(batch.column("text"), 2 * B.SLICE):
                 place, h, _, _ = _anchors(data, off)
                 if not len(place):
                     continue
@@ -162,8 +162,38 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     return told.groupBy("doc_id").agg(F.collect_list("codes").alias("codes"))
 
 
+def _zip(data: bytes) -> bytes:
+    """Compressed, with the length in front: texts cross the network twice and contexts once."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unzip(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _compressed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, z)``: null texts count as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = B.utf8(batch.column("text"))
+            z = [_zip(data[off[i] : off[i + 1]].tobytes()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())], ["doc_id", "z"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of slices of compressed texts."""
+    z = batch.column("z")
+    off = np.concatenate([[0], np.cumsum([int.from_bytes(x.as_buffer()[:8].to_pybytes(), "little") for x in z])]).astype(np.int64)
+    for lo, hi in B.slices(off):
+        data = np.frombuffer(b"".join(_unzip(x.as_buffer().to_pybytes()) for x in z[lo:hi]), np.uint8)
+        yield lo, hi, data, off[lo : hi + 1] - off[lo]
+
+
 def _contexts(docs: DataFrame) -> DataFrame:
-    """Suffixes at shared anchors of ``docs(doc_id, text, codes)``, packed by bucket.
+    """Suffixes at shared anchors of ``docs(doc_id, z, codes)``, packed by bucket.
 
     For each: anchor, document, place, the range of its distances from the starts
     of its strings, and the bytes from the first start to the last string's end.
@@ -174,7 +204,8 @@ def _contexts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in B.parts(batch.column("text")):
+            held: dict[int, list[tuple]] = {}
+            for lo, hi, data, off in _texts(batch):
                 place, h, first, last = _anchors(data, off)
                 own = np.searchsorted(off, place, "right") - 1
                 code = (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | (h & _LOW)
@@ -190,15 +221,15 @@ def _contexts(docs: DataFrame) -> DataFrame:
                 order = np.argsort(to, kind="stable")
                 at, to = at[order], to[order]
                 cut = np.flatnonzero(np.diff(to, prepend=-1, append=buckets))
-                rows = []
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     k = at[a:b]
                     length = last[k] - first[k] + LENGTH
                     index = np.repeat(first[k] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                    rows.append(
-                        (int(to[a]), h[k].astype("<u8").tobytes(), ids[lo:hi][own[k]].astype("<i8").tobytes(), (place[k] - off[own[k]]).astype("<i8").tobytes(), (place[k] - last[k]).astype("u1").tobytes(), (place[k] - first[k]).astype("u1").tobytes(), data[index].tobytes())
+                    held.setdefault(int(to[a]), []).append(
+                        (h[k].astype("<u8").tobytes(), ids[lo:hi][own[k]].astype("<i8").tobytes(), (place[k] - off[own[k]]).astype("<i8").tobytes(), (place[k] - last[k]).astype("u1").tobytes(), (place[k] - first[k]).astype("u1").tobytes(), data[index].tobytes())
                     )
-                yield _packed(rows, [pa.int32(), *[pa.binary()] * 6], names)
+            rows = [(k, *[_zip(b"".join(c)) for c in zip(*own, strict=True)]) for k, own in held.items()]
+            yield _packed(rows, [pa.int32(), *[pa.binary()] * 6], names)
 
     return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{n} binary" for n in names[1:]))
 
@@ -263,7 +294,7 @@ def covered(contexts: DataFrame) -> DataFrame:
     names = ["anchor", "doc", "place", "near", "far", "bytes"]
 
     def scan(key: tuple, table: pa.Table) -> pa.Table:
-        read = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
+        read = lambda c, t: np.concatenate([np.frombuffer(_unzip(x.as_buffer().to_pybytes()), t) for x in table.column(c)])
         anchor, doc, place, near, far, data = (read(c, t) for c, t in zip(names, ("<u8", "<i8", "<i8", "u1", "u1", "u1"), strict=True))
         near, far = near.astype(np.int64), far.astype(np.int64)
         hit = repeats(anchor, doc, near, far, data)
@@ -303,21 +334,21 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     docs = docs.select("doc_id", "text")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
     told = stash(shared_anchors(docs.where("doc_id is not null")), "anchors")
-    contexts = _contexts(docs.join(told, "doc_id"))
+    packed = _compressed(docs)
+    contexts = _contexts(packed.join(told, "doc_id"))
     spans = covered(contexts).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     spans = stash(spans, "spans").withColumnRenamed("doc_id", "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = B.utf8(batch.column("text"))
             rows = []
-            for i, (doc, own) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
-                text = data[off[i] : off[i + 1]].tobytes()
+            for doc, z, own in zip(batch.column("doc_id").to_pylist(), batch.column("z"), batch.column("spans").to_pylist(), strict=True):
+                text = _unzip(z.as_buffer().to_pybytes())
                 kept, n, runs = _kept(text, own) if own and text else (text, 0, 0)
                 rows.append((doc, len(text), n, runs, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
             yield _packed(rows, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names)], names)
 
-    joined = docs.join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id")
+    joined = packed.join(spans, packed["doc_id"] == spans["_id"], "left").drop("_id")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
 
 
