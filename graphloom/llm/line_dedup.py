@@ -16,28 +16,36 @@ from graphloom.plans.stash import stash
 
 #: Shorter lines are duplicates only if equal: one word is a large part of them.
 MIN_WORDS = 5
-_GAPS = r"[ \t\x0B\f\r]+"
+_GAPS = " \t\x0b\f\r"
+
+
+def _words(line: Column) -> Column:
+    return F.split(F.btrim(line, F.lit(_GAPS)), r"[ \t\x0B\f\r]+", -1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, w)``: the words of each line that has some."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    # leading and trailing gaps would give empty words
-    w = F.split(F.trim(F.regexp_replace("line", _GAPS, " ")), " ", -1)
-    return lines.select("doc_id", "line_no", w.alias("w")).where("w[0] <> ''")
+    return lines.select("doc_id", "line_no", _words(F.col("line")).alias("w")).where("w[0] <> ''")
 
 
-def _hash(kind: str, words: Column, *more: Column) -> Column:
-    return F.xxhash64(F.lit(kind), F.concat_ws(" ", words), *more)
+def _hash(kind: str, *parts: Column) -> Column:
+    """Of arrays of words their words count, one after the other: two parts of an array give the whole's hash."""
+    return F.xxhash64(F.lit(kind), *parts)
 
 
 def _halves(n: Column, w: Column) -> Column:
-    """Keys of the outer words.  Lines of m - 1 and m, or of m and m words, that are one
-    edit apart agree in their first or last (m - 2) / 2 words; each line stands for m = n and m = n + 1."""
+    """Keys of the outer words, and the places where a partner with the same key can differ.
+
+    Lines of m - 1 and m, or of m and m words, that are one edit apart agree in
+    their first or last (m - 2) / 2 words; each line stands for m = n and m = n + 1.
+    """
     out = []
     for m in (n, n + 1):
         k = F.floor((m - 2) / 2).cast("int")
-        out += [_hash("head", F.slice(w, F.lit(1), k), m), _hash("tail", F.slice(w, n - k + 1, k), m)]
+        head = F.struct(_hash("head", F.slice(w, F.lit(1), k), m).alias("half"), (k + 1).alias("lo"), n.alias("hi"))
+        tail = F.struct(_hash("tail", F.slice(w, n - k + 1, k), m).alias("half"), F.lit(1).alias("lo"), (n - k).alias("hi"))
+        out += [head, tail]
     return F.array(*out)
 
 
@@ -67,26 +75,26 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     line = stash(words.select("doc_id", "line_no", n.alias("n_words"), _hash("a", F.col("w")).alias("h1"), _hash("b", F.col("w")).alias("h2"), halves.alias("halves")), "lines")
     # an exploded row for each (line, place); the earliest stands for the class
     at = F.struct("doc_id", "line_no")
-    whole = stash(line.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max("halves").alias("halves")), "whole")
-    half = whole.where("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
+    whole = stash(line.groupBy("h1", "h2").agg(F.min(at).alias("first")), "whole")
+    half = line.where("halves is not null").select("h1", "h2", F.explode("halves").alias("x")).select("h1", "h2", "x.*")
     shared = half.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("half")
-    alike = half.join(shared, "half").select("h1", "h2").distinct().join(whole.select("h1", "h2", "first"), ["h1", "h2"])
-    places = stash(alike.select("h1", "h2", "first.*"), "alike")
+    alike = half.join(shared, "half").groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(whole, ["h1", "h2"])
+    places = stash(alike.select("h1", "h2", "lo", "hi", "first.*"), "alike")
     by_doc = places.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
     text = docs.where("text is not null").join(by_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
     wanted = text.select("doc_id", "wanted", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.array_contains("wanted", F.col("line_no")))
-    w = F.split(F.trim(F.regexp_replace("line", _GAPS, " ")), " ", -1)
+    w = _words(F.col("line"))
     wanted = wanted.select(w.alias("w"), _hash("a", w).alias("h1"), _hash("b", w).alias("h2"), F.size(w).alias("n"))
     cand = places.join(wanted, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
-    cand = stash(cand.select(at.alias("id"), "h1", "h2", "w", "n"), "candidates")
+    cand = stash(cand.select(at.alias("id"), "h1", "h2", "lo", "hi", "w", "n"), "candidates")
     # variants: the same place deleted in lines of one length (s), or a line without one word equal to another (d)
-    place = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")
-    gone = cand.select("id", "n", "w", place)
-    gone = gone.select("id", "n", "i", _without(F.col("w"), F.col("n"), F.col("i")).alias("v"))
-    s = gone.select("id", F.lit("s").alias("role"), "i", _hash("s", F.col("v"), F.col("n"), F.col("i")).alias("key"))
-    d = gone.select("id", F.lit("d").alias("role"), "i", _hash("d", F.col("v")).alias("key"))
+    gone = cand.select("id", "n", "w", F.explode(F.sequence("lo", "hi")).alias("i"))
+    i = F.col("i")
+    gone = gone.select("id", "n", "i", _hash("d", F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, F.col("n") - i)).alias("key"))
+    roles = F.array(F.struct(F.lit("s").alias("role"), _hash("s", F.col("key"), F.col("n"), i).alias("key")), F.struct(F.lit("d").alias("role"), "key"))
+    gone = gone.select("id", "i", F.explode(roles).alias("r")).select("id", "r.role", "i", "r.key")
     o = cand.select("id", F.lit("o").alias("role"), F.lit(0).alias("i"), _hash("d", F.col("w")).alias("key"))
-    variants = stash(s.unionAll(d).unionAll(o), "variants")
+    variants = stash(gone.unionAll(o), "variants")
     first = lambda role: F.min(F.when(F.col("role") == role, F.struct("id", "i")))
     met = variants.groupBy("key").agg(first("s").alias("s"), first("d").alias("d"), first("o").alias("o"), F.count("*").alias("c")).where("c > 1")
     pair = variants.join(met, "key")
