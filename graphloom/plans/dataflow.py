@@ -45,35 +45,35 @@ def alias_chain(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE f AS (SELECT DISTINCT l_partkey AS func, l_linenumber % 3 AS param, l_suppkey * 20 AS callee, CAST(l_quantity AS INT) % 3 AS arg FROM lineitem WHERE l_quantity >= 40),
+WITH RECURSIVE f AS (SELECT DISTINCT l_partkey AS func, l_linenumber % 3 AS param, l_suppkey * 20 AS callee, CAST(l_quantity AS INT) % 3 AS arg FROM lineitem),
 w(func, param, depth) AS (
-  SELECT func, param, 0 FROM f WHERE func % 100 = 0
-  UNION SELECT callee, arg, depth + 1 FROM w JOIN f USING (func, param) WHERE depth < 6)
+  SELECT func, param, 0 FROM f WHERE func = (SELECT min(func) FROM f)
+  UNION SELECT callee, arg, depth + 1 FROM w JOIN f USING (func, param) WHERE depth < 3)
 SELECT func, CAST(param AS INT) AS param, CAST(min(depth) AS INT) AS depth FROM w GROUP BY func, param
 """)
 def param_forward_chains(spark, sf_dir):
-    li = star.table(spark, sf_dir, "lineitem").where("l_quantity >= 40")
+    li = star.table(spark, sf_dir, "lineitem")
     f = li.select(F.col("l_partkey").alias("func"), (F.col("l_linenumber") % 3).alias("param"), (F.col("l_suppkey") * 20).alias("callee"), (F.col("l_quantity").cast("int") % 3).alias("arg")).distinct()
     f = stash(f, "forwards")
-    return provenance.forward_chains(f, f.where("func % 100 = 0").select("func", "param"), 6)
+    return provenance.forward_chains(f, f.join(f.agg(F.min("func").alias("func")), "func").select("func", "param"), 3)
 
 
 @query("""
-WITH a AS (SELECT l_partkey AS func, l_suppkey AS g, l_linenumber = 1 AS is_write, CASE WHEN l_linenumber = 2 THEN 'g' || l_orderkey ELSE '' END AS name, l_orderkey * 10 + l_linenumber AS seq
-           FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40),
+WITH a AS (SELECT l_partkey AS func, l_orderkey AS g, l_linenumber = 1 AS is_write, CASE WHEN l_linenumber = 2 THEN 'g' || l_suppkey ELSE '' END AS name, l_suppkey * 10 + l_linenumber AS seq
+           FROM lineitem),
 n AS (SELECT g, arg_min(name, seq) FILTER (name <> '') AS name FROM (SELECT g, seq, min(name) AS name FROM a WHERE name <> '' GROUP BY g, seq) GROUP BY g)
 SELECT DISTINCT w.func AS writer, coalesce(n.name, '') AS name, r.func AS reader
 FROM (SELECT DISTINCT func, g FROM a WHERE is_write) w JOIN (SELECT DISTINCT func, g FROM a WHERE NOT is_write) r USING (g) LEFT JOIN n USING (g) WHERE w.func <> r.func
 """)
 def global_flow(spark, sf_dir):
-    li = star.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 40")
     n = F.col("l_linenumber")
-    a = li.select(F.col("l_partkey").alias("func"), F.col("l_suppkey").alias("global"), (n == 1).alias("is_write"), F.when(n == 2, F.concat(F.lit("g"), F.col("l_orderkey"))).otherwise("").alias("name"), (F.col("l_orderkey") * 10 + n).alias("seq"))
+    li = star.table(spark, sf_dir, "lineitem")
+    a = li.select(F.col("l_partkey").alias("func"), F.col("l_orderkey").alias("global"), (n == 1).alias("is_write"), F.when(n == 2, F.concat(F.lit("g"), F.col("l_suppkey"))).otherwise("").alias("name"), (F.col("l_suppkey") * 10 + n).alias("seq"))
     return provenance.global_flow(a)
 
 
 _CFG = """o AS (SELECT user_id AS func, event_id % 5 AS block, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos,
-         (event_id * 7) % 11 AS reg, event_id % 3 <> 0 AS r, event_id % 3 <> 1 AS w FROM events WHERE event_id % 4 = 0),
+         (event_id * 7) % 11 AS reg, event_id % 3 <> 0 AS r, event_id % 3 <> 1 AS w FROM events),
 ud AS (SELECT func, block, reg, min(CASE WHEN r THEN pos END) AS fr, min(CASE WHEN w THEN pos END) AS fw FROM o GROUP BY func, block, reg),
 cfg AS (SELECT DISTINCT func, block AS src, (block * 2 + func) % 5 AS dst FROM o UNION SELECT DISTINCT func, block, (block + 1) % 5 FROM o)"""
 
@@ -88,7 +88,7 @@ live(func, block, reg) AS (
 SELECT DISTINCT func, reg FROM live JOIN ud USING (func, block, reg) WHERE fr IS NOT NULL AND (fw IS NULL OR fr <= fw)
 """)
 def liveness(spark, sf_dir):
-    e = star.table(spark, sf_dir, "events").where("event_id % 4 = 0")
+    e = star.table(spark, sf_dir, "events")
     i = F.col("event_id")
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     ops = e.select(F.col("user_id").alias("func"), (i % 5).alias("block"), pos.alias("pos"), (i * 7 % 11).alias("reg"), (i % 3 != 0).alias("is_read"), (i % 3 != 1).alias("is_written"))
@@ -101,9 +101,9 @@ def liveness(spark, sf_dir):
 @query(f"WITH {_CFG} SELECT func, string_agg(DISTINCT CAST(reg AS VARCHAR), ',' ORDER BY CAST(reg AS VARCHAR)) AS outgoing FROM ud WHERE fw IS NOT NULL GROUP BY func")
 def outgoing_registers(spark, sf_dir):
     """Registers that any block of a function defines."""
-    e = star.table(spark, sf_dir, "events").where("event_id % 4 = 0 and event_id % 3 <> 1")
+    e = star.table(spark, sf_dir, "events").withColumn("is_written", F.col("event_id") % 3 != 1)
     regs = F.array_sort(F.collect_set((F.col("event_id") * 7 % 11).cast("string")))
-    return e.groupBy(F.col("user_id").alias("func")).agg(F.array_join(regs, ",").alias("outgoing"))
+    return e.where("is_written").groupBy(F.col("user_id").alias("func")).agg(F.array_join(regs, ",").alias("outgoing"))
 
 
 _PRINT = """s AS (SELECT p_partkey AS func, p_size AS size, p_partkey % 5 AS insns, p_partkey % 3 AS blocks, len(p_name) AS shape FROM part),
@@ -134,7 +134,7 @@ def fingerprint_mismatch(spark, sf_dir):
 @query()
 def shape_hashes(spark, sf_dir):
     """Order-sensitive 64-bit folds with wrapping multiplication, which SQL of neither engine has."""
-    e = star.table(spark, sf_dir, "lineitem").where("l_quantity >= 40")
+    e = star.table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return transfer.shape_hash(e.select(F.col("l_orderkey").alias("func"), F.row_number().over(order).alias("pos"), F.col("l_partkey").alias("tag")))
 
@@ -153,16 +153,17 @@ def metadata_upsert(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {flow_sql(30)}, w(node, depth) AS (SELECT DISTINCT src, 0 FROM edge WHERE src % 50 = 0 UNION SELECT dst, depth + 1 FROM w JOIN edge ON src = node WHERE depth < 3)
+WITH RECURSIVE {flow_sql(0)}, {FUNC}, w(node, depth) AS (SELECT DISTINCT src, 0 FROM edge JOIN func ON id = src AND system UNION SELECT dst, depth + 1 FROM w JOIN edge ON src = node WHERE depth < 3)
 SELECT node AS ordinal, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node
 """)
 def type_closure(spark, sf_dir):
-    e = stash(star.links(spark, sf_dir, 30), "types")
-    return provenance.type_closure(e, e.where("src % 50 = 0").select(F.col("src").alias("ordinal")), 3)
+    e = stash(star.links(spark, sf_dir, 0), "types")
+    used = star.functions(spark, sf_dir).where("system").select(F.col("id").alias("src"))
+    return provenance.type_closure(e, e.join(used, "src").select(F.col("src").alias("ordinal")), 3)
 
 
 @query(f"""
-WITH {FUNC}, {flow_sql(30)},
+WITH {FUNC}, {flow_sql(0)},
 l AS (
   SELECT a.name || ' A:' || CASE ref % 4 WHEN 0 THEN 'L(' || b.name || ')' WHEN 1 THEN 'P(' || b.name || ')' WHEN 2 THEN 'C(0x0)' ELSE 'U()' END AS line, src * 1000000 + dst AS seq
   FROM flow JOIN func a ON a.id = src JOIN func b ON b.id = dst)
@@ -170,6 +171,6 @@ SELECT line, min(seq) AS seq FROM l GROUP BY line
 """)
 def ptn_lines(spark, sf_dir):
     f = star.functions(spark, sf_dir).select("id", "name")
-    x = star.flow(spark, sf_dir, 30).join(f.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(f.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst")
+    x = star.flow(spark, sf_dir, 0).join(f.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(f.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst")
     kind = F.element_at(F.array(F.lit("L"), F.lit("P"), F.lit("C"), F.lit("D")), (F.col("ref") % 4 + 1).cast("int"))
     return render.first_lines(x.select(F.concat(F.col("a"), F.lit(" A:"), origin_of(kind, F.col("b"))).alias("line"), (F.col("src") * 1000000 + F.col("dst")).alias("seq")))

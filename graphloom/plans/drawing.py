@@ -24,10 +24,10 @@ def query(sql: str | None = None):
     return add
 
 
-_AFFINITY = f"""{flow_sql(30)}, {FUNC},
+_AFFINITY = f"""{flow_sql(0)}, {FUNC},
 c AS (SELECT DISTINCT src, dst FROM flow WHERE ref = 0),
 few AS (SELECT src FROM c GROUP BY src HAVING count(*) <= 40),
-t AS (SELECT DISTINCT l_partkey AS node, l_orderkey AS r FROM lineitem WHERE l_quantity >= 40),
+t AS (SELECT DISTINCT l_partkey AS node, l_orderkey AS r FROM lineitem),
 d AS (SELECT r, count(*) AS df FROM t GROUP BY r HAVING count(*) >= 2 AND count(*) <= greatest(8, (SELECT count(*) FROM part) // 20)),
 f AS (SELECT id, start_, id // 1000 AS region FROM func),
 nx AS (SELECT id AS a, start_, unnest([lead(id, 1) OVER w, lead(id, 2) OVER w, lead(id, 3) OVER w, lead(id, 4) OVER w, lead(id, 5) OVER w, lead(id, 6) OVER w]) AS b FROM f WINDOW w AS (PARTITION BY region ORDER BY start_, id)),
@@ -40,11 +40,11 @@ p AS (
 
 
 def _affinity(spark, sf_dir):
-    refs = stash(star.flow(spark, sf_dir, 30), "refs")
+    refs = stash(star.flow(spark, sf_dir, 0), "refs")
     n = star.table(spark, sf_dir, "part").count()
     calls = refs.where("ref = 0")
     site = F.when(F.col("ref") == 0, 1.0).when(F.col("ref").isin(1, 6), 0.5).when(F.col("ref") == 5, 0.35)
-    touches = star.table(spark, sf_dir, "lineitem").where("l_quantity >= 40").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("resource"))
+    touches = star.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("resource"))
     f = star.functions(spark, sf_dir).select("id", "start", F.floor(F.col("id") / 1000).alias("region"))
     parts = [refs.select(F.col("src").alias("a"), F.col("dst").alias("b"), site.alias("w")).where("w is not null"), cluster.co_called(calls), cluster.shared_resources(touches, n), cluster.nearby(f)]
     out = parts[0]
@@ -59,7 +59,7 @@ def affinity_edges(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {flow_sql(20)}, {FUNC},
+WITH RECURSIVE {flow_sql(0)}, {FUNC},
 fan AS (SELECT dst AS node, count(DISTINCT src) AS callers FROM edge GROUP BY dst),
 lim AS (SELECT greatest(3, list_sort(list(callers))[1 + CAST(floor(0.98 * (count(*) - 1)) AS INT)]) AS l FROM fan),
 u AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge),
@@ -71,17 +71,17 @@ k(k, node, v) AS (
 SELECT node FROM fan JOIN k USING (node), lim WHERE k = 60 AND callers >= l AND v <= 2 UNION SELECT id FROM func WHERE system
 """)
 def utility_hubs(spark, sf_dir):
-    e = stash(star.links(spark, sf_dir, 20), "hubs")
+    e = stash(star.links(spark, sf_dir, 0), "hubs")
     system = star.functions(spark, sf_dir).where("system").select(F.col("id").alias("node"))
     return cluster.utility_hubs(stash(cluster.fan_in(e), "fans"), centrality.coreness(e), system)
 
 
 @query(f"""
-WITH {flow_sql(30)}, {FUNC}, x AS (SELECT id FROM func WHERE system UNION SELECT dst FROM flow WHERE ref IN (1, 5, 6))
+WITH {flow_sql(0)}, {FUNC}, x AS (SELECT id FROM func WHERE system UNION SELECT dst FROM flow WHERE ref IN (1, 5, 6))
 SELECT dst AS node, min(src) AS caller FROM edge GROUP BY dst HAVING count(*) = 1 AND dst NOT IN (FROM x) AND min(src) NOT IN (FROM x)
 """)
 def single_caller_groups(spark, sf_dir):
-    refs = star.flow(spark, sf_dir, 30)
+    refs = star.flow(spark, sf_dir, 0)
     out = star.functions(spark, sf_dir).where("system").select(F.col("id").alias("node")).union(refs.where(F.col("ref").isin(1, 5, 6)).select("dst"))
     return cluster.single_callers(refs, out)
 
@@ -147,20 +147,20 @@ _NAMES = "['direct_call', 'indirect_call', 'data_ref', 'immediate_ref', 'tail_ca
 
 
 @query(f"""
-WITH {flow_sql(20)}, {FUNC}, t AS (SELECT src, dst, list_sort(list(DISTINCT ref)) AS types FROM flow GROUP BY src, dst)
+WITH {flow_sql(0)}, {FUNC}, t AS (SELECT src, dst, list_sort(list(DISTINCT ref)) AS types FROM flow GROUP BY src, dst)
 SELECT src, string_agg(name || ' (0x' || upper(to_hex(start_)) || ') [' || array_to_string(list_transform(types, lambda x: {_NAMES}[x + 1]), '/') || ']', ', ' ORDER BY dst) AS refs
 FROM t JOIN func ON id = dst GROUP BY src
 """)
 def xref_summary(spark, sf_dir):
-    e = edges.dedup_types(star.flow(spark, sf_dir, 20))
+    e = edges.dedup_types(star.flow(spark, sf_dir, 0))
     return render.reference_list(e, star.functions(spark, sf_dir), "src", "dst")
 
 
 @query(f"""
-WITH {flow_sql(20)}, t AS (SELECT src, dst, list_sort(list(DISTINCT ref)) AS types FROM flow GROUP BY src, dst)
+WITH {flow_sql(0)}, t AS (SELECT src, dst, list_sort(list(DISTINCT ref)) AS types FROM flow GROUP BY src, dst)
 SELECT 'f_' || lower(to_hex(src)) || ' -> f_' || lower(to_hex(dst)) AS line, ['black', 'blue', 'darkgreen', 'gray', 'black', 'purple', 'orange'][types[1] + 1] AS colour,
   CASE WHEN list_contains(types, 1) OR list_contains(types, 5) THEN 'dashed' ELSE 'solid' END AS style, array_to_string(list_transform(types, lambda x: {_NAMES}[x + 1]), ', ') AS label
 FROM t
 """)
 def dot_rows(spark, sf_dir):
-    return render.graph_rows(edges.dedup_types(star.flow(spark, sf_dir, 20)))
+    return render.graph_rows(edges.dedup_types(star.flow(spark, sf_dir, 0)))

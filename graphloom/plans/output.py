@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 @query(f"""
-WITH {FUNC}, {flow_sql(30)},
+WITH {FUNC}, {flow_sql(0)},
 h AS (SELECT src, string_agg(DISTINCT 'arg ' || dst, '; ' ORDER BY 'arg ' || dst) AS hint FROM flow GROUP BY src)
 SELECT id, '0x' || lower(to_hex(start_)) || ': push ' || size || coalesce('  ; ' || hint, '') AS line FROM func LEFT JOIN h ON src = id
 """)
@@ -35,7 +35,7 @@ def asm_listing(spark, sf_dir):
     f = star.functions(spark, sf_dir)
     lines = f.select("id", F.concat(F.lit("0x"), notation.hex_lower(F.col("start")), F.lit(": push "), F.col("size")).alias("text"))
     lines = lines.withColumn("addr", F.conv(F.regexp_extract("text", "^0x([0-9a-f]+):", 1), 16, 10).cast("long"))
-    hints = star.links(spark, sf_dir, 30).groupBy("src").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("arg "), "dst"))), "; ").alias("hint"))
+    hints = star.links(spark, sf_dir, 0).groupBy("src").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("arg "), "dst"))), "; ").alias("hint"))
     hints = hints.select((F.lit(star.BASE) + F.col("src") * star.STEP).alias("addr"), "hint")
     return lines.join(hints, "addr", "left").select("id", F.concat("text", F.coalesce(F.concat(F.lit("  ; "), "hint"), F.lit(""))).alias("line"))
 
@@ -55,12 +55,12 @@ def code_dump(spark, sf_dir):
 
 
 @query(f"""
-WITH {flow_sql(30)}, l AS (SELECT src % 20 AS graph, src, dst FROM edge)
+WITH {flow_sql(0)}, l AS (SELECT src % 20 AS graph, src, dst FROM edge)
 SELECT graph, 'digraph {{' || chr(10) || string_agg('  f_' || lower(to_hex(src)) || ' -> f_' || lower(to_hex(dst)) || ';', chr(10) ORDER BY src, dst) || chr(10) || '}}' AS dot FROM l GROUP BY graph
 """)
 def dot_graphs(spark, sf_dir):
     """Call graphs as DOT text, one for each part of the program."""
-    e = star.links(spark, sf_dir, 30)
+    e = star.links(spark, sf_dir, 0)
     line = F.concat(F.lit("  f_"), notation.hex_lower(F.col("src")), F.lit(" -> f_"), notation.hex_lower(F.col("dst")), F.lit(";"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", line.alias("l")))), lambda x: x["l"])
     return e.groupBy((F.col("src") % 20).alias("graph")).agg(F.concat(F.lit("digraph {\n"), F.array_join(parts, "\n"), F.lit("\n}")).alias("dot"))
@@ -131,14 +131,14 @@ def expression_origins(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {flow_sql(20)}, seed AS (SELECT min(src) AS node FROM edge),
+WITH RECURSIVE {flow_sql(0)}, seed AS (SELECT min(src) AS node FROM edge),
 hop(node, depth) AS (SELECT node, 0 FROM seed UNION SELECT e.dst, depth + 1 FROM hop JOIN edge e ON e.src = hop.node WHERE depth < 4),
 d AS (SELECT node, min(depth) AS depth FROM hop GROUP BY node)
 SELECT node, row_number() OVER (ORDER BY depth, node) - 1 AS id FROM d
 """)
 def export_ids(spark, sf_dir):
     """Functions reached by direct calls, numbered in order of discovery (a bounded result of a bounded depth)."""
-    e = star.links(spark, sf_dir, 20)
+    e = star.links(spark, sf_dir, 0)
     found = traverse.layers(e, e.agg(F.min("src").alias("node")), 4)
     inside = found.withColumn("n", F.row_number().over(Window.partitionBy("depth").orderBy("node")))
     before = found.groupBy("depth").count().withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -146,31 +146,31 @@ def export_ids(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {flow_sql(30)}, {FUNC},
+WITH RECURSIVE {flow_sql(0)}, {FUNC},
 p AS (SELECT id, size % 7 <> 0 AS same FROM func),
-m(node) AS (SELECT src FROM edge JOIN p ON id = src AND same WHERE src % 50 = 0 UNION SELECT e.dst FROM m JOIN edge e ON e.src = m.node JOIN p ON p.id = e.dst AND same)
+m(node) AS (SELECT src FROM edge JOIN p ON id = src AND same WHERE src IN (SELECT id FROM func WHERE system) UNION SELECT e.dst FROM m JOIN edge e ON e.src = m.node JOIN p ON p.id = e.dst AND same)
 SELECT node FROM m
 """)
 def apply_mapping(spark, sf_dir):
     """Functions that annotations reach: call sites replayed from verified ones; a mismatch drops what hangs below."""
     f = star.functions(spark, sf_dir)
-    e = star.links(spark, sf_dir, 30)
+    e = star.links(spark, sf_dir, 0)
     good = f.where("size % 7 <> 0").select(F.col("id").alias("node"))
     verified = stash(e.join(good.withColumnRenamed("node", "dst"), "dst"), "verified")
-    seeds = e.where("src % 50 = 0").select(F.col("src").alias("node")).distinct().join(good, "node")
+    seeds = e.select(F.col("src").alias("node")).distinct().join(good, "node").join(f.where("system").select(F.col("id").alias("node")), "node")
     return traverse.layers(verified, seeds, 10_000).select("node")
 
 
 @query("""
 WITH g AS (SELECT p_partkey AS node, p_size % 12 AS cluster FROM part),
-e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 45),
+e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 w AS (SELECT a.cluster AS a, b.cluster AS b, count(*) AS w FROM e x JOIN e y ON x.l_orderkey = y.l_orderkey AND x.l_partkey <> y.l_partkey JOIN g a ON a.node = x.l_partkey JOIN g b ON b.node = y.l_partkey WHERE a.cluster <> b.cluster GROUP BY 1, 2)
 SELECT a AS cluster, b AS into_cluster FROM w QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, b) = 1
 """)
 def merge_targets(spark, sf_dir):
     """The cluster that each cluster would join: the one it is tied to most, the smaller number of equal ones."""
     g = star.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 12).alias("cluster"))
-    e = star.table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey", F.col("l_partkey").alias("node")).distinct().join(g, "node")
+    e = star.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("node")).distinct().join(g, "node")
     pair = e.select("l_orderkey", F.col("node").alias("x"), F.col("cluster").alias("a")).join(e.select("l_orderkey", F.col("node").alias("y"), F.col("cluster").alias("b")), "l_orderkey")
     w = pair.where("x <> y and a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))
@@ -193,13 +193,13 @@ def collapsed_groups(spark, sf_dir):
 
 
 @query(f"""
-WITH {flow_sql(30)}, t AS (SELECT src, dst, list_sort(list(DISTINCT ref)) AS types FROM flow GROUP BY src, dst)
+WITH {flow_sql(0)}, t AS (SELECT src, dst, list_sort(list(DISTINCT ref)) AS types FROM flow GROUP BY src, dst)
 SELECT src, dst, greatest(CASE WHEN list_contains(types, 1) OR list_contains(types, 6) THEN 0.6::DOUBLE ELSE 0 END, CASE WHEN list_contains(types, 5) THEN 0.4::DOUBLE ELSE 0 END) AS confidence,
   list_contains(types, 0) OR list_contains(types, 4) AS strong, list_contains(types, 2) OR list_contains(types, 3) AS taken FROM t
 """)
 def edge_classes(spark, sf_dir):
     """How sure an edge is, and whether it calls or takes an address."""
-    t = edges.dedup_types(star.flow(spark, sf_dir, 30))
+    t = edges.dedup_types(star.flow(spark, sf_dir, 0))
     has = lambda *k: F.arrays_overlap("types", F.array(*[F.lit(x) for x in k]))
     sure = F.greatest(F.when(has(1, 6), 0.6).otherwise(0.0), F.when(has(5), 0.4).otherwise(0.0))
     return t.select("src", "dst", sure.alias("confidence"), has(0, 4).alias("strong"), has(2, 3).alias("taken"))

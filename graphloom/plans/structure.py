@@ -62,11 +62,11 @@ def inbound_direct_tail(spark, sf_dir):
 
 
 @query(f"""
-WITH {FUNC}, p AS (SELECT DISTINCT {BASE} + {STEP} * l_partkey + l_suppkey % 80 AS addr FROM lineitem WHERE l_quantity >= 30)
+WITH {FUNC}, p AS (SELECT DISTINCT {BASE} + {STEP} * l_partkey + l_suppkey % 80 AS addr FROM lineitem)
 SELECT addr, start_ AS func_start, id AS func_id FROM p JOIN func ON start_ <= addr AND addr < end_
 """)
 def func_containing(spark, sf_dir):
-    lines = star.table(spark, sf_dir, "lineitem").where("l_quantity >= 30")
+    lines = star.table(spark, sf_dir, "lineitem")
     points = lines.select((F.lit(BASE) + F.col("l_partkey") * STEP + F.col("l_suppkey") % 80).alias("addr")).distinct()
     return edges.containing(points, star.functions(spark, sf_dir)).select("addr", "func_start", "func_id")
 
@@ -92,26 +92,25 @@ def push_ret_adjacent(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 8 AS off_ FROM lineitem WHERE l_quantity >= 48),
-s AS (SELECT DISTINCT s_suppkey * 8 AS off_, p_partkey AS func FROM supplier JOIN part ON p_partkey % 40 = s_suppkey % 40 AND p_size <= 3)
+WITH c AS (SELECT DISTINCT l_partkey AS src, (l_suppkey * 20 + l_linenumber) * 8 AS off_ FROM lineitem),
+s AS (SELECT p_partkey * 8 AS off_, p_partkey AS func FROM part UNION SELECT (p_partkey + 1) * 8, p_partkey FROM part)
 SELECT DISTINCT src, func AS dst FROM c JOIN s USING (off_) WHERE src <> func
 """)
 def virtual_dispatch(spark, sf_dir):
-    calls = star.table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 8).alias("offset"))
-    s = star.table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 40).alias("k"))
-    p = star.table(spark, sf_dir, "part").where("p_size <= 3").select(F.col("p_partkey").alias("func"), (F.col("p_partkey") % 40).alias("k"))
-    return edges.virtual_dispatch(calls, s.join(p, "k").select((F.col("s_suppkey") * 8).alias("offset"), "func"))
+    calls = star.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), ((F.col("l_suppkey") * 20 + F.col("l_linenumber")) * 8).alias("offset"))
+    p = star.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("func"))
+    return edges.virtual_dispatch(calls, p.select((F.col("func") * 8).alias("offset"), "func").union(p.select((F.col("func") + 1) * 8, "func")))
 
 
 @query("""
-WITH s AS (SELECT o_custkey % 50 AS region, (o_orderkey // 3) * 8 AS slot, min(o_custkey) AS func FROM orders WHERE o_orderkey % 7 < 5 GROUP BY 1, 2),
+WITH s AS (SELECT o_custkey % 5 AS region, (o_orderkey // 3) * 8 AS slot, min(o_custkey) AS func FROM orders GROUP BY 1, 2),
 t AS (SELECT *, slot - row_number() OVER (PARTITION BY region ORDER BY slot) * 8 AS island FROM s),
 u AS (SELECT *, count(*) OVER (PARTITION BY region, island) AS n, min(slot) OVER (PARTITION BY region, island) AS table_start FROM t)
 SELECT CAST(region AS BIGINT) AS region, table_start, slot - table_start AS offset, func FROM u WHERE n >= 3
 """)
 def vtable_runs(spark, sf_dir):
-    o = star.table(spark, sf_dir, "orders").where("o_orderkey % 7 < 5")
-    slots = o.select((F.col("o_custkey") % 50).alias("region"), (F.floor(F.col("o_orderkey") / 3) * 8).alias("slot"), F.col("o_custkey").alias("func"))
+    o = star.table(spark, sf_dir, "orders")
+    slots = o.select((F.col("o_custkey") % 5).alias("region"), (F.floor(F.col("o_orderkey") / 3) * 8).alias("slot"), F.col("o_custkey").alias("func"))
     return edges.table_runs(slots)
 
 
@@ -129,20 +128,20 @@ def jump_table_prefix(spark, sf_dir):
 def _bfs(forward: bool) -> str:
     a, b = ("src", "dst") if forward else ("dst", "src")
     return f"""
-WITH RECURSIVE {flow_sql(20)}, seed AS (SELECT min({a}) AS node FROM edge),
+WITH RECURSIVE {flow_sql(0)}, seed AS (SELECT min({a}) AS node FROM edge),
 hop(node, depth) AS (SELECT node, 0 FROM seed UNION SELECT e.{b}, depth + 1 FROM hop JOIN edge e ON e.{a} = hop.node WHERE depth < 4)
 SELECT node, CAST(min(depth) AS INT) AS depth FROM hop GROUP BY node"""
 
 
 @query(_bfs(False))
 def caller_bfs(spark, sf_dir):
-    e = star.links(spark, sf_dir, 20)
+    e = star.links(spark, sf_dir, 0)
     return traverse.layers(e, e.agg(F.min("dst").alias("node")), 4, backwards=True)
 
 
 @query(_bfs(True))
 def callee_bfs(spark, sf_dir):
-    e = star.links(spark, sf_dir, 20)
+    e = star.links(spark, sf_dir, 0)
     return traverse.layers(e, e.agg(F.min("src").alias("node")), 4)
 
 
