@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from graphloom.llm import _bytes as B
 from graphloom.plans.stash import stash
@@ -82,13 +81,44 @@ def _packed(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
-def _by_document(doc: np.ndarray, code: np.ndarray) -> list[tuple[int, bytes]]:
-    """(document, its codes) from pairs."""
-    order = np.lexsort((code, doc))
-    doc, code = doc[order], code[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-    end = np.append(first, len(doc))[1:]
-    return [(int(doc[a]), code[a:b].astype("<u8").tobytes()) for a, b in zip(first, end, strict=True)]
+_BUNDLE = "chunk int, docs binary, counts binary, items binary"
+
+
+def _bundles(doc: np.ndarray, items: np.ndarray, chunks: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Items (rows of 64-bit integers) of documents, packed by a hash of the document: one row a chunk."""
+    if not len(doc):
+        return []
+    chunk = (B.mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(chunks)).astype(np.int64)
+    order = np.lexsort((doc, chunk))
+    doc, items, chunk = doc[order], items[order], chunk[order]
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    count = np.diff(np.append(first, len(doc)))
+    edge = np.flatnonzero(np.diff(chunk[first], prepend=-1))
+    at = np.append(first, len(doc))
+    return [
+        (int(chunk[first[a]]), doc[first[a:b]].astype("<i8").tobytes(), count[a:b].astype("<u4").tobytes(), items[at[a] : at[b]].astype("<i8").tobytes())
+        for a, b in zip(edge, np.append(edge, len(first))[1:], strict=True)
+    ]
+
+
+def _bundle_table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_packed(rows, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["chunk", "docs", "counts", "items"])])
+
+
+def _by_document(bundles: DataFrame, name: str, width: int) -> DataFrame:
+    """One row for each document with all its items: ``(doc_id, <name> binary)``."""
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        read = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
+        doc = np.repeat(read("docs", "<i8"), read("counts", "<u4"))
+        items = read("items", "<i8").reshape(-1, width)
+        order = np.argsort(doc, kind="stable")
+        doc, items = doc[order], items[order]
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        data = [items[a:b].tobytes() for a, b in zip(first, np.append(first, len(doc))[1:], strict=True)]
+        return pa.table({"doc_id": pa.array(doc[first], pa.int64()), name: pa.array(data, pa.binary())})
+
+    return bundles.groupBy("chunk").applyInArrow(gather, f"doc_id long, {name} binary")
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
@@ -101,6 +131,7 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     """
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names, kinds = ["bucket", "codes", "docs", "common"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    signed = lambda code: code.astype(np.uint64).view(np.int64)[:, None]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,8 +150,8 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
                 length = np.diff(np.append(new, len(code)))
                 several = np.repeat(length > 1, length)
-                # settled here: rows for the documents themselves
-                rows = [(-1, c, np.array([d], "<i8").tobytes(), b"") for d, c in _by_document(doc[several], code[several])]
+                # settled here: answers for the documents themselves
+                rows = [(-1 - k, items, own, counts) for k, own, counts, items in _bundles(doc[several], signed(code[several]), buckets)]
                 common, code, doc = code[new[length > 1]], code[~several], doc[~several]
                 order = np.lexsort((doc, code >> np.uint64(32)))
                 code, doc = code[order], doc[order]
@@ -137,8 +168,7 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         k = key[0].as_py()
         if k < 0:
-            ids = [int(np.frombuffer(d.as_buffer(), "<i8")[0]) for d in table.column("docs")]
-            return pa.table({"doc_id": pa.array(ids, pa.int64()), "codes": table.column("codes")})
+            return pa.table({"chunk": pa.array([-1 - k] * table.num_rows, pa.int32()), "docs": table.column("docs"), "counts": table.column("common"), "items": table.column("codes")})
         code = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("codes")])
         doc = np.concatenate([np.cumsum(np.frombuffer(x.as_buffer(), "<i8")) for x in table.column("docs")])
         common = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("common")]))
@@ -152,14 +182,11 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
             ends = np.append(first[1:], len(code)) - 1
             other = (doc[first] != doc[ends])[group] | np.isin(code, common)
         full = code[other].astype(np.uint64) | np.uint64(k) << np.uint64(32)
-        rows = _by_document(doc[other], full)
-        return pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "codes": pa.array([c for _, c in rows], pa.binary())})
+        return _bundle_table(_bundles(doc[other], signed(full), buckets))
 
     sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, codes binary, docs binary, common binary")
-    # what slices have settled goes to groups of its own, spread by document
-    key = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("docs"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
-    told = sent.withColumn("bucket", key).groupBy("bucket").applyInArrow(answer, "doc_id long, codes binary")
-    return told.groupBy("doc_id").agg(F.collect_list("codes").alias("codes"))
+    told = sent.groupBy("bucket").applyInArrow(answer, _BUNDLE)
+    return _by_document(told, "codes", 1)
 
 
 def _zip(data: bytes) -> bytes:
@@ -212,7 +239,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
                 keep = np.zeros(len(place), bool)
                 edge = np.searchsorted(own, np.arange(hi - lo + 1))
                 for i, codes in enumerate(batch.column("codes")[lo:hi]):
-                    wanted = np.concatenate([np.frombuffer(c.as_buffer(), "<u8") for c in codes.values])
+                    wanted = np.frombuffer(codes.as_buffer(), "<u8")
                     keep[edge[i] : edge[i + 1]] = np.isin(code[edge[i] : edge[i + 1]], wanted)
                 at = np.flatnonzero(keep)
                 if not len(at):
@@ -290,7 +317,8 @@ def repeats(anchor: np.ndarray, doc: np.ndarray, near: np.ndarray, far: np.ndarr
 
 
 def covered(contexts: DataFrame) -> DataFrame:
-    """``(doc_id, spans)``: byte ranges (from, to) that stand in a smaller document, several rows a document."""
+    """``(doc_id, spans)``: of each document the byte ranges (from, to) that stand in a smaller one."""
+    chunks = 2 * int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["anchor", "doc", "place", "near", "far", "bytes"]
 
     def scan(key: tuple, table: pa.Table) -> pa.Table:
@@ -302,20 +330,15 @@ def covered(contexts: DataFrame) -> DataFrame:
         edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, low = np.nonzero(edge == 1)
         _, high = np.nonzero(edge == -1)
-        a, b, d = place[row] - (high - 1), place[row] - low + LENGTH, doc[row]
-        order = np.lexsort((a, d))
-        a, b, d = a[order], b[order], d[order]
-        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, int)
-        spans = np.column_stack([a, b]).astype("<i8")
-        rows = [(int(d[x]), spans[x:y].tobytes()) for x, y in zip(first, np.append(first, len(d))[1:], strict=True)]
-        return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "spans": pa.array([r[1] for r in rows], pa.binary())})
+        spans = np.column_stack([place[row] - (high - 1), place[row] - low + LENGTH])
+        return _bundle_table(_bundles(doc[row], spans, chunks))
 
-    return contexts.groupBy("bucket").applyInArrow(scan, "doc_id long, spans binary")
+    return _by_document(contexts.groupBy("bucket").applyInArrow(scan, _BUNDLE), "spans", 2)
 
 
-def _kept(data: bytes, spans: list[bytes]) -> tuple[bytes, int, int]:
+def _kept(data: bytes, spans: bytes) -> tuple[bytes, int, int]:
     """What is left of the text, bytes removed, maximal removed runs."""
-    s = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in spans])
+    s = np.frombuffer(spans, "<i8").reshape(-1, 2)
     change = np.zeros(len(data) + 1, np.int64)
     np.add.at(change, s[:, 0], 1)
     np.add.at(change, s[:, 1], -1)
@@ -336,8 +359,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     told = stash(shared_anchors(docs.where("doc_id is not null")), "anchors")
     packed = _compressed(docs)
     contexts = _contexts(packed.join(told, "doc_id"))
-    spans = covered(contexts).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    spans = stash(spans, "spans").withColumnRenamed("doc_id", "_id")
+    spans = stash(covered(contexts), "spans").withColumnRenamed("doc_id", "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
