@@ -81,7 +81,9 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     alike = half.join(shared, "half").groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(whole, ["h1", "h2"])
     places = stash(alike.select("h1", "h2", "lo", "hi", "first.*"), "alike")
     by_doc = places.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
-    text = docs.where("text is not null").join(by_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    # both sides grow with the corpus, so the join is a merge at every size, never a broadcast of what happens to be small
+    by_doc = by_doc.withColumnRenamed("doc_id", "_id").hint("merge")
+    text = docs.where("text is not null").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")))
     wanted = text.select("doc_id", "wanted", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.array_contains("wanted", F.col("line_no")))
     w = _words(F.col("line"))
     wanted = wanted.select(w.alias("w"), _hash("a", w).alias("h1"), _hash("b", w).alias("h2"), F.size(w).alias("n"))
