@@ -22,7 +22,7 @@ RUNTIME_PREFIXES = ["std::", "operator delete", "operator new", "pthread_", "dis
 #: Names of entry points.
 ENTRY_NAMES = ["main", "wmain", "winmain", "wwinmain", "dllmain", "start", "thread_start", "threadproc", "thread_proc", "start_routine"]
 #: Words that say nothing about a function.
-STOPWORDS = """the for and from with that this not into get set put has use via out off all any ida codedump std gnu cxx abi
+STOPWORDS = """the for and from with that this not into get set put has use via out off all any ida std gnu cxx abi
 cxxabi libc ptr ref val value view iter impl detail const void char int bool long auto size idx index tmp obj self args
 arg ret res begin end first last next prev true false null nullptr nullsub sub loc var fld qword""".split()
 #: Endings of source files.
