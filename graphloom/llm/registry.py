@@ -21,4 +21,5 @@ SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
     "op9_ngram_jaccard_join": ngram_join.OP9_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
 }

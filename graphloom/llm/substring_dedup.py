@@ -376,3 +376,20 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same with all strings of all documents, as hexadecimal digits.
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, len(h) // 2 AS n FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, n - 49))) AS i FROM n)),
+m AS (SELECT doc_id, i FROM w QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM m),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM r),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, g),
+e AS (SELECT doc_id, NULL AS a, 0 AS b FROM n UNION ALL SELECT doc_id, a, b FROM p),
+k AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY b, a NULLS FIRST) AS next_a FROM e)
+SELECT n.doc_id, any_value(n) AS n_bytes, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS n_removed, count(a) AS n_spans,
+       sha256(unhex(string_agg(substr(h, 2 * b + 1, 2 * (coalesce(next_a, n) - b)), '' ORDER BY b, a NULLS FIRST))) AS kept_sha256
+FROM n JOIN k ON k.doc_id = n.doc_id GROUP BY n.doc_id
+"""
