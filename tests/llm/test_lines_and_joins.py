@@ -166,8 +166,7 @@ def test_packing(docs, rows):
 
 def test_encoder_is_the_tokenizer():
     public_tokenizers = pytest.importorskip("public_tokenizers")
-    path = public_tokenizers.path(packing.VOCABULARY)
-    e = packing.Encoder(path)
+    e = packing.Encoder(public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.RANKS))
     for text in ["Don't stop", "a  b\n\n c\t", "x\x1cy", "½ ² Straße", "日本 语", "<|endoftext|> x", "  ", "'s'll", "\xa0\x85z", "", "é́"]:
         assert e.ids(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
