@@ -21,9 +21,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    group = ngram_join.jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(group, "doc_id").select(*docs.columns)
+    """One document of each group of near copies, that with the smallest id; documents without words all stay."""
+    return ngram_join.one_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,17 +53,19 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shapes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, sig1, sig2)`` of every document."""
-    names = ["doc_id", "n_shingles", "sig1", "sig2"]
+    """``(doc_id, text_hash, n_shingles, sig1, sig2)`` of every document."""
+    names = ["doc_id", "text_hash", "n_shingles", "sig1", "sig2"]
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in B.parts(batch.column("text")):
                 sets = list(_per_document(data, off))
                 n = pa.array([len(h) for h in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], n, *map(pa.array, _signatures(sets))], names)
+                own = [batch.column(c)[lo:hi] for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*own, n, *map(pa.array, _signatures(sets))], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig1 long, sig2 long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sig1 long, sig2 long")
 
 
 def _shared_counts(docs: DataFrame) -> DataFrame:
@@ -174,7 +176,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, rank: np.ndarray) -> DataFrame:
-    """``(doc_id, g)``: the first n-grams of each set, rare slots first, ties by hash."""
+    """``(node, g)``: the first n-grams of each set, rare slots first, ties by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,11 +185,11 @@ def _prefixes(sets: DataFrame, rank: np.ndarray) -> DataFrame:
                 h = np.frombuffer(h.as_buffer(), np.uint64)
                 order = np.argsort(rank[(h % np.uint64(SLOTS)).astype(np.int64)], kind="stable")
                 out.append(h[order[: len(h) - (PERCENT * len(h) + 99) // 100 + 1]])
-            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(h) for h in out])
+            ids = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), [len(h) for h in out])
             g = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(g.view(np.int64))], ["doc_id", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(g.view(np.int64))], ["node", "g"])
 
-    return sets.select("doc_id", "grams").mapInArrow(run, "doc_id long, g long")
+    return sets.select("node", "grams").mapInArrow(run, "node long, g long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -300,10 +302,55 @@ def by_key(key: str, work: Callable[[list[dict]], list[tuple]], names: list[str]
 
 
 def _join_unit(rows: list[dict]) -> list[tuple[int, int]]:
-    rows.sort(key=lambda r: r["doc_id"])
+    rows.sort(key=lambda r: r["node"])
     sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
     blocks = [r["block"] for r in rows] if len({r["block"] for r in rows}) > 1 else None
-    return [(rows[x]["doc_id"], rows[y]["doc_id"]) for x, y in trie_links(sets, blocks)]
+    return [(rows[x]["node"], rows[y]["node"]) for x, y in trie_links(sets, blocks)]
+
+
+#: The columns that tell one set from another.
+KEY = ["n_shingles", "sig1", "sig2"]
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(shaped, ends)``: every row's shape, and ``(*KEY, doc_id, text_hash, group, component_id)`` of every set that is not empty.
+
+    ``doc_id`` and ``text_hash`` name the smallest row of a set (null ids last);
+    a set is known by its first signature throughout, never by an id, which may
+    be null or stand in rows of different texts.
+    """
+    docs = docs.select("doc_id", "text")
+    shaped = stash(_shapes(docs), "shapes")
+    known = _shared_counts(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    every = shaped.where("n_shingles > 0").groupBy(*KEY).agg(F.min(row).alias("r")).select(*KEY, "r.no_id", "r.doc_id", "r.text_hash")
+    every = stash(every, "every")
+    classes = every.join(known, "sig1").where(F.col("known") * 100 >= F.col("n_shingles") * PERCENT)
+    classes = classes.select(F.col("sig1").alias("node"), "n_shingles", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    classes = stash(classes, "classes")
+    texts = docs.withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.join(classes, (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+    sets = _sets(texts.select("node", "n_shingles", "text"))
+    sets = sets.groupBy("node").agg(F.max(F.struct("n_shingles", "grams")).alias("s")).select("node", "s.*") if _repeats(shaped) else sets
+    sets = stash(sets.select("node", "n_shingles", "grams"), "sets")
+    grams = stash(_prefixes(sets, _sketch(sets)), "prefixes")
+    shared = grams.groupBy("g").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    stars = grams.join(shared.select("g", "low"), "g").where("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst"))
+    family = connected_components(stars)
+    sizes = family.join(sets.select("node", "n_shingles"), "node")
+    weight = sizes.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_NGRAMS).cast("int").alias("blocks"))
+    member = sizes.join(weight, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    units = member.drop("n_shingles").join(sets.select("node", "grams"), "node").withColumn("other", other)
+    units = units.withColumn("unit", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
+    units = units.select("unit", "block", "node", "grams").repartition("unit").sortWithinPartitions("unit")
+    links = units.mapInArrow(by_key("unit", _join_unit, ["src", "dst"], [pa.int64(), pa.int64()]), "src long, dst long")
+    found = connected_components(stash(links, "links")).select(F.col("node").alias("sig1"), F.col("component").alias("group"))
+    found = stash(found.join(every.select("sig1", "doc_id"), "sig1"), "found")
+    names = found.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    ends = every.join(found.join(names, "group").select("sig1", "group", "component_id"), "sig1", "left")
+    ends = ends.select(*KEY, "no_id", "doc_id", "text_hash", F.coalesce("group", "sig1").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return shaped, ends
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -312,7 +359,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     A text without words (null, empty) has the empty set and is linked with
     nothing; with fewer words than the n-gram length its whole sequence is one
     n-gram.  Rows with equal sets belong together; a repeated row is returned as
-    often as it stands there.  An empty table gives an empty result.
+    often as it stands there.  Rows of one id with different texts, and rows
+    without an id, are linked each by its own text; a component is named by its
+    smallest id, by null if none of its rows has one.  An empty table gives an
+    empty result.
 
     1. Equal sets (by size and two 64-bit sums of hashes) become one class.
     2. A class of which fewer than PERCENT of the n-grams stand in any other
@@ -325,41 +375,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
        family of more than ``BLOCK_NGRAMS`` n-grams is cut into blocks, and each
        pair of blocks is a unit of its own, so memory is bounded.
     """
-    docs = docs.select("doc_id", "text")
-    key = ["n_shingles", "sig1", "sig2"]
-    shaped = stash(_shapes(docs), "shapes")
-    known = _shared_counts(docs)
-    classes = shaped.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
-    classes = classes.join(known, "sig1").where(F.col("known") * 100 >= F.col("n_shingles") * PERCENT).drop("known")
-    classes = stash(classes, "classes")
-    # an id that stands in two rows with different texts: only the row whose set is the class's
-    sets = _sets(docs.join(classes, "doc_id"))
-    own = F.struct("n_shingles", "grams")
-    sets = sets.where(F.length("grams") == F.col("n_shingles") * 8).groupBy("doc_id").agg(F.max(own).alias("s")).select("doc_id", "s.*") if _repeats(shaped) else sets
-    sets = stash(sets.select("doc_id", "n_shingles", "grams"), "sets")
-    grams = stash(_prefixes(sets, _sketch(sets)), "prefixes")
-    shared = grams.groupBy("g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    stars = grams.join(shared.select("g", "low"), "g").where("doc_id <> low").select(F.col("doc_id").alias("src"), F.col("low").alias("dst"))
-    family = connected_components(stars).withColumnRenamed("node", "doc_id")
-    sizes = family.join(sets.select("doc_id", "n_shingles"), "doc_id")
-    weight = sizes.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_NGRAMS).cast("int").alias("blocks"))
-    member = sizes.join(weight, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = member.drop("n_shingles").join(sets.select("doc_id", "grams"), "doc_id").withColumn("other", other)
-    units = units.withColumn("unit", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
-    units = units.select("unit", "block", "doc_id", "grams").repartition("unit").sortWithinPartitions("unit")
-    links = units.mapInArrow(by_key("unit", _join_unit, ["src", "dst"], [pa.int64(), pa.int64()]), "src long, dst long")
-    found = connected_components(stash(links, "links")).select(F.col("node").alias("rep"), "component")
-    # the smallest document of a class stands for it, so the smallest of a component is the smallest id
-    every = shaped.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    ends = every.join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = shaped.join(ends, key, "left")
+    shaped, ends = _classes(docs)
+    out = shaped.join(ends.select(*KEY, "component_id"), KEY, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _repeats(docs: DataFrame) -> bool:
-    """Whether any id stands in two rows."""
-    return bool(docs.groupBy("doc_id").count().where("count > 1").take(1))
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group that :func:`jaccard_components` finds exactly one row.
+
+    It is the row with the smallest id (a row without an id only if no other has
+    one); of rows with that id and different texts or repeats a single one.
+    Rows whose set is empty are in no group, and all of them stay.
+    """
+    shaped, ends = _classes(docs)
+    row = F.struct("no_id", "doc_id", "text_hash")
+    first = ends.groupBy("group").agg(F.min(row).alias("r")).select("r.doc_id", "r.text_hash", F.lit(True).alias("one"))
+    empty = shaped.where("n_shingles = 0").select("doc_id", "text_hash", F.lit(False).alias("one")).distinct()
+    stay = first.unionByName(empty).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("one").alias("_one"))
+    kept = docs.join(stay, F.xxhash64(docs["text"]).eqNullSafe(F.col("_hash")) & docs["doc_id"].eqNullSafe(F.col("_id")))
+    if not _repeats(shaped):
+        return kept.select(*docs.columns)
+    every = F.struct(*docs.columns)
+    single = kept.where("_one").groupBy("_id", "_hash").agg(F.min_by(every, F.xxhash64(*docs.columns)).alias("_row"))
+    return single.select("_row.*").unionByName(kept.where("not _one").select(*docs.columns))
+
+
+def _repeats(shaped: DataFrame) -> bool:
+    """Whether any id stands in two rows of the same text."""
+    return bool(shaped.groupBy("doc_id", "text_hash").count().where("count > 1").take(1))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

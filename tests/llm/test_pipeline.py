@@ -149,3 +149,28 @@ def test_pipeline(spark, tmp_path):
     for own in places.values():
         own.sort()
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= packing.CAPACITY
+
+
+def test_one_row_of_each_group(spark):
+    words = lambda k, n=40: [f"w{k}x{i}" for i in range(n)]
+    near = lambda k: " ".join(words(k)[:-1] + ["other"])
+    text = lambda k: " ".join(words(k))
+    rows = [
+        (None, text(0)), (None, text(1)), (None, near(1)),  # no ids: one alone, two near copies
+        (None, text(2)), (5, near(2)),  # the one with an id stays
+        (6, text(3)), (6, text(3)), (8, near(3)),  # the smallest id is repeated
+        (10, text(4)), (11, text(5)), (11, near(4)), (12, near(5)),  # id 11: one text of its own, one near copy of 10
+        (13, text(6)), (13, near(6)),  # near copies of each other under one id
+        (None, None), (None, ""), (14, " "), (14, " "), (15, None),  # empty sets all stay
+    ]
+    df = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], SCHEMA).repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert got.columns == df.columns
+    order = lambda x: sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+    got = order((r["doc_id"], r["text"]) for r in got.collect())
+    groups = [rows[:1], rows[1:3], rows[4:5], rows[5:6], rows[8:9], [rows[9]], rows[12:14]]
+    kept = [r for r in got if (r[1] or "").strip()]
+    assert len(kept) == len(groups) and all(sum(r in g for r in kept) == 1 for g in groups)
+    assert [r for r in got if not (r[1] or "").strip()] == order(rows[14:])
+    both = sorted((r["doc_id"], r["component_id"]) for r in corpus_pipeline.ngram_join.jaccard_components(df).where("doc_id in (10, 11, 12)").collect())
+    assert both == [(10, 10), (11, 10), (11, 11), (12, 11)]
