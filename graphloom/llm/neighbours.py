@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.stash import stash
 
-#: Neighbours of a node, directions to start from, rows compared with each other there, rounds at most, and the share of changed edges to stop at.
-K, DIRECTIONS, CHUNK, ROUNDS, SETTLED = 12, 3, 256, 5, 0.02
-#: Greedy search: nodes remembered and nodes opened a round for each query, rounds at most, entry points besides a query's own node.
-BEAM, OPENED, SEARCH_ROUNDS, ENTRIES = 48, 8, 8, 16
+#: Neighbours of a node, directions to start from, rows compared with each other there, the share of changed edges to stop at, and rounds after which it counts as failed.
+K, DIRECTIONS, CHUNK, SETTLED, ROUNDS = 12, 3, 256, 0.02, 60
+#: Greedy search: nodes remembered and nodes opened a round for each query, entry points besides a query's own node, rounds after which it counts as failed.
+BEAM, OPENED, ENTRIES, SEARCH_ROUNDS = 48, 8, 16, 500
 #: A node with more neighbours than this pointing to it introduces them in parts.
 PART = 128
 
@@ -136,7 +136,8 @@ def build_graph(nodes: DataFrame, k: int = K) -> DataFrame:
     arrive meet the nodes that one points to; pairs of two edges that were both
     there before are left out.  A node that very many point to does this in parts
     of ``PART``, each with the nodes it points to itself, so the work is linear
-    in the number of edges whatever their ends.
+    in the number of edges whatever their ends.  Rounds go on until at most
+    ``SETTLED`` of the edges change.
     """
     edges = stash(_nearest(_start(nodes, k).withColumn("fresh", F.lit(True)), k), "knn")
     total = nodes.count() * k
@@ -155,6 +156,8 @@ def build_graph(nodes: DataFrame, k: int = K) -> DataFrame:
         edges = stash(_nearest(edges.withColumn("fresh", F.lit(False)).unionByName(met.withColumn("fresh", F.lit(True))), k), "knn")
         if edges.where("fresh").count() <= SETTLED * total:
             break
+    else:
+        raise RuntimeError(f"the neighbour graph did not settle in {ROUNDS} rounds")
     return edges.select("u", "v", "d")
 
 
@@ -193,6 +196,8 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, own: DataFram
         state = stash(kept(opened.unionByName(measured(found).withColumn("open", F.lit(False)))), "beam")
         if not state.where("not open").take(1):
             break
+    else:
+        raise RuntimeError(f"the search still had unopened nodes after {SEARCH_ROUNDS} rounds")
     return state.select("query_id", "node", "d")
 
 

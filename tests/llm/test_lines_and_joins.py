@@ -208,3 +208,25 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 10 * len(got)
     assert neighbours.nearest_neighbours(df.where("false"), df["vec_id"] % 10 == 0).count() == 0
     assert neighbours.nearest_neighbours(df.where("vec_id < 4"), df["vec_id"] == 0).count() == 3
+
+
+def test_search_goes_on_to_the_end(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "node long, v array<float>").cache()
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(29)], "u long, v long, d float")
+    queries = spark.createDataFrame([(0, [0.0, 1.0]), (1, [29.0, 1.0])], "query_id long, q array<float>")
+    monkeypatch.setattr(neighbours, "ENTRIES", 1)
+    # one of the two ends is 15 steps or more from the only entry
+    best = {r["query_id"]: r["node"] for r in neighbours.search(nodes, chain, queries).where("d = 0").collect()}
+    assert best == {0: 0, 1: 29}
+    monkeypatch.setattr(neighbours, "SEARCH_ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        neighbours.search(nodes, chain, queries)
+
+
+def test_build_goes_on_until_settled(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(600, 6))
+    nodes = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, v array<float>").cache()
+    monkeypatch.setattr(neighbours, "CHUNK", 16)
+    monkeypatch.setattr(neighbours, "ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        neighbours.build_graph(nodes)
