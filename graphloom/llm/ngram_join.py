@@ -2,10 +2,10 @@
 
 Documents become sets of word n-grams, globally ordered from rare to common.
 Two sets that are similar enough share an n-gram among the first few of each
-(their prefixes), so documents are first gathered into families that share
-prefix n-grams; inside a family the sets are stored in a trie and joined by one
-traversal for each set, in which sets with a common beginning share the work and
-subtrees are cut as soon as what remains cannot reach the required overlap.
+(their prefixes).  Sets that share one meet in units named by the smallest of
+them; in a unit the sets are stored in a trie and joined by one traversal for
+each set, in which sets with a common beginning share the work and subtrees are
+cut as soon as what remains cannot reach the required overlap.
 
 Rows of equal sets are one class throughout: thousands of copies cost one set.
 """
@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,12 @@ N, PERCENT = 5, 80
 #: Counters of the frequency sketch: its size is fixed, whatever the corpus.
 SLOTS = 1 << 19
 CHUNK = 1 << 13
-#: A family with more n-grams than this is joined block by block.
-BLOCK_NGRAMS = 1_000_000
+#: Prefix n-grams that a task holds before it sends them.
+HELD = 2_000_000
+#: A list of more sets than this is dealt by sizes.
+LONG = 256
+#: A unit with more n-grams than this is joined block by block.
+BLOCK_NGRAMS = 4_000_000
 
 
 def _per_document(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
@@ -68,88 +73,10 @@ def _shapes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sig1 long, sig2 long")
 
 
-def _shared_counts(docs: DataFrame) -> DataFrame:
-    """``(sig1, known)``: of each set at least the n-grams that another set has too; never fewer.
+def _sketch(docs: DataFrame) -> np.ndarray:
+    """How many of the texts have an n-gram of each slot: a table of fixed size.
 
-    Each slice of documents sends the n-grams that only one of its sets has to a
-    bucket of hashes, packed with that set's signature; one that several of its
-    sets have is counted at once and sent a single time, so an n-gram of a third
-    of all documents is sent once a slice.  Buckets answer with counts.
-    """
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["bucket", "grams", "owner", "held", "common"]
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, off in B.parts(batch.column("text"), 4 * B.SLICE):
-                sets = [h for h in _per_document(data, off) if len(h)]
-                if not sets:
-                    continue
-                sig, first = np.unique(_signatures(sets)[0], return_index=True)
-                sets = [sets[i] for i in first]
-                g = np.concatenate(sets)
-                own = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
-                order = np.argsort(g)
-                g, own = g[order], own[order]
-                new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                many = np.diff(np.append(new, len(g))) > 1
-                several = np.repeat(many, np.diff(np.append(new, len(g))))
-                local = np.bincount(own[several], minlength=len(sets))
-                rows = [(-1, b"", sig.tobytes(), local.astype("<u4").tobytes(), b"")]
-                common = g[new[many]]
-                at = (common >> np.uint64(40)) % np.uint64(buckets)
-                g, own = g[~several], own[~several]
-                to = (g >> np.uint64(40)) % np.uint64(buckets)
-                order = np.lexsort((own, to))
-                g, own, to = g[order].astype("<u4"), own[order], to[order]
-                cut = np.searchsorted(to, np.arange(buckets + 1))
-                for k in range(buckets):
-                    mine = own[cut[k] : cut[k + 1]]
-                    start = np.flatnonzero(np.diff(mine, prepend=-1))
-                    held = np.diff(np.append(start, len(mine))).astype("<u4")
-                    rows.append((k, g[cut[k] : cut[k + 1]].tobytes(), sig[mine[start]].tobytes(), held.tobytes(), common[at == k].astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names)
-
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
-        parts = {c: [np.frombuffer(x.as_buffer(), t) for x in table.column(c)] for c, t in zip(names[1:], ("<u4", "<i8", "<u4", "<u4"), strict=True)}
-        g, common = np.concatenate(parts["grams"]), np.unique(np.concatenate(parts["common"]))
-        own = np.repeat(np.concatenate(parts["owner"]), np.concatenate(parts["held"]))
-        order = np.lexsort((own, g))
-        g, own = g[order], own[order]
-        fresh = np.ones(len(g), bool)
-        fresh[1:] = (g[1:] != g[:-1]) | (own[1:] != own[:-1])
-        g, own = g[fresh], own[fresh]
-        same = g[1:] == g[:-1]
-        shared = np.isin(g, common)
-        shared[1:] |= same
-        shared[:-1] |= same
-        sig, n = np.unique(own[shared], return_counts=True)
-        return pa.table({"sig1": pa.array(sig, pa.int64()), "far": pa.array(n, pa.int64()), "near": pa.array(np.zeros(len(n), np.int64))})
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sig, n in zip(batch.column("owner"), batch.column("held"), strict=True):
-                sig, n = np.frombuffer(sig.as_buffer(), "<i8"), np.frombuffer(n.as_buffer(), "<u4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.zeros(len(n), np.int64)), pa.array(n)], ["sig1", "far", "near"])
-
-    sent = docs.mapInArrow(send, "bucket int, grams binary, owner binary, held binary, common binary")
-    # rows of bucket -1 hold what a slice knows by itself; they are few and spread over as many groups
-    key = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("owner"), F.lit(buckets))).otherwise(F.col("bucket"))
-
-    def either(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() >= 0:
-            return answer(key, table)
-        out = list(unpack(iter(table.to_batches())))
-        return pa.Table.from_batches(out)
-
-    told = sent.withColumn("bucket", key.cast("int")).groupBy("bucket").applyInArrow(either, "sig1 long, far long, near long")
-    return told.groupBy("sig1").agg((F.sum("far") + F.max("near")).alias("known"))
-
-
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """How many of the sets have an n-gram of each slot: a table of fixed size.
-
-    Each task adds up its own sets and hands over one row for each chunk of the
+    Each task adds up its own texts and hands over one row for each chunk of the
     table, so neither the shuffle nor what the driver holds grows with the
     number of documents.
     """
@@ -157,8 +84,9 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for h in batch.column("grams"):
-                total += np.bincount((np.frombuffer(h.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            for _, _, data, off in B.parts(batch.column("text")):
+                h = np.concatenate(list(_per_document(data, off)))
+                total += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         rows = [total[i : i + CHUNK].astype("<u4").tobytes() for i in range(0, SLOTS, CHUNK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows)], ["chunk", "n"])
 
@@ -168,42 +96,157 @@ def _sketch(sets: DataFrame) -> np.ndarray:
             total += np.frombuffer(n.as_buffer(), "<u4")
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": [total.astype("<i8").tobytes()]})
 
-    parts = sets.select("grams").mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary")
+    parts = docs.select("text").mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary")
     total = np.zeros(SLOTS, np.int64)
     for r in parts.collect():  # SLOTS counters
         total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["n"], "<i8")
     return np.minimum(total // max(1, int(total.max()) >> 16), (1 << 16) - 1).astype(np.uint16)
 
 
-def _prefixes(sets: DataFrame, rank: np.ndarray) -> DataFrame:
-    """``(node, g)``: the first n-grams of each set, rare slots first, ties by hash."""
+def _prefix(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The n-grams of a sorted set that a similar one must share one of: rare slots first, ties by hash."""
+    order = np.argsort(rank[(h % np.uint64(SLOTS)).astype(np.int64)], kind="stable")
+    return h[order[: len(h) - (PERCENT * len(h) + 99) // 100 + 1]]
+
+
+def _prefixes(docs: DataFrame, rank: np.ndarray, buckets: int) -> DataFrame:
+    """The prefixes of all texts, dealt by a hash of the n-gram and packed: one row for each task and bucket.
+
+    ``grams`` and ``places`` (in the prefix) stand set after set; ``owner``,
+    ``size`` and ``held`` tell each set's signature, its n-grams and how many of
+    them the bucket gets.  Equal sets are sent once a task.
+    """
+    names = ["bucket", "grams", "places", "owner", "size", "held"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[int, int, np.ndarray]] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            length = [len(p) for _, _, p in held]
+            g = np.concatenate([p for _, _, p in held])
+            own = np.repeat(np.arange(len(held)), length)
+            place = np.concatenate([np.arange(n, dtype="<u4") for n in length])
+            sig, size = np.array([s for s, _, _ in held], "<i8"), np.array([n for _, n, _ in held], "<u4")
+            to = (g >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(to, kind="stable")
+            g, own, place, to = g[order].astype("<u4"), own[order], place[order], to[order]
+            cut = np.searchsorted(to, np.arange(buckets + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(cut)):
+                at = slice(cut[k], cut[k + 1])
+                start = np.flatnonzero(np.diff(own[at], prepend=-1))
+                who = own[at][start]
+                count = np.diff(np.append(start, cut[k + 1] - cut[k])).astype("<u4")
+                rows.append((k, *[x.tobytes() for x in (g[at], place[at], sig[who], size[who], count)]))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names)
+
         for batch in batches:
-            out = []
-            for h in batch.column("grams"):
-                h = np.frombuffer(h.as_buffer(), np.uint64)
-                order = np.argsort(rank[(h % np.uint64(SLOTS)).astype(np.int64)], kind="stable")
-                out.append(h[order[: len(h) - (PERCENT * len(h) + 99) // 100 + 1]])
-            ids = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), [len(h) for h in out])
-            g = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(g.view(np.int64))], ["node", "g"])
+            for _, _, data, off in B.parts(batch.column("text")):
+                sets = [h for h in _per_document(data, off) if len(h)]
+                for h, sig in zip(sets, _signatures(sets)[0].tolist(), strict=True):
+                    if sig not in seen:
+                        seen.add(sig)
+                        held.append((sig, len(h), _prefix(h, rank)))
+                        total += len(held[-1][2])
+                if total > HELD:
+                    yield flush()
+                    held, total = [], 0
+        if held:
+            yield flush()
 
-    return sets.select("node", "grams").mapInArrow(run, "node long, g long")
+    return docs.select("text").mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in names[1:]))
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """Adds the n-gram set as sorted 64-bit integers in ``grams``, drops the text."""
-    rest = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*rest).schema.add("grams", "binary")
+def _possible(n: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """For each member of a list sorted by size: whether another one's size is in its reach, and the other way round.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, off in B.parts(batch.column("text")):
-                sets = pa.array([h.tobytes() for h in _per_document(data, off)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:hi] for c in rest], sets], [*rest, "grams"])
+    ``reach``: the largest set that can be similar if this n-gram is the first
+    common one, given how many n-grams come after it.
+    """
+    if len(n) == 2:
+        return np.full(2, n[1] <= reach[0] and n[0] <= reach[1])
+    end = np.searchsorted(n, reach, "right")  # all before are small enough; one of them must reach up to n
+    best = np.maximum.accumulate(reach)
+    upto = np.where(end > 0, best[np.maximum(end, 1) - 1], -1)
+    # the largest reach may be the member's own: then the second largest decides
+    second = np.full(len(n), -1)
+    for i in range(1, len(n)):
+        second[i] = max(second[i - 1], min(reach[i], best[i - 1]))
+    own = (np.arange(len(n)) < end) & (reach == upto)
+    upto = np.where(own, np.where(end > 0, second[np.maximum(end, 1) - 1], -1), upto)
+    return upto >= n
+
+
+def _meetings(own: np.ndarray, n: np.ndarray, gram: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of lists of a shared n-gram: ``(centre, member, size)``, distinct.
+
+    A list is sorted by size and cut where no two sets across the cut can be
+    similar; members that none of the others can be similar to go.  Long lists
+    are dealt into windows of two neighbouring classes of sizes, in one of which
+    any two similar sets meet.  The centre is the smallest signature.
+    """
+    none = np.zeros(0, np.int64)
+    order = np.lexsort((place, own, n, gram))
+    own, n, gram, place = own[order], n[order], gram[order], place[order]
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])
+    own, n, gram, place = own[fresh], n[fresh], gram[fresh], place[fresh]
+
+    def lists(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(new)
+        return first, np.diff(np.append(first, len(new)))
+
+    def starts() -> np.ndarray:
+        new = np.ones(len(own), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (n[:-1] * 100 < n[1:] * PERCENT)
+        return new
+
+    first, count = lists(starts())
+    several = np.repeat(count > 1, count)
+    own, n, gram, place = own[several], n[several], gram[several], place[several]
+    if not len(own):
+        return none, none, none
+    reach = (n - place) * (100 + PERCENT) // PERCENT - n
+    keep = np.zeros(len(own), bool)
+    for a, c in zip(*map(np.ndarray.tolist, lists(starts())), strict=True):
+        keep[a : a + c] = _possible(n[a : a + c], reach[a : a + c])
+    own, n, gram, place = own[keep], n[keep], gram[keep], place[keep]
+    if not len(own):
+        return none, none, none
+    new = starts()
+    first, count = lists(new)
+    number = np.repeat(np.arange(len(first)), count)
+    long = np.repeat(count > LONG, count)
+    size_class = np.where(long, np.floor(np.log(n) / np.log(100 / (PERCENT - 1))).astype(np.int64), 0)
+    at = np.concatenate([np.arange(len(own)), np.flatnonzero(long)])
+    window = np.concatenate([size_class, size_class[long] - 1])
+    order = np.lexsort((window, number[at]))
+    at, window = at[order], window[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (number[at][1:] != number[at][:-1]) | (window[1:] != window[:-1])
+    first, count = lists(new)
+    own, n = own[at], n[at]
+    centre = np.repeat(np.minimum.reduceat(own, first), count)
+    met = np.repeat(count > 1, count)
+    pair, where = np.unique(np.stack([centre[met], own[met]], 1), axis=0, return_index=True)
+    return pair[:, 0], pair[:, 1], n[met][where]
+
+
+def _units(docs: DataFrame, rank: np.ndarray) -> DataFrame:
+    """``(centre, node, n)``: sets that share a prefix n-gram are together in at least one centre's unit."""
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        read = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
+        held = read("held", "<u4")
+        own, n = np.repeat(read("owner", "<i8"), held), np.repeat(read("size", "<u4").astype(np.int64), held)
+        found = _meetings(own, n, read("grams", "<u4"), read("places", "<u4").astype(np.int64))
+        return pa.table(dict(zip(("centre", "node", "n"), map(pa.array, found), strict=True)))
 
-    return docs.mapInArrow(run, schema)
+    met = _prefixes(docs, rank, buckets).groupBy("bucket").applyInArrow(meet, "centre long, node long, n long")
+    return met.groupBy("centre", "node").agg(F.max("n").alias("n"))
 
 
 class _Forest:
@@ -219,64 +262,109 @@ class _Forest:
 
 
 class _Trie:
-    """A prefix tree whose nodes hold runs of n-grams (chains without branches are one node)."""
-
-    def __init__(self, sets: list[list[int]], members: list[int], depth: int = 0):
-        """``sets[i]`` for i in ``members`` agree in their first ``depth`` n-grams."""
-        first = sets[members[0]]
-        end = min(len(sets[i]) for i in members)
-        stop = depth
-        while stop < end and all(sets[i][stop] == first[stop] for i in members):
-            stop += 1
-        self.run = frozenset(first[depth:stop])
-        self.members = members
-        self.least = end  # n-grams of the shortest set below
-        self.rest = max(len(sets[i]) for i in members) - stop  # n-grams below this node at most
-        self.leaves = [i for i in members if len(sets[i]) == stop]
-        branches: dict[int, list[int]] = {}
-        for i in members:
-            if len(sets[i]) > stop:
-                branches.setdefault(sets[i][stop], []).append(i)
-        self.children = [_Trie(sets, own, stop) for own in branches.values()]
-
-
-def trie_links(sets: list[np.ndarray], blocks: list[int] | None = None) -> list[tuple[int, int]]:
+    """A prefix tree over different sets that are sorted as sequences.
+
+    Its nodes are ranges of sets, found from the common prefixes of neighbours
+    with a stack, so its depth is not bounded by recursion; a chain without
+    branches is one node, whose n-grams are a view of its first set.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        size = [len(s) for s in sets]
+        common = np.zeros(len(sets), np.int64)
+        for i in range(1, len(sets)):
+            m = min(size[i - 1], size[i])
+            differ = np.flatnonzero(sets[i - 1][:m] != sets[i][:m])
+            common[i] = differ[0] if len(differ) else m
+        sizes = np.array(size)
+        self.low: list[int] = []
+        self.high: list[int] = []
+        self.run: list[np.ndarray] = []
+        self.least: list[int] = []  # n-grams of the shortest set below
+        self.rest: list[int] = []  # n-grams below this node at most
+        self.leaves: list[int] = []  # the sets low..low + leaves - 1 end here
+        self.children: list[list[int]] = []
+        todo = [(0, len(sets), 0, -1)]
+        while todo:
+            low, high, depth, parent = todo.pop()
+            if parent >= 0:
+                self.children[parent].append(len(self.low))
+            stop = int(common[low + 1 : high].min()) if high - low > 1 else size[low]
+            stop = min(stop, size[low])
+            leaf = low
+            while leaf < high and size[leaf] == stop:
+                leaf += 1
+            self.low.append(low)
+            self.high.append(high)
+            self.run.append(sets[low][depth:stop])
+            self.least.append(int(sizes[low:high].min()))
+            self.rest.append(int(sizes[low:high].max()) - stop)
+            self.leaves.append(leaf - low)
+            self.children.append([])
+            if leaf < high:
+                cut = [leaf, *(np.flatnonzero(common[leaf + 1 : high] == stop) + leaf + 1).tolist(), high]
+                todo += [(a, b, stop, len(self.low) - 1) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+#: Traversals after which a trie's ranges are looked at anew for those that are one component.
+REFRESH = 64
+
+
+def trie_links(sets: list[np.ndarray], labels: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (pairs of positions) whose components are those of all pairs similar enough.
 
     Sets are inserted common n-grams first, so that similar sets share long
-    paths.  Each set then walks the trie with its overlap so far; a subtree is
-    left if even all of its remaining n-grams, or of the walker's, are too few
-    for 100 |x & y| >= PERCENT |x | y|, or if all its sets are in the walker's
-    component already.  ``blocks``: if given, only pairs of different blocks.
+    paths.  Each set then walks the trie of those before it with its overlap so
+    far; a subtree is left if even all of its remaining n-grams, or of the
+    walker's, are too few for 100 |x & y| >= PERCENT |x | y|, or if all its sets
+    are in the walker's component already.  ``labels``: if given, sets of the
+    same label are in one component from the start.
     """
-    every, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0), np.zeros(0))
+    links: list[tuple[int, int]] = []
+    if len(sets) < 2:
+        return links
+    every, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.empty(len(every), np.int64)
     place[np.lexsort((every, -counts))] = np.arange(len(every))
-    ordered = [np.sort(place[np.searchsorted(every, s)]).tolist() for s in sets]
-    alone = int((counts > 1).sum())  # from this place on, n-grams of one set only
-    forest, links = _Forest(len(sets)), []
-    if not sets:
-        return links
-    trie = _Trie(ordered, list(range(len(sets))))
+    ordered = [np.sort(x) for x in np.split(place[inverse.reshape(-1)], np.cumsum([len(s) for s in sets])[:-1])]
+    turn = sorted(range(len(sets)), key=lambda i: ordered[i].astype(">u4").tobytes())
+    ordered = [ordered[i] for i in turn]
+    several = int((counts > 1).sum())  # from this place on, n-grams of one set only
+    forest = _Forest(len(sets))
+    if labels is not None:
+        first: dict[int, int] = {}
+        for x, i in enumerate(turn):
+            forest.up[x] = first.setdefault(labels[i], x)
+    trie = _Trie(ordered)
+    mask = np.zeros(len(every), bool)
+    roots, changes, stale = [], np.zeros(0), True
     for x, own in enumerate(ordered):
-        mine, size = frozenset(own), len(own)
-        if (size - sum(1 for g in own if g >= alone)) * 100 < PERCENT * size:
+        size = len(own)
+        if np.searchsorted(own, several) * 100 < PERCENT * size:
             continue
-        stack = [(trie, 0, size)]
+        if stale and x % REFRESH == 0 or not len(roots):
+            roots = [forest.root(i) for i in range(len(sets))]
+            changes, stale = np.cumsum(np.diff(roots, prepend=roots[0]) != 0).tolist(), False
+        mask[own] = True
+        me = forest.root(x)
+        stack = [(0, 0, size)]
         while stack:
             node, overlap, left = stack.pop()
-            shared = len(node.run & mine) if len(node.run) else 0
+            low, high = trie.low[node], min(trie.high[node], x)
+            if low >= x or changes[low] == changes[high - 1] and forest.root(low) == me:
+                continue
+            shared = int(np.count_nonzero(mask[trie.run[node]]))
             overlap, left = overlap + shared, left - shared
             # |x & y| >= PERCENT (|x| + |y|) / (100 + PERCENT)
-            if (overlap + min(left, node.rest)) * (100 + PERCENT) < PERCENT * (size + node.least):
+            if (overlap + min(left, trie.rest[node])) * (100 + PERCENT) < PERCENT * (size + trie.least[node]):
                 continue
-            for y in node.leaves:
-                if y < x and (blocks is None or blocks[x] != blocks[y]) and overlap * (100 + PERCENT) >= PERCENT * (size + len(ordered[y])):
-                    a, b = forest.root(x), forest.root(y)
-                    if a != b:
-                        forest.up[a] = b
-                        links.append((x, y))
-            stack += [(c, overlap, left) for c in node.children if c.members[0] < x and (len(c.members) > 1 or forest.root(c.members[0]) != forest.root(x))]
+            for y in range(low, min(low + trie.leaves[node], x)):
+                if overlap * (100 + PERCENT) >= PERCENT * (size + len(ordered[y])) and forest.root(y) != me:
+                    forest.up[forest.root(y)] = me
+                    links.append((turn[x], turn[y]))
+                    stale = True
+            stack += [(c, overlap, left) for c in trie.children[node]]
+        mask[own] = False
     return links
 
 
@@ -290,11 +378,12 @@ def by_key(key: str, work: Callable[[list[dict]], list[tuple]], names: list[str]
 
         held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0][key] != row[key]:
-                    yield out(held)
-                    held = []
-                held.append(row)
+            for i in range(0, batch.num_rows, 256):
+                for row in batch.slice(i, 256).to_pylist():
+                    if held and held[0][key] != row[key]:
+                        yield out(held)
+                        held = []
+                    held.append(row)
         if held:
             yield out(held)
 
@@ -302,10 +391,62 @@ def by_key(key: str, work: Callable[[list[dict]], list[tuple]], names: list[str]
 
 
 def _join_unit(rows: list[dict]) -> list[tuple[int, int]]:
-    rows.sort(key=lambda r: r["node"])
-    sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
-    blocks = [r["block"] for r in rows] if len({r["block"] for r in rows}) > 1 else None
-    return [(rows[x]["node"], rows[y]["node"]) for x, y in trie_links(sets, blocks)]
+    rows = list({r["node"]: r for r in rows}.values())
+    labels = [r["label"] for r in rows] if rows[0]["label"] is not None else None
+    return [(rows[x]["node"], rows[y]["node"]) for x, y in trie_links([np.frombuffer(r["grams"], np.uint64) for r in rows], labels)]
+
+
+def _joined(docs: DataFrame, members: DataFrame, every: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` inside the units of ``members(unit, node, label)``; texts are found by their rows in ``every``."""
+    wanted = members.groupBy("node").agg(F.collect_list(F.struct("unit", "label")).alias("units"))
+    wanted = wanted.join(every.select(F.col("sig1").alias("node"), F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")), "node")
+    texts = docs.withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.join(wanted, (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("node", "units", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in B.parts(batch.column("text")):
+                units = batch.column("units")[lo:hi]
+                grams = [h.tobytes() for h in _per_document(data, off)]
+                at = np.repeat(np.arange(hi - lo), pc.list_value_length(units))
+                flat = units.flatten()
+                columns = [flat.field(0), flat.field(1), batch.column("node")[lo:hi].take(pa.array(at)), pa.array([grams[i] for i in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["unit", "label", "node", "grams"])
+
+    rows = texts.mapInArrow(sets, "unit long, label long, node long, grams binary")
+    rows = rows.repartition("unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(by_key("unit", _join_unit, ["src", "dst"], [pa.int64(), pa.int64()]), "src long, dst long")
+
+
+def _links(docs: DataFrame, units: DataFrame, every: DataFrame) -> DataFrame:
+    """Links inside the units ``(centre, node, n)`` (a stashed table).
+
+    A unit of more than ``BLOCK_NGRAMS`` n-grams is cut into blocks, its centre
+    standing in each, and first the blocks are joined by themselves.  Sets that
+    are in the centre's component by then need not meet each other again; the
+    others meet all sets of the unit, block by block.
+    """
+    weight = units.groupBy("centre").agg(F.ceil(F.sum("n") / BLOCK_NGRAMS).cast("int").alias("blocks")).where("blocks > 1")
+    weight = stash(weight, "large")
+    own = units.join(weight, "centre", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    block = F.explode(F.when(F.col("node") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(mine))
+    first = own.withColumn("block", block).select(F.xxhash64("centre", "block").alias("unit"), "node", F.lit(None).cast("long").alias("label"))
+    links = stash(_joined(docs, first, every), "links")
+    if not weight.take(1):
+        return links
+    label = connected_components(links).withColumnRenamed("component", "label")
+    named = units.join(weight.drop("blocks"), "centre").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    centre = label.select(F.col("node").alias("centre"), F.col("label").alias("of_centre"))
+    named = named.join(centre, "centre", "left").withColumn("rest", F.col("label") != F.coalesce("of_centre", "centre"))
+    named = stash(named.select("centre", "node", "n", "label", "rest"), "rest")
+    cuts = named.groupBy("centre").agg(F.ceil(F.sum("n") / BLOCK_NGRAMS).cast("int").alias("all"), F.ceil(F.sum(F.when(F.col("rest"), F.col("n"))) / BLOCK_NGRAMS).cast("int").alias("others"))
+    named = named.join(cuts.where("others > 0"), "centre")
+    spread = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    whole = named.withColumn("a", spread(1, "all")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    rest = named.where("rest").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).withColumn("b", spread(2, "others"))
+    again = whole.unionByName(rest).select(F.xxhash64("centre", "a", "b").alias("unit"), "node", "label").distinct()
+    return links.unionAll(stash(_joined(docs, stash(again, "again"), every), "links"))
 
 
 #: The columns that tell one set from another.
@@ -321,31 +462,12 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     docs = docs.select("doc_id", "text")
     shaped = stash(_shapes(docs), "shapes")
-    known = _shared_counts(docs)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     every = shaped.where("n_shingles > 0").groupBy(*KEY).agg(F.min(row).alias("r")).select(*KEY, "r.no_id", "r.doc_id", "r.text_hash")
     every = stash(every, "every")
-    classes = every.join(known, "sig1").where(F.col("known") * 100 >= F.col("n_shingles") * PERCENT)
-    classes = classes.select(F.col("sig1").alias("node"), "n_shingles", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
-    classes = stash(classes, "classes")
-    texts = docs.withColumn("text_hash", F.xxhash64("text"))
-    texts = texts.join(classes, (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
-    sets = _sets(texts.select("node", "n_shingles", "text"))
-    sets = sets.groupBy("node").agg(F.max(F.struct("n_shingles", "grams")).alias("s")).select("node", "s.*") if _repeats(shaped) else sets
-    sets = stash(sets.select("node", "n_shingles", "grams"), "sets")
-    grams = stash(_prefixes(sets, _sketch(sets)), "prefixes")
-    shared = grams.groupBy("g").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    stars = grams.join(shared.select("g", "low"), "g").where("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst"))
-    family = connected_components(stars)
-    sizes = family.join(sets.select("node", "n_shingles"), "node")
-    weight = sizes.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_NGRAMS).cast("int").alias("blocks"))
-    member = sizes.join(weight, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = member.drop("n_shingles").join(sets.select("node", "grams"), "node").withColumn("other", other)
-    units = units.withColumn("unit", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
-    units = units.select("unit", "block", "node", "grams").repartition("unit").sortWithinPartitions("unit")
-    links = units.mapInArrow(by_key("unit", _join_unit, ["src", "dst"], [pa.int64(), pa.int64()]), "src long, dst long")
-    found = connected_components(stash(links, "links")).select(F.col("node").alias("sig1"), F.col("component").alias("group"))
+    units = stash(_units(docs, _sketch(docs)), "units")
+    links = _links(docs, units, every)
+    found = connected_components(links).select(F.col("node").alias("sig1"), F.col("component").alias("group"))
     found = stash(found.join(every.select("sig1", "doc_id"), "sig1"), "found")
     names = found.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     ends = every.join(found.join(names, "group").select("sig1", "group", "component_id"), "sig1", "left")
@@ -365,15 +487,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     empty result.
 
     1. Equal sets (by size and two 64-bit sums of hashes) become one class.
-    2. A class of which fewer than PERCENT of the n-grams stand in any other
-       class has no links; the rest, and only they, are looked at further.
-    3. A sketch of fixed size counts their n-grams: the global order.
-    4. Classes that share a prefix n-gram form families: each prefix n-gram
-       links its classes with the smallest of them (a map-side minimum and a
-       join, no pairs), and components of these stars are the families.
-    5. The sets of families with two or more classes are joined by tries; a
-       family of more than ``BLOCK_NGRAMS`` n-grams is cut into blocks, and each
-       pair of blocks is a unit of its own, so memory is bounded.
+    2. A sketch of fixed size counts the n-grams of all texts: the global order.
+    3. Each task sends the prefixes of its sets to buckets of n-grams.  In the
+       list of an n-gram only those sets stay that another one can be similar
+       to by sizes and by the n-grams left after it; the list goes into the unit
+       of its smallest set, so near copies, which share most of their prefixes,
+       meet in one unit and not once for each n-gram.
+    4. Each unit is joined by a trie; units beyond ``BLOCK_NGRAMS`` n-grams are
+       cut into blocks (see :func:`_links`), so memory is bounded.
     """
     shaped, ends = _classes(docs)
     out = shaped.join(ends.select(*KEY, "component_id"), KEY, "left")

@@ -84,28 +84,66 @@ def test_jaccard_components(docs, rows):
     assert got == {d: (len(sets[d]), find(d)) for d in ids}
 
 
+def components(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        if x != y:
+            root = [min(x, y) if v in (x, y) else v for v in root]
+    return root
+
+
 @pytest.mark.parametrize("seed", range(8))
-def test_trie_links(seed):
+def test_trie_links(seed, monkeypatch):
     r = np.random.default_rng(seed)
     base = r.integers(0, 500, 40)
     sets = [np.unique(np.concatenate([np.delete(base, r.integers(0, 40, r.integers(0, 7))), r.integers(500, 900, r.integers(0, 5))])).astype(np.uint64) for _ in range(40)]
-    blocks = r.integers(0, 2, 40).tolist() if seed % 2 else None
-
-    def components(pairs):
-        root = list(range(40))
-        for a, b in pairs:
-            x, y = root[a], root[b]
-            root = [min(x, y) if v in (x, y) else v for v in root]
-        return root
-
-    alike = [(a, b) for a in range(40) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) and (blocks is None or blocks[a] != blocks[b])]
-    assert components(ngram_join.trie_links(sets, blocks)) == components(alike)
-
-
-def test_family_in_blocks(docs, monkeypatch):
-    whole = sorted(tuple(r) for r in ngram_join.jaccard_components(docs).collect())
-    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", 30)
-    assert sorted(tuple(r) for r in ngram_join.jaccard_components(docs).collect()) == whole
+    labels = r.integers(0, 30, 40).tolist() if seed % 2 else None
+    monkeypatch.setattr(ngram_join, "REFRESH", 4)
+    alike = [(a, b) for a in range(40) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    known = [(a, b) for a in range(40) for b in range(a) if labels and labels[a] == labels[b]]
+    got = ngram_join.trie_links(sets, labels)
+    assert set(map(tuple, map(sorted, got))) <= set(map(tuple, map(sorted, alike)))
+    assert components(40, got + known) == components(40, alike + known)
+
+
+def test_trie_of_nested_sets():
+    sets = [np.arange(10, 11 + n, dtype=np.uint64) for n in range(3000)]
+    assert components(3000, ngram_join.trie_links(sets)) == [0, 1, 2, *[3] * 2997]
+
+
+@pytest.mark.parametrize("long", [1, 256])
+def test_lists_keep_every_possible_pair(long, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    r = np.random.default_rng(long)
+    own, n = np.arange(300) * 7 % 301, r.integers(5, 60, 300)
+    gram, place = r.integers(0, 12, 300), r.integers(0, 6, 300)
+    met = {}
+    for c, m, _ in zip(*ngram_join._meetings(own, n, gram, place)):
+        met.setdefault(int(c), set()).add(int(m))
+    together = {(x, y) for s in met.values() for x in s for y in s}
+    for i in range(300):
+        for j in range(i):
+            most = min(n[i] - place[i], n[j] - place[j], n[i], n[j])
+            if gram[i] == gram[j] and most * 180 >= 80 * (n[i] + n[j]):
+                assert (own[i], own[j]) in together
+
+
+@pytest.mark.parametrize("block", [30, 400])
+def test_unit_in_blocks(spark, docs, monkeypatch, block):
+    r = np.random.default_rng(0)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for i in r.integers(0, 60, r.integers(0, 3)):
+            t[i] = f"x{r.integers(0, 50)}"
+        texts.append(" ".join(t))
+    hot = spark.createDataFrame([(1000 + i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).unionByName(docs).cache()
+    whole = sorted(tuple(r) for r in ngram_join.jaccard_components(hot).collect())
+    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", block)
+    monkeypatch.setattr(ngram_join, "LONG", 4)
+    assert sorted(tuple(r) for r in ngram_join.jaccard_components(hot).collect()) == whole
 
 
 def test_substrings(docs, rows):
