@@ -22,13 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     The result has no lineage beyond the files, so it survives lost executors
-    and is computed once however often it is read.
+    and is computed once however often it is read.  ``instead_of``: the stashed
+    table of the round before, whose files go once the new ones are written; no
+    other table that is still to be computed may read it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of.stashed_at)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
