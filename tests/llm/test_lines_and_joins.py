@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import line_dedup, mixing, neighbours, ngram_join, packing, substring_dedup
 
@@ -245,13 +246,16 @@ def test_neighbours(spark):
         hit += len({v for _, v, _ in found} & set(right))
     assert hit >= 0.9 * 10 * len(got)
     assert neighbours.nearest_neighbours(df.where("false"), df["vec_id"] % 10 == 0).count() == 0
+    # other lengths are searched among themselves; of a repeated id the smallest vector counts; a null id takes no part
+    more = spark.createDataFrame([(10, [2.0, 0.0]), (11, [2.0, 1.0]), (12, [5.0, 0.0]), (12, [9.0, 0.0]), (13, [1.0] * 3), (None, [2.0, 0.0])], "vec_id long, embedding array<float>").withColumn("node", F.lit("x"))
+    assert sorted(tuple(r) for r in neighbours.nearest_neighbours(more, more["vec_id"] % 10 == 0).collect()) == [(10, 1, 11, 1.0), (10, 2, 12, 3.0)]
     assert neighbours.nearest_neighbours(df.where("vec_id < 4"), df["vec_id"] == 0).count() == 3
 
 
 def test_search_goes_on_to_the_end(spark, monkeypatch):
-    nodes = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "node long, v array<float>").cache()
+    nodes = neighbours.packed(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "node long, v array<float>")).cache()
     chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(29)], "u long, v long, d float")
-    queries = spark.createDataFrame([(0, [0.0, 1.0]), (1, [29.0, 1.0])], "query_id long, q array<float>")
+    queries = nodes.where("node in (0, 29)").selectExpr("node div 29 as query_id", "z as q")
     monkeypatch.setattr(neighbours, "ENTRIES", 1)
     # one of the two ends is 15 steps or more from the only entry
     best = {r["query_id"]: r["node"] for r in neighbours.search(nodes, chain, queries).where("d = 0").collect()}
@@ -263,7 +267,7 @@ def test_search_goes_on_to_the_end(spark, monkeypatch):
 
 def test_build_goes_on_until_settled(spark, monkeypatch):
     x = np.random.default_rng(5).normal(size=(600, 6))
-    nodes = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, v array<float>").cache()
+    nodes = neighbours.packed(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, v array<float>")).cache()
     monkeypatch.setattr(neighbours, "CHUNK", 16)
     monkeypatch.setattr(neighbours, "ROUNDS", 1)
     with pytest.raises(RuntimeError):
