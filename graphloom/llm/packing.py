@@ -15,6 +15,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,8 +119,9 @@ def reduce_and_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
     is fixed if k fills r exactly, if no two others fit together, or if at most
     two others fit and no pair sums to more than k.  In each case every other
     feasible company of j could change places with k, so some optimum has that
-    set.  Fixed sets leave the instance and the rules apply to what remains.
-    The remainder is packed best-fit, longest first; equal lengths move as one
+    set.  Fixed sets leave the instance and the rules apply to what remains; a
+    set is fixed as often as its lengths are there, so there are at most two
+    steps for each length.  The remainder is packed best-fit, longest first; equal lengths move as one
     run, so the work depends on the capacity, not on the number of documents.
     """
     left = {w: n for w, n in counts.items() if n > 0}
@@ -145,7 +147,7 @@ def reduce_and_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
         r = capacity - j
         low = smallest(3, j)
         if not low or low[0] > r:
-            plans.append((n := (left[j] if j * 2 > capacity else 1), [(j, 1)]))
+            plans.append((n := left[j], [(j, 1)]))
             take(j, n)
             continue
         k = lengths[bisect_left(lengths, r + 1) - 1]
@@ -158,8 +160,8 @@ def reduce_and_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
         if not sure:
             j -= 1
             continue
-        # one at a time unless the set is full: the other rules look at what remains
-        n = (left[j] // 2 if k == j else min(left[j], left[k])) if k == r else 1
+        # what is left only gets less, so the rule holds until one of the two lengths is used up
+        n = left[j] // 2 if k == j else min(left[j], left[k])
         plans.append((n, [(j, 2)] if k == j else [(j, 1), (k, 1)]))
         take(j, n)
         take(k, n)
@@ -235,12 +237,17 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             used[w] += many * q
             offset += w * q
         sequence += many
-    runs = spark.createDataFrame(runs, "length long, _from long, _to long, _each long, _first long, _at long")
+    # a length's ranks are cut into as many steps as it has runs, so a piece meets the few runs of its step
+    many = Counter(run[0] for run in runs)
+    wide = {w: -(-n // many[w]) for w, n in counts.items()}
+    runs = [(*run, step) for run in runs for step in range(run[1] // wide[run[0]], (run[2] - 1) // wide[run[0]] + 1)]
+    # their number depends on the capacity alone
+    runs = spark.createDataFrame(runs, "length long, _from long, _to long, _each long, _first long, _at long, _step long")
+    base = base.join(F.broadcast(spark.createDataFrame(list(wide.items()), "length long, _wide long")), "length")
     order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
     b = b.withColumn("_rank", F.row_number().over(order) - 1).join(base, ["length", "_bucket"])
-    b = b.withColumn("_rank", F.col("_rank") + F.col("_base"))
-    # the plan has a few rows a length: their number depends on the capacity alone
-    b = b.join(F.broadcast(runs), (b["length"] == runs["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(runs["length"])
+    b = b.withColumn("_rank", F.col("_rank") + F.col("_base")).withColumn("_step", F.floor(F.col("_rank") / F.col("_wide")))
+    b = b.join(F.broadcast(runs), ["length", "_step"]).where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     nth = F.col("_rank") - F.col("_from")
     sequence_id = F.col("_first") + F.floor(nth / F.col("_each"))
     offset = F.col("_at") + nth % F.col("_each") * F.col("length")
