@@ -56,24 +56,22 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.least(cap, F.coalesce(share, cap)).alias("target"))
 
 
-def mix(sized: DataFrame) -> DataFrame:
-    """Decide how often each document is taken.
+def _place(doc_id: Column) -> Column:
+    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, sum(LEVELS))
 
-    ``sized``: ``(doc_id, source, size)`` with any other columns.  Adds
-    ``source_size``, ``target`` and ``copies`` (0, 1 or 2).  A source whose
-    target is at least its size is taken whole and the rest of the target a
-    second time.  Of the two sums around the target the nearer one is taken.
-    Documents with the same id share their fate.  A null id is hashed like an
-    empty one; sources may be null; an empty table gives an empty result.  The
-    outcome depends on ids, sources and sizes only, so reruns agree.
+
+def thresholds(sized: DataFrame) -> DataFrame:
+    """``(source, source_size, target, full, edge, near)``: how far each source's budget reaches, one row a source.
+
+    ``sized``: ``(doc_id, source, size)``.  ``full``: whether the source is taken
+    whole before its rest; ``edge``: the place at which the rest is reached (null
+    if it never is), ``near``: whether the documents at that very place are taken.
     """
-    digits = sum(LEVELS)
-    place = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, digits)
-    d = sized.withColumn("_place", place).withColumn("_no", F.col("source").isNull()).withColumn("_src", F.coalesce("source", F.lit("")))
+    d = sized.select(_place(F.col("doc_id")).alias("_place"), F.col("source").isNull().alias("_no"), F.coalesce("source", F.lit("")).alias("_src"), "source", "size")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = source_targets(sizes).withColumn("_full", (F.col("target") >= F.col("source_size")).cast("int"))
-    t = t.withColumn("_rest", F.col("target") - F.col("_full") * F.col("source_size"))
-    t = stash(t.select(F.col("source").isNull().alias("_no"), F.coalesce("source", F.lit("")).alias("_src"), "source_size", "target", "_full", "_rest"), "targets")
+    t = source_targets(sizes).withColumn("full", (F.col("target") >= F.col("source_size")).cast("int"))
+    t = t.withColumn("_rest", F.col("target") - F.col("full") * F.col("source_size"))
+    t = stash(t.select(F.col("source").isNull().alias("_no"), F.coalesce("source", F.lit("")).alias("_src"), "source", "source_size", "target", "full", "_rest"), "targets")
     edge = t.select("_no", "_src", "_rest", F.lit("").alias("_prefix"), F.lit(0).cast("long").alias("_below"))
     seen = 0
     for n in LEVELS:
@@ -89,21 +87,45 @@ def mix(sized: DataFrame) -> DataFrame:
         last, edge = edge, edge.drop("_upto")
         seen += n
     near = F.col("_upto") - F.col("_rest") < F.col("_rest") - F.col("_below")
-    last = last.select("_no", "_src", F.col("_prefix").alias("_edge"), near.alias("_near"))
-    t = t.join(last, ["_no", "_src"], "left")
-    out = d.join(t, ["_no", "_src"])
+    last = last.select("_no", "_src", F.col("_prefix").alias("edge"), near.alias("near"))
+    return t.join(last, ["_no", "_src"], "left").select("source", "source_size", "target", "full", "edge", "near")
+
+
+def _taken(rows: DataFrame, t: DataFrame) -> DataFrame:
+    """``(row, t, copies)`` of ``rows(row)``, whole input rows, whose names can therefore not clash with others."""
+    t = t.select(F.struct("source_size", "target", "full", "edge", "near").alias("t"), F.col("source").alias("of"))
+    place = _place(F.col("row.doc_id"))
     # no edge: the budget is not below the sum of all places
-    extra = F.col("_edge").isNull() | (F.col("_place") < F.col("_edge")) | ((F.col("_place") == F.col("_edge")) & F.col("_near"))
-    out = out.withColumn("copies", F.col("_full") + extra.cast("int"))
-    return out.drop("_no", "_src", "_place", "_full", "_rest", "_edge", "_near")
+    extra = F.col("t.edge").isNull() | (place < F.col("t.edge")) | ((place == F.col("t.edge")) & F.col("t.near"))
+    return rows.join(t, F.col("row.source").eqNullSafe(F.col("of"))).select("row", "t", (F.col("t.full") + extra.cast("int")).alias("copies"))
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def mix(sized: DataFrame) -> DataFrame:
+    """Decide how often each document is taken.
+
+    ``sized``: ``(doc_id, source, size)`` with any other columns.  Adds
+    ``source_size``, ``target`` and ``copies`` (0, 1 or 2), in place of input
+    columns of these names.  A source whose target is at least its size is taken
+    whole and the rest of the target a second time.  Of the two sums around the
+    target the nearer one is taken.  Rows of one source with the same id share
+    their fate; in another source the same id has its own.  A null id is hashed
+    like an empty one; sources may be null; an empty table gives an empty
+    result.  The outcome depends on ids, sources and sizes only, so reruns agree.
+    """
+    new = ["source_size", "target", "copies"]
+    out = _taken(_whole(sized), thresholds(sized.select("doc_id", "source", "size")))
+    return out.select(*[F.col(f"row.`{c}`") for c in sized.columns if c not in new], "t.source_size", "t.target", "copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
+    """The mix itself: each row of ``docs`` as often as it is taken (see :func:`mix`), with the columns of ``docs``."""
     key = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    d = mix(stash(key, "sizes")).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    out = docs.join(d.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    out = _taken(_whole(docs), thresholds(stash(key, "sizes"))).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
