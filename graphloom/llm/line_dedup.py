@@ -9,7 +9,7 @@ earliest line (by document, then place) is kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.stash import stash
@@ -23,10 +23,27 @@ def _words(line: Column) -> Column:
     return F.split(F.btrim(line, F.lit(_GAPS)), r"[ \t\x0B\f\r]+", -1)
 
 
+#: What tells one row from another: its id, its text, and its number among rows that share both.
+ROW = ["doc_id", "text_key", "copy"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``(*ROW, text, row)``: ``row`` holds the other columns of the input, so that no name of them can clash.
+
+    Where all ids are different (one narrow aggregation tells) the other two are zero.
+    """
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    if not docs.groupBy("doc_id").count().where("count > 1").take(1):
+        return whole.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).alias("copy"), "text", "row")
+    whole = whole.withColumn("text_key", F.xxhash64("text"))
+    same = Window.partitionBy("doc_id", "text_key").orderBy(F.xxhash64(F.col("row").cast("string")))
+    return whole.withColumn("copy", F.row_number().over(same) - 1).select(*ROW, "text", "row")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, w)``: the words of each line that has some."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", _words(F.col("line")).alias("w")).where("w[0] <> ''")
+    """``(*ROW, line_no, w)``: the words of each line that has some."""
+    lines = docs.select(*ROW, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.select(*ROW, "line_no", _words(F.col("line")).alias("w")).where("w[0] <> ''")
 
 
 def _hash(kind: str, *parts: Column) -> Column:
@@ -58,9 +75,11 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
 
     ``kept`` is false if an earlier line is equal or one edit away; ``first_*``
     names one such line (the earliest equal one, or else the earliest found one
-    edit away), null for kept lines.  Lines without words have no row.  Null
-    texts have no lines; rows with a null id or the same id are lines of that
-    same document.  An empty table gives an empty result.
+    edit away), null for kept lines.  One edit is allowed from ``MIN_WORDS``
+    words on, none below.  Lines without words have no row.  Null texts have no
+    lines.  Each row is a document of its own, also among rows that share an id
+    or have none: they stand in the order of a hash of their texts, equal ones
+    after each other.  An empty table gives an empty result.
 
     Equal lines are one class by a 128-bit hash, so a line repeated in a third
     of all documents is a single row from the first aggregation on.  Before
@@ -69,22 +88,26 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     same deleted place are within one edit of each other, so each meets only the
     earliest of its key, never all others.
     """
+    return _verdicts(_keyed(docs)).drop("text_key", "copy")
+
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """:func:`line_verdicts` of keyed rows, with their keys."""
     words = _lines(docs)
     n = F.size("w")
     halves = F.when(n >= MIN_WORDS, _halves(n, F.col("w")))
-    line = stash(words.select("doc_id", "line_no", n.alias("n_words"), _hash("a", F.col("w")).alias("h1"), _hash("b", F.col("w")).alias("h2"), halves.alias("halves")), "lines")
+    line = stash(words.select(*ROW, "line_no", n.alias("n_words"), _hash("a", F.col("w")).alias("h1"), _hash("b", F.col("w")).alias("h2"), halves.alias("halves")), "lines")
     # an exploded row for each (line, place); the earliest stands for the class
-    at = F.struct("doc_id", "line_no")
+    at = F.struct(*ROW, "line_no")
     whole = stash(line.groupBy("h1", "h2").agg(F.min(at).alias("first")), "whole")
     half = line.where("halves is not null").select("h1", "h2", F.explode("halves").alias("x")).select("h1", "h2", "x.*")
     shared = half.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("half")
     alike = half.join(shared, "half").groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(whole, ["h1", "h2"])
     places = stash(alike.select("h1", "h2", "lo", "hi", "first.*"), "alike")
-    by_doc = places.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
+    by_doc = places.groupBy(*ROW).agg(F.collect_set("line_no").alias("wanted"))
     # both sides grow with the corpus, so the join is a merge at every size, never a broadcast of what happens to be small
-    by_doc = by_doc.withColumnRenamed("doc_id", "_id").hint("merge")
-    text = docs.where("text is not null").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")))
-    wanted = text.select("doc_id", "wanted", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.array_contains("wanted", F.col("line_no")))
+    text = _meet(docs.where("text is not null").select(*ROW, "text"), by_doc.hint("merge"))
+    wanted = text.select("wanted", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.array_contains("wanted", F.col("line_no")))
     w = _words(F.col("line"))
     wanted = wanted.select(w.alias("w"), _hash("a", w).alias("h1"), _hash("b", w).alias("h2"), F.size(w).alias("n"))
     cand = places.join(wanted, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
@@ -110,28 +133,35 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     right = F.when(F.col("j") > 0, _without(F.col("x"), F.col("m"), F.col("j"))).otherwise(F.col("x"))
     near = pair.where(left == right).groupBy("h1", "h2").agg(F.min("to").alias("near"))
     known = whole.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    out = line.select("doc_id", "line_no", "n_words", "h1", "h2").join(known, ["h1", "h2"])
+    out = line.select(*ROW, "line_no", "n_words", "h1", "h2").join(known, ["h1", "h2"])
     same = F.when(F.col("first").eqNullSafe(at), F.col("near")).otherwise(F.col("first"))
     out = out.withColumn("by", same)
-    return out.select("doc_id", "line_no", "n_words", F.col("by").isNull().alias("kept"), F.col("by.doc_id").alias("first_doc"), F.col("by.line_no").alias("first_line"))
+    return out.select(*ROW, "line_no", "n_words", F.col("by").isNull().alias("kept"), F.col("by.doc_id").alias("first_doc"), F.col("by.line_no").alias("first_line"))
+
+
+def _meet(docs: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the key of rows, null ids included."""
+    other = other.withColumnRenamed("doc_id", "other_id")
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (docs["text_key"] == other["text_key"]) & (docs["copy"] == other["copy"])
+    return docs.join(other, same, how).drop("other_id", other["text_key"], other["copy"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Documents without their duplicate lines, with the columns of ``docs``.
 
     Lines without words stay.  A document that loses every line that had words
-    goes; one without words from the start (null or empty text) stays as it is.
-    ``n_chars``, if there, follows the new text.
+    goes, so of repeated rows one stays; one without words from the start (null
+    or empty text) stays as it is.  ``n_chars``, if there, follows the new text.
     """
-    verdicts = stash(line_verdicts(docs), "verdicts")
-    lost = verdicts.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_lost"), F.bool_or("kept").alias("_some"))
-    lost = lost.where("size(_lost) > 0").withColumnRenamed("doc_id", "_id")
-    d = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left").where(F.coalesce("_some", F.lit(True)))
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_lost", i))
-    d = d.withColumn("text", F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    keyed = _keyed(docs)
+    verdicts = stash(_verdicts(keyed), "verdicts")
+    lost = verdicts.groupBy(*ROW).agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("lost"), F.bool_or("kept").alias("some"))
+    d = _meet(keyed, lost.where("size(lost) > 0"), "left").where(F.coalesce("some", F.lit(True)))
+    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("lost", i))
+    new = {"text": F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_lost").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("lost").isNull(), F.col("row.n_chars")).otherwise(F.length(new["text"])).cast(docs.schema["n_chars"].dataType)
+    return d.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
