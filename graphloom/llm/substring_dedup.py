@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.llm import _bytes as B
 from graphloom.plans.stash import stash
@@ -122,7 +123,7 @@ def _by_document(bundles: DataFrame, name: str, width: int) -> DataFrame:
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
-    """``(doc_id, codes)``: anchors of each document that stand in another document too.
+    """``(doc_id, codes)``: anchors of each document that stand in another document too (``doc_id``: any key of rows).
 
     A slice of documents sends each anchor that only one of its documents has to
     a bucket, packed; one that several have is settled in the slice and sent a
@@ -199,15 +200,15 @@ def _unzip(data: bytes) -> bytes:
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, z)``: null texts count as empty."""
+    """``(doc_id, key, z)``: null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = B.utf8(batch.column("text"))
             z = [_zip(data[off[i] : off[i + 1]].tobytes()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(z, pa.binary())], ["doc_id", "key", "z"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, z binary")
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -220,17 +221,17 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """Suffixes at shared anchors of ``docs(doc_id, z, codes)``, packed by bucket.
+    """Suffixes at shared anchors of ``docs(doc_id, key, z, codes)``, packed by bucket.
 
-    For each: anchor, document, place, the range of its distances from the starts
+    For each: anchor, document, row, place, the range of its distances from the starts
     of its strings, and the bytes from the first start to the last string's end.
     """
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["bucket", "anchor", "doc", "place", "near", "far", "bytes"]
+    names = ["bucket", "anchor", "doc", "row", "place", "near", "far", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
             held: dict[int, list[tuple]] = {}
             for lo, hi, data, off in _texts(batch):
                 place, h, first, last = _anchors(data, off)
@@ -253,10 +254,10 @@ def _contexts(docs: DataFrame) -> DataFrame:
                     length = last[k] - first[k] + LENGTH
                     index = np.repeat(first[k] - (np.cumsum(length) - length), length) + np.arange(length.sum())
                     held.setdefault(int(to[a]), []).append(
-                        (h[k].astype("<u8").tobytes(), ids[lo:hi][own[k]].astype("<i8").tobytes(), (place[k] - off[own[k]]).astype("<i8").tobytes(), (place[k] - last[k]).astype("u1").tobytes(), (place[k] - first[k]).astype("u1").tobytes(), data[index].tobytes())
+                        (h[k].astype("<u8").tobytes(), ids[lo:hi][own[k]].astype("<i8").tobytes(), (keys - ids)[lo:hi][own[k]].astype("<i8").tobytes(), (place[k] - off[own[k]]).astype("<i8").tobytes(), (place[k] - last[k]).astype("u1").tobytes(), (place[k] - first[k]).astype("u1").tobytes(), data[index].tobytes())
                     )
             rows = [(k, *[_zip(b"".join(c)) for c in zip(*own, strict=True)]) for k, own in held.items()]
-            yield _packed(rows, [pa.int32(), *[pa.binary()] * 6], names)
+            yield _packed(rows, [pa.int32(), *[pa.binary()] * 7], names)
 
     return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{n} binary" for n in names[1:]))
 
@@ -317,13 +318,13 @@ def repeats(anchor: np.ndarray, doc: np.ndarray, near: np.ndarray, far: np.ndarr
 
 
 def covered(contexts: DataFrame) -> DataFrame:
-    """``(doc_id, spans)``: of each document the byte ranges (from, to) that stand in a smaller one."""
+    """``(doc_id, spans)``: of each row, known by its key, the byte ranges (from, to) that stand in a smaller document."""
     chunks = 2 * int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["anchor", "doc", "place", "near", "far", "bytes"]
+    names = ["anchor", "doc", "row", "place", "near", "far", "bytes"]
 
-    def scan(key: tuple, table: pa.Table) -> pa.Table:
+    def scan(bucket: tuple, table: pa.Table) -> pa.Table:
         read = lambda c, t: np.concatenate([np.frombuffer(_unzip(x.as_buffer().to_pybytes()), t) for x in table.column(c)])
-        anchor, doc, place, near, far, data = (read(c, t) for c, t in zip(names, ("<u8", "<i8", "<i8", "u1", "u1", "u1"), strict=True))
+        anchor, doc, key, place, near, far, data = (read(c, t) for c, t in zip(names, ("<u8", "<i8", "<i8", "<i8", "u1", "u1", "u1"), strict=True))
         near, far = near.astype(np.int64), far.astype(np.int64)
         hit = repeats(anchor, doc, near, far, data)
         # neighbouring distances make one range
@@ -331,7 +332,7 @@ def covered(contexts: DataFrame) -> DataFrame:
         row, low = np.nonzero(edge == 1)
         _, high = np.nonzero(edge == -1)
         spans = np.column_stack([place[row] - (high - 1), place[row] - low + LENGTH])
-        return _bundle_table(_bundles(doc[row], spans, chunks))
+        return _bundle_table(_bundles((doc + key)[row], spans, chunks))
 
     return _by_document(contexts.groupBy("bucket").applyInArrow(scan, _BUNDLE), "spans", 2)
 
@@ -352,14 +353,21 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
 
     Removed is each byte covered by a string of ``LENGTH`` bytes that also starts
     in a document with a smaller id; strings are judged on the input.  Null and
-    shorter texts lose nothing.  Rows of one id do not remove from each other.
+    shorter texts lose nothing.  Rows of one id, equal or not, are parts of that
+    document: each is judged by its own text, and they do not remove from each
+    other.  Rows without an id are not compared and lose nothing.  An empty table
+    gives an empty result.
+
+    Rows are known by their id where all ids are different (one narrow
+    aggregation tells), otherwise by a hash of id and text.
     """
-    docs = docs.select("doc_id", "text")
+    repeated = bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
+    docs = docs.select("doc_id", "text", (F.xxhash64("doc_id", "text") if repeated else F.col("doc_id")).alias("key"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
-    told = stash(shared_anchors(docs.where("doc_id is not null")), "anchors")
+    told = stash(shared_anchors(docs.where("doc_id is not null").select(F.col("key").alias("doc_id"), "text")), "anchors").withColumnRenamed("doc_id", "_key")
     packed = _compressed(docs)
-    contexts = _contexts(packed.join(told, "doc_id"))
-    spans = stash(covered(contexts), "spans").withColumnRenamed("doc_id", "_id")
+    contexts = _contexts(packed.join(told, packed["key"] == told["_key"]).where("doc_id is not null"))
+    spans = stash(covered(contexts), "spans").withColumnRenamed("doc_id", "_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,7 +378,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
                 rows.append((doc, len(text), n, runs, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
             yield _packed(rows, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names)], names)
 
-    joined = packed.join(spans, packed["doc_id"] == spans["_id"], "left").drop("_id")
+    joined = packed.join(spans, packed["key"] == spans["_key"], "left").select("doc_id", "z", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
 
 
