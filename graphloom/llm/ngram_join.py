@@ -512,13 +512,14 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     row = F.struct("no_id", "doc_id", "text_hash")
     first = ends.groupBy("group").agg(F.min(row).alias("r")).select("r.doc_id", "r.text_hash", F.lit(True).alias("one"))
     empty = shaped.where("n_shingles = 0").select("doc_id", "text_hash", F.lit(False).alias("one")).distinct()
-    stay = first.unionByName(empty).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("one").alias("_one"))
-    kept = docs.join(stay, F.xxhash64(docs["text"]).eqNullSafe(F.col("_hash")) & docs["doc_id"].eqNullSafe(F.col("_id")))
+    stay = first.unionByName(empty)
+    # the whole input row is one column, so that no name of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_hash"))
+    kept = rows.join(stay, F.col("of_hash").eqNullSafe(F.col("text_hash")) & F.col("of_id").eqNullSafe(F.col("doc_id")))
     if not _repeats(shaped):
-        return kept.select(*docs.columns)
-    every = F.struct(*docs.columns)
-    single = kept.where("_one").groupBy("_id", "_hash").agg(F.min_by(every, F.xxhash64(*docs.columns)).alias("_row"))
-    return single.select("_row.*").unionByName(kept.where("not _one").select(*docs.columns))
+        return kept.select("row.*")
+    single = kept.where("one").groupBy("of_id", "of_hash").agg(F.min_by("row", F.xxhash64(F.col("row").cast("string"))).alias("row"))
+    return single.select("row.*").unionByName(kept.where("not one").select("row.*"))
 
 
 def _repeats(shaped: DataFrame) -> bool:

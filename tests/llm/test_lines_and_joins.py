@@ -210,6 +210,29 @@ def test_encoder_is_the_tokenizer():
         assert e.ids(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_reduction_keeps_the_optimum(seed):
+    """Few sequences as an exhaustive search finds, and never more than best-fit alone would need beyond it."""
+    r = np.random.default_rng(100 + seed)
+    lengths = sorted(r.integers(1, 13, 8).tolist(), reverse=True)
+
+    def best(i, rooms):
+        if i == len(lengths):
+            return len(rooms)
+        out = min((best(i + 1, [*rooms[:k], room - lengths[i], *rooms[k + 1 :]]) for k, room in enumerate(rooms) if room >= lengths[i] and room not in rooms[:k]), default=99)
+        return min(out, best(i + 1, [*rooms, 12 - lengths[i]]))
+
+    n = sum(many for many, _ in packing.reduce_and_fit({w: lengths.count(w) for w in set(lengths)}, 12))
+    assert best(0, []) <= n <= best(0, []) + 1
+
+
+def test_plan_does_not_grow_with_the_documents():
+    plan = lambda n: packing.reduce_and_fit({w: n // 300 for w in range(700, 1000)})
+    few, many = plan(300_000), plan(3_000_000)
+    assert len(few) == len(many) <= 2 * 300
+    assert sum(n * w * q for n, content in many for w, q in content) == sum(range(700, 1000)) * 10_000
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_reduction_keeps_every_piece(seed):
     r = np.random.default_rng(seed)
@@ -272,3 +295,64 @@ def test_build_goes_on_until_settled(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "ROUNDS", 1)
     with pytest.raises(RuntimeError):
         neighbours.build_graph(nodes)
+
+
+REPEATED = [
+    (1, "alpha beta gamma delta eps\nonly here", "en", "a"),
+    (2, "alpha beta gamma delta eps\nonly there", "en", "a"),
+    (2, "alpha beta gamma delta eps\nprecious unique line\nelse", "de", "b"),
+    (3, "twice the same text of this row", "en", "a"),
+    (3, "twice the same text of this row", "en", "a"),
+    (None, "no id but some words of its own", "en", None),
+    (None, None, None, None),
+    (4, "", "en", "b"),
+    (4, "", "en", "b"),
+]
+CLASHING = ["_id", "_lost", "_some", "_copies", "_place", "row", "text_key", "copy", "lost", "copies", "t", "of", "_t", "other_id"]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    df = spark.createDataFrame(REPEATED, "doc_id long, text string, lang string, source string")
+    return df.select("*", *[F.lit(c).alias(c) for c in CLASHING], F.lit(1).alias("a.b")).repartition(3).cache()
+
+
+def test_line_dedup_of_repeated_rows(repeated):
+    kept = sorted((r["doc_id"] or 0, r["line_no"], r["kept"]) for r in line_dedup.line_verdicts(repeated).collect())
+    second = [k for k in kept if k[:2] == (2, 0)]
+    assert [k[2] for k in second] == [False, False]
+    assert sorted(k for k in kept if k[0] == 3) == [(3, 0, False), (3, 0, True)]
+    out = line_dedup.dedup_lines(repeated)
+    assert out.columns == repeated.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["lang"] or "", r["_id"]) for r in out.collect()) == sorted([
+        (1, "alpha beta gamma delta eps\nonly here", "en", "_id"), (2, "only there", "en", "_id"), (2, "precious unique line\nelse", "de", "_id"),
+        (3, "twice the same text of this row", "en", "_id"), (0, "no id but some words of its own", "en", "_id"), (0, "", "", "_id"), (4, "", "en", "_id"), (4, "", "en", "_id"),
+    ])
+
+
+def test_mixing_of_repeated_rows(repeated):
+    sized = repeated.withColumn("size", mixing.word_count(F.col("text")))
+    out = mixing.mix(sized).collect()
+    assert len(out) == len(REPEATED)
+    fate = {}
+    for r in out:
+        assert fate.setdefault((r["doc_id"], r["source"]), r["copies"]) == r["copies"]
+    mixed = mixing.mixed_documents(repeated)
+    assert mixed.columns == repeated.columns and mixed.count() == sum(r["copies"] for r in out)
+
+
+def test_substrings_of_repeated_rows(spark):
+    passage = "this passage of more than fifty bytes stands in several documents, some of one id"
+    rows = [(1, "x " + passage), (2, passage + " and more"), (2, "short"), (2, "another row with " + passage), (2, "another row with " + passage), (None, passage), (3, None), (3, passage)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_bytes=True).collect()
+    kept = sorted((r["doc_id"] or 0, bytes(r["kept"]).decode(), r["n_removed"]) for r in got)
+    n = len(passage)
+    assert kept == sorted([(1, "x " + passage, 0), (2, " and more", n), (2, "short", 0), (2, "another row with", n + 1), (2, "another row with", n + 1), (0, passage, 0), (3, "", 0), (3, "", n)])
+
+
+def test_packing_and_join_of_repeated_rows(repeated):
+    pytest.importorskip("public_tokenizers")
+    got = packing.pack_documents(repeated).collect()
+    assert len(got) == len(REPEATED) and len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+    one = ngram_join.one_of_each_group(repeated)
+    assert one.columns == repeated.columns and one.count() == 8
