@@ -119,3 +119,28 @@ def chained(h: np.ndarray, n: int) -> np.ndarray:
         out *= _BASE
         out += h[j : len(h) - n + 1 + j]
     return mix(out)
+
+
+def characters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts as integers (their UTF-8 bytes side by side), and of each text the index of its first (len+1)."""
+    inner = (data & 0xC0) == 0x80
+    lead = np.flatnonzero(~inner)
+    out = data[lead].astype(np.uint32)
+    more = np.ones(len(lead), bool)
+    for k in range(1, 4):
+        at = np.minimum(lead + k, len(data) - 1)
+        more &= (lead + k < len(data)) & inner[at]
+        if not more.any():
+            break
+        out[more] = out[more] << np.uint32(8) | data[at[more]]
+    return out, np.searchsorted(lead, off)
+
+
+def grams(chars: np.ndarray, n: int) -> np.ndarray:
+    """A 32-bit hash of each run of ``n`` characters."""
+    m = max(0, len(chars) - n + 1)
+    out = chars[:m] * np.uint32(0x9E3779B1)
+    for j in range(1, n):
+        out ^= out >> np.uint32(15)
+        out = (out + chars[j : m + j]) * np.uint32(0x9E3779B1)
+    return out

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from graphloom.llm import _bytes as B
 from graphloom.llm._linear import Sparse
 
-#: Examples of each language that the weights and the temperature are fitted on, at most.
-SAMPLE, MOST_LANGUAGES = 400, 200
-#: Lengths of the n-grams in bytes, and features of each length.
+#: Examples of each language that the weights and the temperature are fitted on, at most, and of all languages together (but 20 of each).
+SAMPLE, WHOLE_SAMPLE = 400, 80_000
+#: Entries of the document frequencies that are added up together.
+CHUNK = 1 << 12
+#: Lengths of the n-grams in characters, and features of each length.
 GRAMS, DIM = (1, 2, 3, 4), 1 << 14
 FOLDS, EPOCHS = 5, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
@@ -29,14 +31,12 @@ UNKNOWN = "und"
 
 def _slots(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length the feature of every n-gram, and where each text's n-grams begin and end."""
-    wide = B.LOWER[data].astype(np.uint32)
-    out, gram = [], None
+    chars, start = B.characters(B.LOWER[data], off)
+    out = []
     for n in GRAMS:
-        m = max(0, len(data) - n + 1)
-        gram = wide[:m].copy() if gram is None else gram[:m] | (wide[n - 1 : n - 1 + m] << np.uint32(8 * (n - 1)))
-        slots = ((gram * np.uint32(0x9E3779B1) + np.uint32(n)) >> np.uint32(32 - 14)).astype(np.int64)
-        begin = np.minimum(off[:-1], m)
-        out.append((slots, begin, np.maximum(begin, np.minimum(off[1:] - n + 1, m))))
+        slots = (B.grams(chars, n) >> np.uint32(32 - 14)).astype(np.int64)
+        begin = np.minimum(start[:-1], len(slots))
+        out.append((slots, begin, np.maximum(begin, np.minimum(start[1:] - n + 1, len(slots)))))
     return out
 
 
@@ -72,17 +72,18 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
                     seen = np.zeros((hi - lo) * DIM, bool)
                     seen[own * DIM + slots[at]] = True
                     total[k * DIM : (k + 1) * DIM] += seen.reshape(hi - lo, DIM).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.astype("<i8").tobytes()])], ["n", "df"])
+        parts = [total[i : i + CHUNK].astype("<i8").tobytes() for i in range(0, size, CHUNK)]
+        columns = [pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts)]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "n", "df"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        df = sum((np.frombuffer(x.as_buffer(), "<i8") for x in table.column("df")), np.zeros(size, np.int64))
-        return pa.table({"n": [sum(table.column("n").to_pylist())], "df": [df.astype("<i8").tobytes()]})
+        df = sum((np.frombuffer(x.as_buffer(), "<i8") for x in table.column("df")), np.zeros(CHUNK, np.int64))
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": [sum(table.column("n").to_pylist())], "df": [df.astype("<i8").tobytes()]})
 
-    tasks = docs.select("text").mapInArrow(count, "n long, df binary")
-    # added in two steps, so no task gets the tables of all others
-    some = tasks.groupBy(F.pmod(F.spark_partition_id(), F.lit(8)).alias("g")).applyInArrow(add, "n long, df binary")
-    rows = some.collect()  # at most eight
-    return sum(r["n"] for r in rows), sum((np.frombuffer(r["df"], "<i8") for r in rows), np.zeros(size, np.int64))
+    schema = "chunk int, n long, df binary"
+    rows = docs.select("text").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect()  # one table of `size` counters
+    rows.sort(key=lambda r: r["chunk"])
+    return rows[0]["n"] if rows else 0, np.concatenate([np.frombuffer(r["df"], "<i8") for r in rows]) if rows else np.zeros(size, np.int64)
 
 
 @dataclass
@@ -154,20 +155,23 @@ def fit(docs: DataFrame) -> Model | None:
     """Learn from ``docs(doc_id, text, lang)`` outside the held-out fold, with a known language.
 
     Document frequencies cover all of them; weights and temperature are fitted
-    on at most ``SAMPLE`` of each language (the first by hash of id and text; a
-    fifth sets the temperature).  None if there is nothing to learn from.
+    on at most ``SAMPLE`` of each language (the first by hash of id and text, fewer
+    of each if there are very many languages; a fifth sets the temperature), and
+    every language is learnt.  None if there is nothing to learn from.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     n, df = document_frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1
-    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    size = {r["lang"]: r["count"] for r in frequent.collect()}
-    if not size:
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    if not sizes:
         return None
+    most = max(20, min(SAMPLE, WHOLE_SAMPLE // len(sizes)))
     # a hash threshold leaves about twice the sample of each language, so no language is ordered as a whole
-    chance = F.create_map(*[x for lang, c in size.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * SAMPLE + 50) / c)))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    drawn = known.select("doc_id", "text", "lang", place.alias("place")).where(F.col("place") < F.element_at(chance, F.col("lang")))
+    chance = known.sparkSession.createDataFrame([(lang, min(1.0, (2 * most + 50) / c)) for lang, c in sizes.items()], "lang string, chance double")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / (1 << 40)
+    drawn = known.select("doc_id", "text", "lang", place.alias("place")).join(F.broadcast(chance), "lang").where("place < chance")
+    # repeated rows have the same place; so they count once
+    drawn = drawn.groupBy("lang", "place").agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,10 +179,10 @@ def fit(docs: DataFrame) -> Model | None:
                 kinds = _slots(data, off)
                 x = [_vector(_counts(kinds, i), idf) for i in range(hi - lo)]
                 i, v = (pa.array([a.astype(t).tobytes() for a in c], pa.binary()) for c, t in zip(zip(*x, strict=True), ("<u4", "<f4"), strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("lang")[lo:hi], batch.column("place")[lo:hi], batch.column("doc_id")[lo:hi], i, v], ["lang", "place", "doc_id", "i", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column("lang")[lo:hi], batch.column("place")[lo:hi], i, v], ["lang", "place", "i", "v"])
 
-    rows = drawn.mapInArrow(vectors, "lang string, place double, doc_id long, i binary, v binary").toPandas()
-    rows = rows.sort_values(["lang", "place", "doc_id"]).groupby("lang").head(SAMPLE)
+    rows = drawn.mapInArrow(vectors, "lang string, place double, i binary, v binary").toPandas()
+    rows = rows.sort_values(["lang", "place"]).groupby("lang").head(most)
     languages = sorted(rows["lang"].unique())
     y = rows["lang"].map({c: k for k, c in enumerate(languages)}).to_numpy()
     x = Sparse.of([(np.frombuffer(i, "<u4"), np.frombuffer(v, "<f4")) for i, v in zip(rows["i"], rows["v"], strict=True)])

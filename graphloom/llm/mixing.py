@@ -88,7 +88,8 @@ def thresholds(sized: DataFrame) -> DataFrame:
         seen += n
     near = F.col("_upto") - F.col("_rest") < F.col("_rest") - F.col("_below")
     last = last.select("_no", "_src", F.col("_prefix").alias("edge"), near.alias("near"))
-    return t.join(last, ["_no", "_src"], "left").select("source", "source_size", "target", "full", "edge", "near")
+    # read back from its files, the join with the documents knows how small it is
+    return stash(t.join(last, ["_no", "_src"], "left").select("source", "source_size", "target", "full", "edge", "near"), "thresholds")
 
 
 def _taken(rows: DataFrame, t: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from graphloom.llm._linear import Sparse, fit_logistic, platt, sigmoid
 #: The model is fitted on at most so many labelled documents, of low and of good quality.
 SAMPLE = {0: 1000, 1: 2000}
 DIM, SCALE = 1 << 15, 16.0
-#: Lengths of the character n-grams, in bytes, and of the word n-grams.
+#: Lengths of the character n-grams and of the word n-grams.
 CHARS, WORDS = (2, 4), (1, 2)
 #: Fixed thresholds: fewest words, largest share of repeated words, least probability of good quality.
 LEAST_WORDS, REPEATED, KEEP = 50, 0.5, 0.5
@@ -93,16 +93,11 @@ def _slots(data: np.ndarray, off: np.ndarray, h: np.ndarray, first: np.ndarray)
         slots = (B.chained(h, n) >> np.uint64(64 - 15)).astype(np.int64)
         begin = np.minimum(first[:-1], len(slots))
         out.append((slots, begin, np.maximum(begin, np.minimum(first[1:] - n + 1, len(slots)))))
-    wide = data.astype(np.uint32)
+    chars, start = B.characters(data, off)
     for n in CHARS:
-        m = max(0, len(data) - n + 1)
-        gram = wide[:m].copy()
-        for j in range(1, n):
-            gram |= wide[j : m + j] << np.uint32(8 * j)
-        gram *= np.uint32(0x9E3779B1)
-        slots = (gram >> np.uint32(32 - 15)).astype(np.int64)
-        begin = np.minimum(off[:-1], len(slots))
-        out.append((slots, begin, np.maximum(begin, np.minimum(off[1:] - n + 1, len(slots)))))
+        slots = (B.grams(chars, n) >> np.uint32(32 - 15)).astype(np.int64)
+        begin = np.minimum(start[:-1], len(slots))
+        out.append((slots, begin, np.maximum(begin, np.minimum(start[1:] - n + 1, len(slots)))))
     return out
 
 
@@ -137,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on a bounded sample (``SAMPLE``) of labelled documents; None if a class is missing.
 
     Labels without id or quality are left out; of several for one id the lowest
-    counts.  A fifth of the sample calibrates.
+    counts, and of several texts of one id the smallest.  A fifth of the sample
+    calibrates.
     """
     label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("y"))
     low, good = (label.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in SAMPLE.items())
@@ -151,9 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 columns = [pa.array([i.astype("<u4").tobytes() for i, _ in x], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in x], pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("y")[lo:hi], *columns], ["doc_id", "y", "i", "v"])
 
-    # at most the sample's rows: the broadcast has a fixed bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(low.unionAll(good)), "doc_id").mapInArrow(features, "doc_id long, y int, i binary, v binary").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    # at most the sample's rows: the broadcast has a fixed bound, and so has what comes back, one row an id
+    rows = docs.select("doc_id", "text").join(F.broadcast(low.unionAll(good)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    rows = rows.mapInArrow(features, "doc_id long, y int, i binary, v binary").toPandas().sort_values("doc_id")
     y = rows["y"].to_numpy()
     held = np.arange(len(y)) % 5 == 0
     if min((y[held] > 0).sum(), (y[held] <= 0).sum(), (y[~held] > 0).sum(), (y[~held] <= 0).sum()) == 0:

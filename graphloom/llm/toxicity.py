@@ -79,7 +79,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     """Fit the chain on a bounded sample (``SAMPLE``) of labelled documents, the first by hash of their id.
 
     Rows of ``labels`` without id or ``toxic`` are left out; an id labelled
-    twice counts as toxic if either says so.  Without toxic or without clean
+    twice counts as toxic if either says so; of several texts of one id the
+    smallest is learnt from.  Without toxic or without clean
     labels the chain has no features and calls nothing toxic.
     """
     label = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
@@ -94,9 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
                 rows = [np.unique(np.concatenate([k[first[i] : first[i + 1]] for k in kinds])).tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("y")[lo:hi], pa.array(rows, pa.binary())], ["doc_id", "y", "h"])
 
-    # at most the sample's rows: the broadcast has a fixed bound
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(unique, "doc_id long, y int, h binary").toPandas()
-    sample = sample.drop_duplicates("doc_id").sort_values("doc_id")
+    # at most the sample's rows: the broadcast has a fixed bound, and so has what comes back, one row an id
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    sample = sample.mapInArrow(unique, "doc_id long, y int, h binary").toPandas().sort_values("doc_id")
     y = sample["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return Chain(np.zeros(0, np.uint64), [])
