@@ -7,21 +7,12 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.notation import origin_of
 from graphloom.operators import provenance, render, transfer
+from graphloom.plans.collect import collector
 from graphloom.plans.stash import stash
 from graphloom.sources import star
 from graphloom.sources.star import FUNC, flow_sql
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = collector()
 
 
 _ALIAS = """al AS (SELECT o_custkey AS func, o_orderkey % 7 AS var, (o_orderkey // 7) % 9 AS to_, o_orderkey % 16 AS off_ FROM orders

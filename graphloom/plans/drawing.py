@@ -7,21 +7,12 @@ from pyspark.sql import functions as F
 from graphloom.functions import notation
 from graphloom.operators import centrality, cluster, edges, render
 from graphloom.operators.components import connected_components
+from graphloom.plans.collect import collector
 from graphloom.plans.stash import stash
 from graphloom.sources import star
 from graphloom.sources.star import FUNC, flow_sql
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = collector()
 
 
 _AFFINITY = f"""{flow_sql(0)}, {FUNC},

@@ -6,20 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import edges, render, traverse
+from graphloom.plans.collect import collector
 from graphloom.sources import star
 from graphloom.sources.star import BASE, FUNC, STEP, flow_sql
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = collector()
 
 
 _TYPES = "['direct_call', 'indirect_call', 'data_ref', 'immediate_ref', 'tail_call', 'virtual_call', 'jump_table']"

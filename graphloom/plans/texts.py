@@ -6,20 +6,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import names, notation
 from graphloom.operators import cluster
+from graphloom.plans.collect import collector
 from graphloom.sources import star
 from graphloom.sources.star import FUNC
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = collector()
 
 
 def _list(words) -> str:

@@ -25,8 +25,14 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow(spark: SparkSession, sf_dir: str, quantity: float) -> DataFrame:
-    """``(src, dst, ref)``: each part of an order refers to the next; filtered before the window, so the scan is small."""
-    lines = table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= quantity))
+    """``(src, dst, ref)``: each part of an order refers to the next.
+
+    All line items take part, or for ``quantity`` > 0 the returned ones of at
+    least that quantity (a sparse graph, mostly without cycles).
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    if quantity:
+        lines = lines.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= quantity))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     refs = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), (F.col("l_linenumber") - 1).alias("ref"))
     return refs.where(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
@@ -44,9 +50,10 @@ FUNC = f"""func AS (
 
 
 def flow_sql(quantity: float) -> str:
+    chosen = f"WHERE l_returnflag = 'R' AND l_quantity >= {quantity}" if quantity else ""
     return f"""flow AS (
   SELECT src, dst, ref FROM (
     SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_linenumber - 1 AS ref
-    FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= {quantity})
+    FROM lineitem {chosen})
   WHERE dst IS NOT NULL AND src <> dst),
 edge AS (SELECT DISTINCT src, dst FROM flow)"""
