@@ -80,45 +80,93 @@ def closure(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     e = stash(edges.select("src", "dst").where("src <> dst").distinct(), "closure")
     step = e.select(F.col("src").alias("mid"), "dst")
     last = pairs = e.withColumn("dist", F.lit(1))
-    for d in range(2, max_depth):
+    for d in range(2, max_depth + 1):
         new = last.select("src", F.col("dst").alias("mid")).join(step, "mid").select("src", "dst").where("src <> dst").distinct()
         last = stash(new.join(pairs, ["src", "dst"], "left_anti").withColumn("dist", F.lit(d)), "closure")
         if not last.take(1):
             break
         pairs = pairs.unionByName(last)
+    else:
+        raise RuntimeError(f"paths are longer than {max_depth}")
     return pairs
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """``(node, level)`` of an acyclic graph: the longest path that ends there (0 for nodes without edges in)."""
+def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """Distinct edges ``(src, dst)`` between different components of ``components(node, scc)``: a graph without cycles."""
+    c = components.select("node", "scc")
+    e = edges.join(c.select(F.col("node").alias("src"), F.col("scc").alias("a")), "src").join(c.select(F.col("node").alias("dst"), F.col("scc").alias("b")), "dst")
+    return e.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``(node, level)`` of an acyclic graph: the longest path that ends there (0 for nodes without edges in).
+
+    ``nodes``: more nodes than edges tell.  With a cycle no path is the longest;
+    that is noticed after as many rounds as there are nodes, and raises.
+    """
     e = stash(edges.select("src", "dst").distinct(), "levels")
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    out, last = nodes.withColumn("level", F.lit(0)), nodes
-    level = 0
+    known = e.select(F.col("src").alias("node")).union(e.select("dst"))
+    known = stash((known.union(nodes.select("node")) if nodes is not None else known).distinct(), "levels")
+    out, last = known.withColumn("level", F.lit(0)), known
+    out.stashed_at = known.stashed_at
     out = stash(out, "levels")
-    while True:
-        level += 1
+    for level in range(1, known.count() + 1):
         last = stash(e.join(last.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct(), "levels")
         if not last.take(1):
             return out
-        out = stash(out.join(last.withColumn("_on", F.lit(level)), "node", "left").select("node", F.coalesce("_on", "level").alias("level")), "levels")
+        out = stash(out.join(last.withColumn("_on", F.lit(level)), "node", "left").select("node", F.coalesce("_on", "level").alias("level")), "levels", instead_of=out)
+    if last.take(1):
+        raise ValueError("the graph has a cycle: condense its strong components first")
+    return out
 
 
-def dominators(edges: DataFrame) -> DataFrame:
-    """``(node, dominator)`` of an acyclic graph whose roots are the nodes without edges in; every node dominates itself.
+def dominators(edges: DataFrame, nodes: DataFrame | None = None, anchors: DataFrame | None = None) -> DataFrame:
+    """``(node, dominator)`` of an acyclic graph under a virtual root; every node dominates itself.
 
-    By levels: what dominates a node dominates all nodes before it, so a
-    candidate counts if as many predecessors have it as there are.
+    The root leads to nodes without edges in and to ``anchors(node)``, which
+    therefore have no other dominator.  By levels: what dominates a node
+    dominates all nodes before it, so a candidate counts if as many predecessors
+    have it as there are.
     """
     e = stash(edges.select("src", "dst").distinct(), "dom")
-    at = stash(levels(e), "dom")
-    preds = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-    known = stash(at.where("level = 0").select("node", F.col("node").alias("dominator")), "dom")
+    at = stash(levels(e, nodes), "dom")
+    free = at.where("level = 0").select("node")
+    if anchors is not None:
+        free = free.union(anchors.select("node")).distinct()
+    free = stash(free, "dom")
+    inner = stash(e.join(free.withColumnRenamed("node", "dst"), "dst", "left_anti"), "dom")
+    preds = inner.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+    known = stash(free.join(at.select("node"), "node", "left_semi").select("node", F.col("node").alias("dominator")), "dom")
     top = at.agg(F.max("level")).first()[0] or 0
     for level in range(1, top + 1):
-        here = at.where(F.col("level") == level).select("node")
-        shared = e.join(here.withColumnRenamed("node", "dst"), "dst").join(known.withColumnRenamed("node", "src"), "src")
+        here = at.where(F.col("level") == level).select("node").join(free, "node", "left_anti")
+        shared = inner.join(here.withColumnRenamed("node", "dst"), "dst").join(known.withColumnRenamed("node", "src"), "src")
         shared = shared.groupBy(F.col("dst").alias("node"), "dominator").agg(F.count("*").alias("have")).join(preds, "node").where("have = n")
         new = shared.select("node", "dominator").unionByName(here.select("node", F.col("node").alias("dominator")))
-        known = stash(known.unionByName(new), "dom")
+        known = stash(known.unionByName(new), "dom", instead_of=known)
     return known
+
+
+def component_signals(edges: DataFrame, nodes: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """``(node, scc, reach, dom, level, depth)`` of any graph, by its strong components.
+
+    ``reach``: nodes that can be reached, its own component included; ``dom``:
+    nodes of the components that its component dominates; ``level``: longest path
+    of components; ``depth``: steps of components from the virtual root (its
+    successors have 1).
+    """
+    scc = strong_components(edges)
+    scc = stash(nodes.select("node").join(scc, "node", "left").select("node", F.coalesce("scc", "node").alias("scc")), "components")
+    size = stash(scc.groupBy("scc").agg(F.count("*").alias("size")), "components")
+    dag = stash(condensed(edges, scc), "components")
+    points = size.select(F.col("scc").alias("node"))
+    free = anchors.join(scc, "node").select(F.col("scc").alias("node")).distinct() if anchors is not None else None
+    at = levels(dag, points)
+    dom = dominators(dag, points, free)
+    roots = at.where("level = 0").select("node")
+    depth = layers(dag, roots.union(free).distinct() if free is not None else roots, size.count())
+    whole = lambda pairs, own, other: pairs.join(size.withColumnRenamed("scc", other), other).groupBy(F.col(own).alias("scc")).agg(F.sum("size").alias("n"))
+    reach = whole(closure(dag), "src", "dst").withColumnRenamed("n", "more")
+    dom = whole(dom, "dominator", "node").withColumnRenamed("n", "dom")
+    out = scc.join(size, "scc").join(reach, "scc", "left").join(dom, "scc").join(at.withColumnRenamed("node", "scc"), "scc").join(depth.withColumnRenamed("node", "scc"), "scc")
+    return out.select("node", "scc", (F.col("size") + F.coalesce("more", F.lit(0))).alias("reach"), "dom", "level", (F.col("depth") + 1).alias("depth"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import edges, render, traverse
 from graphloom.plans.collect import collector
+from graphloom.plans.stash import stash
 from graphloom.sources import star
 from graphloom.sources.star import BASE, FUNC, STEP, flow_sql
 
@@ -136,45 +137,50 @@ def callee_bfs(spark, sf_dir):
     return traverse.layers(e, e.agg(F.min("src").alias("node")), 4)
 
 
-@query(f"""
-WITH RECURSIVE {flow_sql(30)},
-reach(a, b) AS (SELECT src, dst FROM edge UNION SELECT a, dst FROM reach JOIN edge ON src = b),
-n AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge)
-SELECT node, least(node, coalesce(min(r.b), node)) AS scc
-FROM n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) r ON r.a = node GROUP BY node
-""")
+def condensed_sql(anchors: str = "SELECT node FROM n WHERE false") -> str:
+    """Strong components by mutual reachability, and their graph without cycles."""
+    return f"""{flow_sql(0)}, n AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge),
+path(a, b) AS (SELECT src, dst FROM edge UNION SELECT a, dst FROM path JOIN edge ON src = b),
+comp AS (
+  SELECT node, least(node, coalesce(min(r.b), node)) AS scc
+  FROM n LEFT JOIN (SELECT x.a, x.b FROM path x JOIN path y ON x.a = y.b AND x.b = y.a) r ON r.a = node GROUP BY node),
+csize AS (SELECT scc, count(*) AS size FROM comp GROUP BY scc),
+dag AS (SELECT DISTINCT a.scc AS src, b.scc AS dst FROM edge JOIN comp a ON a.node = src JOIN comp b ON b.node = dst WHERE a.scc <> b.scc),
+root AS (SELECT scc AS node FROM csize WHERE scc NOT IN (SELECT dst FROM dag) UNION SELECT scc FROM comp WHERE node IN ({anchors})),
+creach(a, b) AS (SELECT src, dst FROM dag UNION SELECT a, dst FROM creach JOIN dag ON src = b),
+long_(scc, k) AS (SELECT scc, 0 FROM csize WHERE scc NOT IN (SELECT dst FROM dag) UNION SELECT dst, k + 1 FROM long_ JOIN dag ON src = scc),
+short_(scc, k) AS (SELECT node, 1 FROM root UNION SELECT dst, k + 1 FROM short_ JOIN dag ON src = scc),
+away(d, scc) AS (SELECT c.scc, r.node FROM csize c, root r WHERE c.scc <> r.node UNION SELECT d, dst FROM away JOIN dag ON src = scc WHERE dst <> d),
+sig AS (
+  SELECT comp.node, comp.scc, (SELECT size FROM csize c WHERE c.scc = comp.scc) + coalesce((SELECT sum(size) FROM creach JOIN csize c ON c.scc = b WHERE a = comp.scc), 0) AS reach,
+         (SELECT count(*) FROM n) - coalesce((SELECT sum(size) FROM away w JOIN csize c ON c.scc = w.scc WHERE d = comp.scc), 0) AS dom,
+         (SELECT max(k) FROM long_ w WHERE w.scc = comp.scc) AS level, (SELECT min(k) FROM short_ w WHERE w.scc = comp.scc) AS depth
+  FROM comp)"""
+
+
+@query(f"WITH RECURSIVE {condensed_sql()} SELECT node, scc FROM comp")
 def scc_members(spark, sf_dir):
-    return traverse.strong_components(star.links(spark, sf_dir, 30))
+    return traverse.strong_components(star.links(spark, sf_dir, 0))
 
 
-@query(f"""
-WITH RECURSIVE {flow_sql(30)}, reach(a, b) AS (SELECT src, dst FROM edge UNION SELECT a, dst FROM reach JOIN edge ON src = b)
-SELECT a AS node, count(*) + CAST(NOT bool_or(a = b) AS INT) AS reach FROM reach GROUP BY a
-""")
+def _components(spark, sf_dir):
+    e = stash(star.links(spark, sf_dir, 0), "graph")
+    return traverse.component_signals(e, e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+
+
+@query(f"WITH RECURSIVE {condensed_sql()} SELECT node, CAST(reach AS BIGINT) AS reach FROM sig")
 def reach_size(spark, sf_dir):
-    """Nodes that can be reached, the node itself included."""
-    pairs = traverse.closure(star.links(spark, sf_dir, 30))
-    return pairs.groupBy(F.col("src").alias("node")).agg((F.count("*") + 1).alias("reach"))
+    """Nodes that can be reached, the node's component included."""
+    return _components(spark, sf_dir).select("node", "reach")
 
 
-@query(f"""
-WITH RECURSIVE {flow_sql(35)},
-walk(node, level) AS (SELECT DISTINCT src, 0 FROM edge WHERE src NOT IN (SELECT dst FROM edge) UNION SELECT dst, level + 1 FROM walk JOIN edge ON src = node)
-SELECT node, CAST(max(level) AS INT) AS level FROM walk GROUP BY node
-""")
+@query(f"WITH RECURSIVE {condensed_sql()} SELECT node, CAST(level AS INT) AS level FROM sig")
 def topo_level(spark, sf_dir):
-    return traverse.levels(star.links(spark, sf_dir, 35))
+    """The longest path of components that ends at a node's own."""
+    return _components(spark, sf_dir).select("node", "level")
 
 
-@query(f"""
-WITH RECURSIVE {flow_sql(35)}, n AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge),
-root AS (SELECT node FROM n WHERE node NOT IN (SELECT dst FROM edge)),
-inner_ AS (SELECT DISTINCT src AS d FROM edge),
-walk(d, node) AS (SELECT d, node FROM inner_, root WHERE d <> node UNION SELECT d, dst FROM walk JOIN edge ON src = node WHERE dst <> d)
-SELECT d AS node, (SELECT count(*) FROM n) - count(w.node) AS subtree FROM inner_ LEFT JOIN walk w USING (d) GROUP BY d
-""")
+@query(f"WITH RECURSIVE {condensed_sql()} SELECT node, CAST(dom AS BIGINT) AS subtree FROM sig")
 def dominator_subtree(spark, sf_dir):
-    """Nodes that each inner node dominates, itself included."""
-    e = star.links(spark, sf_dir, 35)
-    dom = traverse.dominators(e).groupBy(F.col("dominator").alias("node")).agg(F.count("*").alias("subtree"))
-    return dom.join(e.select(F.col("src").alias("node")).distinct(), "node")
+    """Nodes in components that a node's own dominates."""
+    return _components(spark, sf_dir).select("node", F.col("dom").alias("subtree"))

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["edge_dedup_types", "inbound_direct_tail", "def_lookback", "vtable_runs", "tokenize_docs", "runtime_name", "affinity_edges", "xref_summary", "budget_prune", "global_flow", "fingerprint_match"]
+QUICK = ["outbound_edges", "function_annotations", "referenced_names", "token_evidence", "edge_dedup_types", "inbound_direct_tail", "def_lookback", "vtable_runs", "tokenize_docs", "runtime_name", "affinity_edges", "xref_summary", "budget_prune", "global_flow", "fingerprint_match"]
 
 
 def _values(df):

@@ -1,10 +1,12 @@
 """Graph operators on hand-worked graphs: a diamond with a cycle, and small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, notation
-from graphloom.operators import centrality, cluster, edges, provenance, render, transfer, traverse
+from graphloom.operators import centrality, cluster, edges, facts, producers, provenance, render, transfer, traverse
 from graphloom.operators.components import connected_components
 
 DIAMOND = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 3)]
@@ -137,3 +139,66 @@ def test_shape_hash(spark):
 def test_labels():
     top = [(0, "dot", 0.9), (0, "graph", 0.5), (1, "dot", 0.8), (1, "sql", 0.1)]
     assert cluster.claim_labels(top, {0: 3, 1: 2, 2: 1}) == {0: "dot · graph (3 funcs)", 1: "sql · dot (2 funcs)", 2: "cluster-2 (1 funcs)"}
+
+
+def test_signals_of_a_graph_with_cycles(spark):
+    """The hand-worked diamond with a cycle, anchor 0."""
+    e = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 3)], "src long, dst long")
+    n = spark.createDataFrame([(i,) for i in range(5)], "node long")
+    got = {r["node"]: (r["scc"], r["reach"], r["dom"], r["depth"]) for r in traverse.component_signals(e, n, n.where("node = 0")).collect()}
+    assert got == {0: (0, 5, 5, 1), 1: (1, 3, 1, 2), 2: (2, 3, 1, 2), 3: (3, 2, 2, 3), 4: (3, 2, 2, 3)}
+    # an anchor inside has no dominator but itself
+    got = {r["node"]: r["dom"] for r in traverse.component_signals(e, n, n.where("node in (0, 4)")).collect()}
+    assert got == {0: 3, 1: 1, 2: 1, 3: 2, 4: 2}
+
+
+def test_levels_notice_cycles(spark):
+    with pytest.raises(ValueError):
+        traverse.levels(spark.createDataFrame([(0, 1), (1, 2), (2, 1)], "src long, dst long"))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cores_against_peeling(spark, seed):
+    r = random.Random(seed)
+    pairs = {(r.randrange(30), r.randrange(30)) for _ in range(90)}
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    core, k, left = {}, 0, {a: set(b) for a, b in near.items()}
+    while left:
+        k = max(k, min(map(len, left.values())))
+        gone = {a for a in left if len(left[a]) <= k}
+        core |= dict.fromkeys(gone, k)
+        left = {a: b - gone for a, b in left.items() if a not in gone}
+    got = {x["node"]: x["core"] for x in centrality.coreness(spark.createDataFrame(list(pairs), "src long, dst long")).collect()}
+    assert got == core
+
+
+def test_places_over_many_ranges(spark):
+    rows = [(i, float(i % 7), i % 3 == 0, i % 2 == 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) for i in range(200)]
+    names = "node long, score double, system boolean, anchor boolean, authority double, hub double, betweenness double, indegree double, outdegree double, size double"
+    got = {r["node"]: r["place"] for r in centrality.ranked(spark.createDataFrame(rows, names).repartition(7), "centrality").collect()}
+    right = sorted(rows, key=lambda x: (-x[1], x[2], not x[3], x[0]))
+    assert got == {x[0]: k for k, x in enumerate(right, 1)}
+
+
+def test_producers_keep_starts_only(spark):
+    f = spark.createDataFrame([(1, 100, 120), (2, 200, 210), (3, 300, 330)], "id long, start long, end long")
+    x = spark.createDataFrame([(1, 200, True), (1, 205, True), (2, 300, False), (2, 200, True), (3, 100, True), (3, 999, True)], "src long, target long, is_code boolean")
+    assert sorted(tuple(r) for r in producers.direct_calls(x, f).collect()) == [(1, 2, 0), (3, 1, 0)]
+    assert [tuple(r) for r in producers.data_references(x, f).collect()] == [(2, 3, 2)]
+    assert sorted(tuple(r) for r in producers.jump_targets(x.select("src", "target"), f).collect()) == [(1, 2, 6), (2, 3, 6), (3, 1, 6)]
+    d = spark.createDataFrame([(1, 8), (1, 12), (1, 16), (1, 24), (1, 800)], "src long, slot long")
+    p = spark.createDataFrame([(8, 200), (12, 300), (16, 0), (24, 205), (800, 300)], "slot long, value long")
+    s = spark.createDataFrame([(0, 100, False), (400, 900, True)], "start long, end long, executable boolean")
+    assert [tuple(r) for r in producers.indirect_calls(d, p, s, f).collect()] == [(1, 2, 1)]
+    every = producers.union_of([producers.direct_calls(x, f), producers.tail_calls(x.where("src = 1").select("src", "target"), f)])
+    assert sorted((r["src"], r["dst"], r["types"]) for r in every.collect()) == [(1, 2, [0, 4]), (3, 1, [0])]
+
+
+def test_strings_are_capped(spark):
+    rows = [(1, i, f"string number{'x' * i} alpha beta") for i in range(60)] + [(1, 60, "string number alpha beta"), (2, 0, " ".join(["word" + chr(97 + i) for i in range(20)])), (2, 1, "long " * 60)]
+    got = {(r["func"], r["token"]): r["w"] for r in facts.evidence(facts.string_tokens(spark.createDataFrame(rows, "func long, seq long, text string"))).collect()}
+    assert got[1, "alpha"] == 48 and len([k for k in got if k[0] == 2]) == 9 and got[2, "long"] == 4.0
