@@ -24,13 +24,17 @@ from graphloom.llm._bytes import slices, utf8
 KINDS = ("email", "ip", "card", "phone")
 #: Spans whose surroundings train the model, tokens of an entity, steps of training.
 SAMPLE, LONGEST, STEPS = 300, 12, 60
+#: Tokens whose segments are scored together.
+PART = 256
 #: The patterns of the base spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOTTED = re.compile(r"[0-9][0-9.]*")
-_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_AROUND = _LOCAL | {"@", "(", " ", ")"}
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 _TRIGGER = re.compile(r"[0-9@]")
 _NUMBER = re.compile(r"@|[0-9]{4}")
@@ -53,15 +57,16 @@ def _digits(text: str) -> str:
 def base_spans(text: str) -> list[Span]:
     """What the patterns find, by start and kind; matches that fail their test are dropped without another try."""
     out: list[Span] = []
-    at = text.find("@")
-    while at >= 0:  # an address lies inside one run of its characters
-        lo, hi = at, at + 1
-        while lo and text[lo - 1] in _LOCAL:
+    # an address lies around its at-sign: what may stand before it reaches back to the last match, so no place is tried twice
+    last, at = 0, text.find("@")
+    while at >= 0:
+        lo = at
+        while lo > last and text[lo - 1] in _LOCAL:
             lo -= 1
-        while hi < len(text) and text[hi] in _LOCAL:
-            hi += 1
-        out += [(m.start() + lo, m.end() + lo, "email") for m in EMAIL.finditer(text[lo:hi])]
-        at = text.find("@", hi)
+        if lo < at and (m := _DOMAIN.match(text, at + 1)):
+            out.append((lo, m.end(), "email"))
+            last = m.end()
+        at = text.find("@", max(at + 1, last))
     if _TRIGGER.search(text):
         for run in _DOTTED.finditer(text):
             if run[0].count(".") >= 3:
@@ -86,7 +91,7 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
             continue
         # a stretch reaches as far as its characters could belong to one entity, and a little more
         lo = m.start()
-        while lo > last + 1 and m.start() - lo < 64 and (text[lo - 1] in _LOCAL or text[lo - 1] in "( )"):
+        while lo > last + 1 and m.start() - lo < 64 and text[lo - 1] in _AROUND:
             lo -= 1
         hi = m.end()
         quiet = 0
@@ -145,10 +150,11 @@ def _features(text: str, a: int, b: int, n: int) -> np.ndarray:
     return f
 
 
-def _lattice(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Candidate segments (first token, end token) and their features; entities begin and end with no space and hold a digit or at-sign."""
+def _lattice(text: str, tokens: list[tuple[int, int]], first: int = 0, end: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Candidate segments (first token, end token) that begin in [first, end), and their features; entities begin and end with no
+    space and hold a digit or at-sign."""
     pairs, rows = [], []
-    for i in range(len(tokens)):
+    for i in range(first, len(tokens) if end is None else min(end, len(tokens))):
         if text[tokens[i][0]].isspace():
             continue
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
@@ -187,20 +193,33 @@ def _forward_backward(n: int, pairs: list[tuple[int, int]], score: np.ndarray) -
 
 
 def decode(text: str, tokens: list[tuple[int, int]], weights: np.ndarray) -> list[Span]:
-    """The best cut of the window into entities and single tokens."""
-    pairs, f = _lattice(text, tokens)
+    """The best cut of the window into entities and single tokens.
+
+    Features are made for ``PART`` starts at a time and only scores are kept, and
+    of those only what can win (a token outside scores 0), so a window as long
+    as a whole text needs little memory.
+    """
+    n = len(tokens)
+    pairs: list[tuple[int, int]] = []
+    kind: list[int] = []
+    best: list[float] = []
+    for first in range(0, n, PART):
+        own, f = _lattice(text, tokens, first, first + PART)
+        if own:
+            score = f @ weights.T
+            good = np.flatnonzero(score.max(1) > 0)
+            pairs += [own[k] for k in good]
+            kind += score[good].argmax(1).tolist()
+            best += score[good].max(1).tolist()
     if not pairs:
         return []
-    score = f @ weights.T
-    kind, best = score.argmax(1), score.max(1)
-    n = len(tokens)
-    top, via = np.zeros(n + 1), [-1] * (n + 1)
-    by_end: list[list[int]] = [[] for _ in range(n + 1)]
+    top, via = [0.0] * (n + 1), [-1] * (n + 1)
+    by_end: dict[int, list[int]] = {}
     for k, (_, j) in enumerate(pairs):
-        by_end[j].append(k)
+        by_end.setdefault(j, []).append(k)
     for j in range(1, n + 1):
         top[j] = top[j - 1]
-        for k in by_end[j]:
+        for k in by_end.get(j, ()):
             if top[pairs[k][0]] + best[k] > top[j]:
                 top[j], via[j] = top[pairs[k][0]] + best[k], k
     out, j = [], n
@@ -267,7 +286,7 @@ def train(texts: list[str]) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> np.ndarray:
-    """Train on at most ``SAMPLE`` documents with a base span: of each kind a share, the first by hash of the id.
+    """Train on at most ``SAMPLE`` documents with a base span: of each kind a share, from a sample by hash of id and text.
 
     Only stretches around the spans are gathered, so the sample has a bound in
     characters too.  Without any such document the model adds nothing.
@@ -290,14 +309,16 @@ def fit(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "kind", "text"])
 
     marked = F.col("text").rlike("@|[0-9][0-9.() -]{5}")
-    # a hash threshold bounds what the search for spans has to read in Python
-    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    some = docs.where(marked).select("doc_id", "text").orderBy(near, "doc_id").limit(5 * SAMPLE)
+    # a hash threshold bounds what the search for spans has to read in Python: about 5 * SAMPLE different rows, equal ones once
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    marked = docs.where(marked).select("doc_id", "text", place.alias("place"))
+    n = marked.count()
+    some = marked.where(F.col("place") < int((1 << 40) * min(1.0, 5 * SAMPLE / max(1, n)))).groupBy("place").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
     found = some.select("doc_id", "text").mapInArrow(cut, "doc_id long, kind string, text string")
-    rows = sorted((r["kind"], r["doc_id"], r["text"]) for r in found.collect())
+    rows = sorted((r["kind"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in found.collect())
     texts = []
     for kind in (*KINDS, "none"):
-        texts += [t for k, _, t in rows if k == kind][: SAMPLE // (len(KINDS) + 1)]
+        texts += [t for k, *_, t in rows if k == kind][: SAMPLE // (len(KINDS) + 1)]
     return train(texts)
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from graphloom.llm import language, pii, quality, toxicity
@@ -122,3 +123,44 @@ def test_pii_adds_other_forms():
     assert found == [(5, 19, "phone")]
     plain = "in 1999 there were 42 of them"
     assert not [s for w in pii.windows(plain) for s in pii.decode(plain, w, weights)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_addresses_as_the_pattern_finds_them(seed):
+    r = random.Random(seed)
+    for _ in range(400):
+        text = "".join(r.choice("a1.-_@ @%é") for _ in range(r.randint(0, 40)))
+        assert [s[:2] for s in pii.base_spans(text) if s[2] == "email"] == [m.span() for m in pii.EMAIL.finditer(text)]
+    assert pii.base_spans("@" + "a" * 300_000) == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_decode_against_enumeration(seed, monkeypatch):
+    r = np.random.default_rng(seed)
+    monkeypatch.setattr(pii, "LONGEST", 3)
+    monkeypatch.setattr(pii, "PART", 2)
+    weights = r.normal(size=(len(pii.KINDS), pii._NAMES))
+    for text in ("12 a@b 3.4", "(55) 66-7", "1 2 3 4@ 5", "x9@y.z 8"):
+        tokens = [t.span() for t in pii._TOKEN.finditer(text)]
+        pairs, f = pii._lattice(text, tokens)
+        score = dict(zip(pairs, (f @ weights.T).max(1)))
+
+        def cuts(i):
+            if i == len(tokens):
+                yield 0.0
+                return
+            yield from cuts(i + 1)
+            for j in range(i + 1, len(tokens) + 1):
+                if (i, j) in score:
+                    yield from (score[i, j] + c for c in cuts(j))
+
+        place = {a: k for k, (a, _) in enumerate(tokens)} | {len(text): len(tokens)}
+        stop = {b: k + 1 for k, (_, b) in enumerate(tokens)}
+        got = sum(score[place[a], stop[b]] for a, b, _ in pii.decode(text, tokens, weights))
+        assert abs(got - max(cuts(0))) < 1e-9
+
+
+def test_long_runs_of_numbers():
+    text = " ".join("7" for _ in range(20_000))
+    assert all(len(t) for t in pii.windows(text))
+    pii.decode(text, next(pii.windows(text)), np.zeros((len(pii.KINDS), pii._NAMES)))
