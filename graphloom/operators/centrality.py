@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.order import numbered
 from graphloom.operators.traverse import closure
 from graphloom.plans.stash import stash
 
@@ -156,23 +157,5 @@ ORDERS = {"centrality": by_centrality, "entryness": by_entryness}
 
 
 def ranked(scored: DataFrame, order: str) -> DataFrame:
-    """Adds ``place`` by one of ``ORDERS``.
-
-    Rows are sorted in ranges and numbered there, and the sizes of the ranges
-    before are added, so no task sees all functions.
-    """
-    line = scored.orderBy(*ORDERS[order](scored)).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
-    line = stash(line, "ranked")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = line.groupBy("_part").agg(F.count("*").alias("n"), F.min("_in").alias("first"))  # one row a range
-    sizes = sizes.select("_part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return line.join(F.broadcast(sizes), "_part").withColumn("place", F.col("before") + F.col("_in") - F.col("first") + 1).drop("_part", "_in", "before", "first")
-
-
-def entryness(anchor: Column, taken: Column, callers: Column, reach: Column, max_reach: Column, dom: Column, max_dom: Column, depth: Column, max_depth: Column, system: Column) -> Column:
-    """How much a function looks like an entry point."""
-    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    return (
-        3 * flag(anchor) + 1.5 * flag(taken & (callers == 0)) + 1 / (1 + callers) + 2 * reach / max_reach + 3 * dom / max_dom
-        + 0.25 * (1 - depth / max_depth) - 4 * flag(system)
-    )
+    """Adds ``place``, from 1, by one of ``ORDERS``."""
+    return numbered(scored, *ORDERS[order](scored)).withColumn("place", F.col("idx") + 1).drop("idx")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.order import numbered
+
 
 def dedup_types(refs: DataFrame) -> DataFrame:
     """``(src, dst, types)``: one edge for each pair, with its distinct reference types in order."""
@@ -48,16 +50,14 @@ def virtual_dispatch(calls: DataFrame, slots: DataFrame) -> DataFrame:
 def table_runs(slots: DataFrame, step: int = 8, least: int = 3) -> DataFrame:
     """Runs of ``least`` or more consecutive slots: ``(table_start, offset, func)``; of a slot's functions the smallest counts.
 
-    Slots are numbered within ranges of addresses; runs that cross a range are
-    found from gaps to the slot before, so only ``lag`` and a running sum over
-    the slots of a region are needed.
+    ``slots(region, slot, func)``.  Consecutive slots keep the difference between
+    address and place in the order of all slots, so a run is a group of equal
+    differences, wherever it lies; no task sees a region as a whole.
     """
-    s = slots.groupBy("region", "slot").agg(F.min("func").alias("func"))
-    w = Window.partitionBy("region").orderBy("slot")
-    s = s.withColumn("_island", F.col("slot") - F.row_number().over(w) * step)
-    island = Window.partitionBy("region", "_island")
-    s = s.withColumn("_n", F.count("*").over(island)).withColumn("table_start", F.min("slot").over(island)).where(F.col("_n") >= least)
-    return s.select("region", "table_start", (F.col("slot") - F.col("table_start")).alias("offset"), "func")
+    s = numbered(slots.groupBy("region", "slot").agg(F.min("func").alias("func")), "region", "slot")
+    s = s.withColumn("_island", F.col("slot") - F.col("idx") * step)
+    runs = s.groupBy("region", "_island").agg(F.count("*").alias("_n"), F.min("slot").alias("table_start")).where(F.col("_n") >= least)
+    return s.join(runs, ["region", "_island"]).select("region", "table_start", (F.col("slot") - F.col("table_start")).alias("offset"), "func")
 
 
 def until_bad(entries: DataFrame, key: str, order: str, bad: Column, most: int = 20) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import notation
 from graphloom.operators import centrality, cluster, edges, render
-from graphloom.operators.components import connected_components
 from graphloom.plans.collect import collector
 from graphloom.plans.stash import stash
 from graphloom.sources import star
@@ -20,8 +19,8 @@ c AS (SELECT DISTINCT src, dst FROM flow WHERE ref = 0),
 few AS (SELECT src FROM c GROUP BY src HAVING count(*) <= 40),
 t AS (SELECT DISTINCT l_partkey AS node, l_orderkey AS r FROM lineitem),
 d AS (SELECT r, count(*) AS df FROM t GROUP BY r HAVING count(*) >= 2 AND count(*) <= greatest(8, (SELECT count(*) FROM part) // 20)),
-f AS (SELECT id, start_, id // 1000 AS region FROM func),
-nx AS (SELECT id AS a, start_, unnest([lead(id, 1) OVER w, lead(id, 2) OVER w, lead(id, 3) OVER w, lead(id, 4) OVER w, lead(id, 5) OVER w, lead(id, 6) OVER w]) AS b FROM f WINDOW w AS (PARTITION BY region ORDER BY start_, id)),
+f AS (SELECT id, start_ FROM func),
+nx AS (SELECT id AS a, start_, unnest([lead(id, 1) OVER w, lead(id, 2) OVER w, lead(id, 3) OVER w, lead(id, 4) OVER w, lead(id, 5) OVER w, lead(id, 6) OVER w]) AS b FROM f WINDOW w AS (ORDER BY start_, id)),
 p AS (
   SELECT src AS a, dst AS b, CAST(1.0 AS DOUBLE) AS w FROM flow WHERE ref = 0
   UNION ALL SELECT src, dst, 0.5 FROM flow WHERE ref IN (1, 6) UNION ALL SELECT src, dst, 0.35 FROM flow WHERE ref = 5
@@ -36,7 +35,7 @@ def _affinity(spark, sf_dir):
     calls = refs.where("ref = 0")
     site = F.when(F.col("ref") == 0, 1.0).when(F.col("ref").isin(1, 6), 0.5).when(F.col("ref") == 5, 0.35)
     touches = star.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("resource"))
-    f = star.functions(spark, sf_dir).select("id", "start", F.floor(F.col("id") / 1000).alias("region"))
+    f = star.functions(spark, sf_dir).select("id", "start")
     parts = [refs.select(F.col("src").alias("a"), F.col("dst").alias("b"), site.alias("w")).where("w is not null"), cluster.co_called(calls), cluster.shared_resources(touches, n), cluster.nearby(f)]
     out = parts[0]
     for p in parts[1:]:
@@ -79,10 +78,45 @@ def single_caller_groups(spark, sf_dir):
 
 @query()
 def louvain(spark, sf_dir):
-    """Communities of the sparse call graph; sequential local moves are beyond SQL (tests check modularity)."""
-    e = cluster.undirected(star.links(spark, sf_dir, 35).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("w")))
-    e = stash(e, "louvain")
-    return cluster.communities(e, connected_components(e, "a", "b"))
+    """Communities of the affinity graph, tiny ones merged; moves in turns are beyond SQL (tests look at modularity)."""
+    e = stash(_affinity(spark, sf_dir), "affinity")
+    return cluster.merge_tiny(cluster.communities(e), e)
+
+
+_TIES = """g AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 7 = 0 THEN p_partkey ELSE p_size % 12 END AS cluster, p_brand AS module FROM part),
+e AS (SELECT DISTINCT src AS a, dst AS b FROM flow)"""
+
+
+def _members(spark, sf_dir):
+    cluster_of = F.when(F.col("p_partkey") % 7 == 0, F.col("p_partkey")).otherwise(F.col("p_size") % 12)
+    return star.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), cluster_of.alias("cluster"), F.col("p_brand").alias("module"))
+
+
+@query(f"""
+WITH {flow_sql(0)}, {_TIES}, tiny AS (SELECT cluster FROM g GROUP BY cluster HAVING count(*) < 2),
+w AS (SELECT x, y, count(*) AS w FROM (
+  SELECT p.cluster AS x, q.cluster AS y FROM e JOIN g p ON p.node = a JOIN g q ON q.node = b UNION ALL SELECT q.cluster, p.cluster FROM e JOIN g p ON p.node = a JOIN g q ON q.node = b) WHERE x <> y GROUP BY x, y),
+t AS (SELECT x AS cluster, y AS into_ FROM w WHERE x IN (FROM tiny) QUALIFY row_number() OVER (PARTITION BY x ORDER BY w DESC, y) = 1)
+SELECT node, coalesce(into_, cluster) AS cluster FROM g LEFT JOIN t USING (cluster)
+""")
+def merged_tiny(spark, sf_dir):
+    """Clusters of one node join the cluster they are tied to most."""
+    e = star.links(spark, sf_dir, 0).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("w"))
+    return cluster.merge_tiny(_members(spark, sf_dir), e)
+
+
+@query("""
+WITH g AS (SELECT p_partkey AS node, p_size % 12 AS cluster, CASE WHEN p_size % 12 = 5 THEN 'one' ELSE p_brand END AS module FROM part),
+n AS (SELECT cluster, sum(n) AS n, max(n) AS top, count(*) AS modules FROM (SELECT cluster, module, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY cluster),
+m AS (SELECT g.*, n > 40 AS large, modules >= 2 AND top < 0.95 * n AS by_module FROM g JOIN n USING (cluster))
+SELECT node, CAST(cluster AS BIGINT) AS cluster, CASE WHEN NOT large THEN 0 WHEN by_module THEN dense_rank() OVER (PARTITION BY cluster ORDER BY module) - 1
+  ELSE (row_number() OVER (PARTITION BY cluster ORDER BY node) - 1) // 40 END AS part FROM m
+""")
+def split_clusters(spark, sf_dir):
+    """Large clusters by module, or where one module is nearly all of them in runs of addresses."""
+    size = (F.col("p_size") % 12).cast("long")
+    g = star.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), size.alias("cluster"), F.when(size == 5, "one").otherwise(F.col("p_brand")).alias("module"))
+    return cluster.split_large(g, 40)
 
 
 _META = f"""{flow_sql(0)}, g AS (SELECT p_partkey AS node, p_size % 12 AS cluster FROM part),

@@ -122,10 +122,41 @@ def test_percentile(spark):
     assert cluster.percentile_by_index(spark.range(101).withColumnRenamed("id", "v"), "v") == 98
 
 
-def test_louvain():
+def test_communities(spark):
     ring = [(a, b, 1.0) for c in range(4) for a in range(5 * c, 5 * c + 5) for b in range(a + 1, 5 * c + 5)] + [(4, 5, 0.1), (9, 10, 0.1), (14, 15, 0.1)]
-    found = cluster.louvain(ring)
-    assert len({found[n] for n in range(5)}) == 1 and len(set(found.values())) == 4
+    found = as_dict(cluster.communities(spark.createDataFrame(ring, "a long, b long, w double"), target=(2, 8)), "node", "cluster")
+    assert found == {n: n // 5 * 5 for n in range(20)}
+
+
+def test_communities_have_modularity(spark):
+    r = random.Random(1)
+    pairs = {(a, b): 1.0 for a in range(40) for b in range(a) if r.random() < (0.6 if a % 4 == b % 4 else 0.03)}
+    found = as_dict(cluster.communities(spark.createDataFrame([(*p, w) for p, w in pairs.items()], "a long, b long, w double"), target=(2, 10)), "node", "cluster")
+
+    def modularity(of):
+        m, degree, inside = len(pairs), {}, 0.0
+        for a, b in pairs:
+            inside += of[a] == of[b]
+            for n in (a, b):
+                degree[of[n]] = degree.get(of[n], 0) + 1
+        return inside / m - sum((d / (2 * m)) ** 2 for d in degree.values())
+
+    assert set(found) == {n for p in pairs for n in p}
+    assert modularity(found) >= 0.9 * modularity({n: n % 4 for n in found})
+
+
+def test_agglomerate(spark):
+    members = spark.createDataFrame([(i, i // 2) for i in range(40)], "node long, cluster long")
+    ties = spark.createDataFrame([(i, i + 1, 1.0 + i % 5) for i in range(39)], "a long, b long, w double")
+    sizes = cluster.agglomerate(members, ties, 5, 20).groupBy("cluster").count().collect()
+    assert sum(r["count"] for r in sizes) == 40 and 5 <= len(sizes) < 20 and max(r["count"] for r in sizes) <= 20
+    assert cluster.agglomerate(members, ties, 5, 3).select("cluster").distinct().count() == 20
+
+
+def test_runs_without_regions(spark):
+    slots = spark.createDataFrame([(0, 8 * i, i) for i in range(200) if i % 10] + [(1, 1600 + 8 * i, i) for i in range(3)], "region long, slot long, func long").repartition(5)
+    got = edges.table_runs(slots).groupBy("region", "table_start").count().collect()
+    assert sorted((r["region"], r["table_start"], r["count"]) for r in got) == [(0, 80 * k + 8, 9) for k in range(20)] + [(1, 1600, 3)]
 
 
 def test_shape_hash(spark):
