@@ -124,14 +124,14 @@ def test_percentile(spark):
 
 def test_communities(spark):
     ring = [(a, b, 1.0) for c in range(4) for a in range(5 * c, 5 * c + 5) for b in range(a + 1, 5 * c + 5)] + [(4, 5, 0.1), (9, 10, 0.1), (14, 15, 0.1)]
-    found = as_dict(cluster.communities(spark.createDataFrame(ring, "a long, b long, w double"), target=(2, 8)), "node", "cluster")
+    found = as_dict(cluster.communities(spark.createDataFrame(ring, "a long, b long, w double"), sweeps=5, levels=1), "node", "cluster")
     assert found == {n: n // 5 * 5 for n in range(20)}
 
 
 def test_communities_have_modularity(spark):
     r = random.Random(1)
     pairs = {(a, b): 1.0 for a in range(40) for b in range(a) if r.random() < (0.6 if a % 4 == b % 4 else 0.03)}
-    found = as_dict(cluster.communities(spark.createDataFrame([(*p, w) for p, w in pairs.items()], "a long, b long, w double"), target=(2, 10)), "node", "cluster")
+    found = as_dict(cluster.communities(spark.createDataFrame([(*p, w) for p, w in pairs.items()], "a long, b long, w double"), sweeps=6, levels=2), "node", "cluster")
 
     def modularity(of):
         m, degree, inside = len(pairs), {}, 0.0
