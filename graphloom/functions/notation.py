@@ -48,9 +48,19 @@ def origin_of(kind: Column, name: Column) -> Column:
 
 
 def c_escape(c: Column) -> Column:
-    """Backslash escapes for quotes, backslashes, line ends and tabs."""
-    steps = [("\\\\", "\\\\\\\\"), ('"', '\\\\"'), ("\n", "\\\\n"), ("\r", "\\\\r"), ("\t", "\\\\t")]
-    return reduce(lambda s, p: F.regexp_replace(s, *p), steps, c)
+    """Backslash escapes for quotes, backslashes, line ends and tabs; \\xHH for the other characters below a space."""
+    named = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    steps = [("\\", "\\\\"), ('"', '\\"'), *[(chr(k), named.get(chr(k), f"\\x{k:02X}")) for k in range(32)]]
+    return reduce(lambda s, p: F.replace(s, F.lit(p[0]), F.lit(p[1])), steps, c)
+
+
+def c_unescape(c: Column) -> Column:
+    """The text that ``c_escape`` was given; an escape that it does not write stands for its second character."""
+    piece = lambda p: (
+        F.when(p.rlike(r"^\\x[0-9A-Fa-f]{2}$"), F.char(F.conv(F.substr(p, F.lit(3)), 16, 10).cast("long")))
+        .when(p.startswith("\\"), F.translate(F.substr(p, F.lit(2)), "nrt", "\n\r\t")).otherwise(p)
+    )
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(?s)\\x[0-9A-Fa-f]{2}|\\.|[^\\]+"), 0), piece), "")
 
 
 def html_escape(c: Column) -> Column:

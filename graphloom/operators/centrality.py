@@ -128,11 +128,15 @@ def reciprocal_rank_fusion(channels: DataFrame, weights: dict[str, float], k: in
     """``(node, score)`` from ``channels(node, channel, value)``: sum of weight / (k + place).
 
     Places are by value, largest first, equal values by node; a channel that is
-    all zero is left out.
+    all zero is left out.  All channels are ranked in one global order
+    (``numbered``), from which each channel's first place is taken off, so no
+    task sees all nodes of a channel.
     """
     live = channels.groupBy("channel").agg(F.max(F.abs("value")).alias("m")).where("m > 0").select("channel")
     c = channels.join(live, "channel")
-    place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("value"), "node"))
+    c = stash(numbered(c, "channel", F.desc("value"), "node"), "places")
+    c = c.join(F.broadcast(c.groupBy("channel").agg(F.min("idx").alias("_first"))), "channel")  # one row a channel
+    place = F.col("idx") - F.col("_first") + 1
     weight = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("channel"))
     return c.select("node", (weight / (k + place)).alias("part")).groupBy("node").agg(F.sum("part").alias("score"))
 

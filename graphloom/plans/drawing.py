@@ -175,6 +175,7 @@ _NAMES = "['direct_call', 'indirect_call', 'data_ref', 'immediate_ref', 'tail_ca
 WITH {flow_sql(0)}, {FUNC}, t AS (SELECT src, dst, list_sort(list(DISTINCT ref)) AS types FROM flow GROUP BY src, dst)
 SELECT src, string_agg(name || ' (0x' || upper(to_hex(start_)) || ') [' || array_to_string(list_transform(types, lambda x: {_NAMES}[x + 1]), '/') || ']', ', ' ORDER BY dst) AS refs
 FROM t JOIN func ON id = dst GROUP BY src
+UNION ALL SELECT id, 'None' FROM func WHERE id NOT IN (SELECT src FROM t)
 """)
 def xref_summary(spark, sf_dir):
     e = edges.dedup_types(star.flow(spark, sf_dir, 0))
@@ -183,8 +184,8 @@ def xref_summary(spark, sf_dir):
 
 @query(f"""
 WITH {flow_sql(0)}, t AS (SELECT src, dst, list_sort(list(DISTINCT ref)) AS types FROM flow GROUP BY src, dst)
-SELECT 'f_' || lower(to_hex(src)) || ' -> f_' || lower(to_hex(dst)) AS line, ['black', 'blue', 'darkgreen', 'gray', 'black', 'purple', 'orange'][types[1] + 1] AS colour,
-  CASE WHEN list_contains(types, 1) OR list_contains(types, 5) THEN 'dashed' ELSE 'solid' END AS style, array_to_string(list_transform(types, lambda x: {_NAMES}[x + 1]), ', ') AS label
+SELECT 'f_' || lower(to_hex(src)) || ' -> f_' || lower(to_hex(dst)) AS line, ['black', 'blue', 'green', 'orange', 'red', 'purple', 'brown'][types[1] + 1] AS colour,
+  CASE WHEN list_contains(types, 1) OR list_contains(types, 5) THEN 'dashed' ELSE 'solid' END AS style, array_to_string(list_transform(types, lambda x: {_NAMES}[x + 1]), ',') AS label
 FROM t
 """)
 def dot_rows(spark, sf_dir):

@@ -81,10 +81,7 @@ def metadata_round_trip(spark, sf_dir):
     c = star.table(spark, sf_dir, "conversations").where("text is not null")
     lines = c.select(F.concat(F.lit("comment "), F.col("conv_id"), F.lit(" "), F.col("turn"), F.lit(' "'), notation.c_escape(F.col("text")), F.lit('"')).alias("line"))
     part = lambda k: F.regexp_extract("line", r'(?s)^comment (\d+) (\d+) "(.*)"$', k)
-    body = F.replace(part(3), F.lit("\\\\"), F.lit("\x01"))
-    for escape, char in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x01", "\\")):
-        body = F.replace(body, F.lit(escape), F.lit(char))
-    return lines.select(part(1).cast("long").alias("conv_id"), part(2).cast("long").alias("turn"), body.alias("text"))
+    return lines.select(part(1).cast("long").alias("conv_id"), part(2).cast("long").alias("turn"), notation.c_unescape(part(3)).alias("text"))
 
 
 @query("""
