@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import annotations, edges, render
 from graphloom.plans.collect import collector
 from graphloom.sources import star
-from graphloom.sources.star import BASE, FUNC, STEP, flow_sql
+from graphloom.sources.star import BASE, FUNC, flow_sql
 
 QUERIES, SQL, query = collector()
 
@@ -40,7 +40,7 @@ def _program(spark, sf_dir):
 
 
 @query(f"""
-WITH {_SITES}, x AS (SELECT id // 100 AS file, * FROM site), nl AS (SELECT chr(10) AS nl),
+WITH {_SITES}, x AS (SELECT id // 100 AS file, * FROM site),
 line AS (
   SELECT file, 0 AS s, CAST(0 AS BIGINT) AS o, 0 AS p, CAST(0 AS BIGINT) AS q, concat_ws(chr(10), '#annotations v1', 'image_base 0x{BASE:X}', 'root_ea 0x' || upper(to_hex(min(start_))), 'arch "x64"', 'created "day \\"1\\""') AS line FROM fn GROUP BY file
   UNION ALL SELECT s_suppkey // 5, 1, s_suppkey, 0, 0, 'type ' || s_suppkey || ' "' || s_name || '" "struct ' || s_name || '\\n{{}};"' FROM supplier
