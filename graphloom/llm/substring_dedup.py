@@ -5,11 +5,10 @@ smallest hash among its ``LENGTH - GRAM + 1`` places (the last of equal ones), s
 equal strings have equal anchors at equal places.  Only suffixes that begin at
 anchors are sorted.  Suffixes with the same anchor meet in one bucket of hashes;
 there the right contexts and the reversed left contexts are sorted with their
-common prefix lengths.  The intervals of suffixes that share r bytes to the
-right are the level r of the common-prefix interval tree; splitting an interval
-by the bytes to the left (its left-extension diversity) gives the groups of
-equal strings with all their occurrences, of which the smallest document keeps
-its bytes.
+common prefix lengths.  A scan with a stack closes the common-prefix intervals
+of the right contexts; each is tested for the diversity of its left extensions
+and divided where they differ, which gives the maximal groups of equal strings
+with all their occurrences.  Of each group the smallest document keeps its bytes.
 """
 
 from __future__ import annotations
@@ -31,6 +30,9 @@ PLACES = LENGTH - GRAM + 1
 _LOW = np.uint64(0xFFFFFFFF)
 #: Bits for positions beside the hash in one integer, and bytes looked at in one go.
 _BITS, _PIECE = 26, 1 << 25
+_CONTEXT = ["anchor", "doc", "row", "place", "near", "far", "bytes"]
+#: Suffixes that are sorted at once (more if one anchor has more).
+_SUFFIXES = 1 << 19
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -220,19 +222,48 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield lo, hi, data, off[lo : hi + 1] - off[lo]
 
 
-def _contexts(docs: DataFrame) -> DataFrame:
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of all ranges, and the range that each belongs to."""
+    size = last - first + 1
+    at = np.cumsum(size) - size
+    return np.repeat(first - at, size) + np.arange(size.sum()), np.repeat(np.arange(len(first)), size)
+
+
+def _settled(h: np.ndarray, doc: np.ndarray, near: np.ndarray, far: np.ndarray, begin: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Of the suffixes of a slice, those whose whole context a smaller document of the slice has too."""
+    length = far - near + LENGTH
+    text = B.span_hashes(B.running(data), begin, begin + length)
+    order = np.lexsort((doc, near, far, text, h))
+    same = np.ones(len(order), bool)
+    same[:1] = False
+    for c in (h, text, near, far):
+        same[1:] &= c[order[1:]] == c[order[:-1]]
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    later = np.flatnonzero(doc[order] > doc[order[head]])
+    a, b = order[later], order[head[later]]
+    if not len(a):
+        return a
+    (x, own), (y, _) = (_spread(begin[i], begin[i] + length[i] - 1) for i in (a, b))
+    return a[np.bincount(own, data[x] != data[y], len(a)) == 0]
+
+
+def _contexts(docs: DataFrame, settle: bool = True) -> DataFrame:
     """Suffixes at shared anchors of ``docs(doc_id, key, z, codes)``, packed by bucket.
 
     For each: anchor, document, row, place, the range of its distances from the starts
     of its strings, and the bytes from the first start to the last string's end.
+    With ``settle``, of suffixes of a slice with one context only those of the smallest
+    document are sent; the others are known to be repeats, and their spans go to
+    the buckets below zero, so that a passage of a third of all documents is sent once a slice.
     """
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["bucket", "anchor", "doc", "row", "place", "near", "far", "bytes"]
+    names = ["bucket", *_CONTEXT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
             held: dict[int, list[tuple]] = {}
+            rows = []
             for lo, hi, data, off in _texts(batch):
                 place, h, first, last = _anchors(data, off)
                 own = np.searchsorted(off, place, "right") - 1
@@ -243,6 +274,12 @@ def _contexts(docs: DataFrame) -> DataFrame:
                     wanted = np.frombuffer(codes.as_buffer(), "<u8")
                     keep[edge[i] : edge[i + 1]] = np.isin(code[edge[i] : edge[i + 1]], wanted)
                 at = np.flatnonzero(keep)
+                if settle and len(at):
+                    done = at[_settled(h[at], ids[lo:hi][own[at]], place[at] - last[at], place[at] - first[at], first[at], data)]
+                    spans = np.column_stack([first[done], last[done] + LENGTH]) - off[own[done]][:, None]
+                    rows += [(-1 - k, b"", docs, counts, items, b"", b"", b"") for k, docs, counts, items in _bundles(keys[lo:hi][own[done]], spans, buckets)]
+                    keep[done] = False
+                    at = np.flatnonzero(keep)
                 if not len(at):
                     continue
                 to = (code[at] >> np.uint64(32)).astype(np.int64)
@@ -251,88 +288,193 @@ def _contexts(docs: DataFrame) -> DataFrame:
                 cut = np.flatnonzero(np.diff(to, prepend=-1, append=buckets))
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     k = at[a:b]
-                    length = last[k] - first[k] + LENGTH
-                    index = np.repeat(first[k] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+                    index, _ = _spread(first[k], last[k] + LENGTH - 1)
                     held.setdefault(int(to[a]), []).append(
                         (h[k].astype("<u8").tobytes(), ids[lo:hi][own[k]].astype("<i8").tobytes(), (keys - ids)[lo:hi][own[k]].astype("<i8").tobytes(), (place[k] - off[own[k]]).astype("<i8").tobytes(), (place[k] - last[k]).astype("u1").tobytes(), (place[k] - first[k]).astype("u1").tobytes(), data[index].tobytes())
                     )
-            rows = [(k, *[_zip(b"".join(c)) for c in zip(*own, strict=True)]) for k, own in held.items()]
+            rows += [(k, *[_zip(b"".join(c)) for c in zip(*own, strict=True)]) for k, own in held.items()]
             yield _packed(rows, [pa.int32(), *[pa.binary()] * 7], names)
 
     return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{n} binary" for n in names[1:]))
 
 
-def _levels(group: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _levels(group: np.ndarray, context: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of ``context`` rows within groups: the order, and the common prefix of each row
-    with the one before it (-1 where a group begins)."""
+    with the one before it (-1 where a group begins).  ``length``: bytes that each row really has."""
     wide = np.zeros((len(context), -(-context.shape[1] // 8) * 8), np.uint8)
     wide[:, : context.shape[1]] = context
     columns = wide.view(">u8")
     order = np.lexsort((*columns.T[::-1], group))
-    common = np.full(len(order), -1)
+    common = np.full(len(order), -1, np.int8)
     if len(order) > 1:
         a, b = context[order[1:]], context[order[:-1]]
         differ = a != b
-        lcp = np.where(differ.any(1), differ.argmax(1), context.shape[1])
-        common[1:] = np.where(group[order[1:]] == group[order[:-1]], lcp, -1)
+        same = np.where(differ.any(1), differ.argmax(1), context.shape[1])
+        same = np.minimum(same, np.minimum(length[order[1:]], length[order[:-1]]))
+        common[1:] = np.where(group[order[1:]] == group[order[:-1]], same, -1)
     return order, common
 
 
-def repeats(anchor: np.ndarray, doc: np.ndarray, near: np.ndarray, far: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """For each suffix and distance l from its start, whether the string of ``LENGTH`` bytes that
-    begins l bytes before the anchor also begins in a smaller document (suffixes x places).
+def intervals(common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First row, last row and depth of each interval of rows with a common prefix, by one scan with a stack.
 
-    ``data`` holds for each suffix, one after the other, the bytes from ``far``
-    bytes before the anchor to the end of the string that begins ``near`` before it.
+    ``common``: common prefix of each row with the one before it, negative where none counts.
+    """
+    firsts, lasts, depths = [], [], []
+    depth, first = [-1], [0]
+    top = -1
+    for i, c in enumerate([*common[1:].tolist(), -1]):
+        if c == top:
+            continue
+        low = i
+        while top > c:
+            low = first.pop()
+            firsts.append(low)
+            lasts.append(i)
+            depths.append(depth.pop())
+            top = depth[-1]
+        if c > top:
+            depth.append(c)
+            first.append(low)
+            top = c
+    return np.array(firsts, np.int64), np.array(lasts, np.int64), np.array(depths, np.int64)
+
+
+class _Least:
+    """Smallest value of any range of an array."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.rows, width = [values], 1
+        while 2 * width <= len(values):
+            low = self.rows[-1].copy()
+            low[: len(low) - width] = np.minimum(low[:-width], low[width:])
+            self.rows.append(low)
+            width *= 2
+        self.rows = np.stack(self.rows)
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Least of the values after place a, up to place b > a."""
+        k = np.frexp((b - a).astype(np.float64))[1] - 1
+        return np.minimum(self.rows[k, a + 1], self.rows[k, b - (1 << k) + 1])
+
+
+def maximal_groups(anchor: np.ndarray, doc: np.ndarray, near: np.ndarray, far: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of equal strings of at least ``LENGTH`` bytes around anchors that at least two documents
+    have and that cannot be made longer for all members: (member suffix, its group), and for each group
+    the bytes before and from the anchor on.
+
+    ``data`` holds for each suffix, one after the other, the bytes from ``far`` bytes before the anchor to
+    the end of the string that begins ``near`` before it; a group is the longest within these bytes.
+
+    One scan with a stack gives the common-prefix intervals of the sorted right contexts.  The left contexts
+    of an interval's members, in sorted order, are scanned in the same way: the intervals found there differ
+    in the next byte to the left, and those whose members lie in one deeper right interval are left to that.
     """
     n = len(anchor)
-    length = far - near + LENGTH
-    begin = np.cumsum(length) - length
+    before, after = far, LENGTH - near
+    begin = np.cumsum(far + after) - far - after
     group = np.unique(anchor, return_inverse=True)[1]
+    # one more than the byte, so that no byte of UTF-8 equals what stands beyond the end
     right = np.zeros((n, LENGTH), np.uint8)
     for j in range(LENGTH):
-        ok = far + j < length
-        right[ok, j] = data[begin[ok] + far[ok] + j]
+        ok = j < after
+        right[ok, j] = data[begin[ok] + far[ok] + j] + np.uint8(1)
     left = np.zeros((n, PLACES - 1), np.uint8)
     for j in range(PLACES - 1):
-        ok = j < far
-        left[ok, j] = data[begin[ok] + far[ok] - 1 - j]
-    hit = np.zeros((n, PLACES), bool)
-    r_order, r_common = _levels(group, right)
-    l_order, l_common = _levels(group, left)
-    r_id, l_id = np.empty(n, np.int64), np.empty(n, np.int64)
-    for place in range(PLACES):
-        at = np.flatnonzero((near <= place) & (place <= far))
-        if len(at) < 2:
-            continue
-        # intervals of the tree at this depth, divided by what stands to the left
-        r_id[r_order] = np.cumsum(r_common < LENGTH - place)
-        l_id[l_order] = np.cumsum(l_common < place)
-        key = r_id[at] * np.int64(n + 1) + l_id[at]
-        order = np.lexsort((doc[at], key))
-        key = key[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        least = doc[at][order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        hit[at[order], place] = doc[at][order] > least
-    return hit
+        ok = j < before
+        left[ok, j] = data[begin[ok] + far[ok] - 1 - j] + np.uint8(1)
+    r_order, r_common = _levels(group, right, after)
+    l_order, l_common = _levels(group, left, before)
+    del right, left
+    r_common = np.where(r_common < GRAM, np.int8(-1), r_common)
+    first, last, depth = intervals(r_common)
+    none = np.zeros(0, np.int64)
+    if not len(first):
+        return none, none, none, none
+    r_rank, l_rank = np.empty(n, np.int64), np.empty(n, np.int64)
+    r_rank[r_order], l_rank[l_order] = np.arange(n), np.arange(n)
+    r_least, l_least = _Least(r_common), _Least(l_common)
+
+    # members of each right interval by their left contexts
+    row, own = _spread(first, last)
+    member = r_order[row]
+    start = np.flatnonzero(np.diff(own, prepend=-1))
+    several = np.minimum.reduceat(doc[member], start) != np.maximum.reduceat(doc[member], start)
+    inside = several[own]
+    member, own = member[inside], own[inside]
+    if not len(member):
+        return none, none, none, none
+    order = np.lexsort((l_rank[member], own))
+    member, own = member[order], own[order]
+    rank = l_rank[member]
+    common = np.full(len(member), -1, np.int64)
+    same = np.flatnonzero(own[1:] == own[:-1]) + 1
+    common[same] = l_least.between(rank[same - 1], rank[same])
+    common[common + depth[own] < LENGTH] = -1
+    a, b, left_depth = intervals(common)
+    if not len(a):
+        return none, none, none, none
+    row, g = _spread(a, b)
+    start = np.flatnonzero(np.diff(g, prepend=-1))
+    member_of = member[row]
+    low, high = np.minimum.reduceat(r_rank[member_of], start), np.maximum.reduceat(r_rank[member_of], start)
+    right_depth = depth[own[a]]
+    several = np.minimum.reduceat(doc[member_of], start) != np.maximum.reduceat(doc[member_of], start)
+    keep = several & (r_least.between(low, high) == right_depth)
+    number = np.cumsum(keep) - 1
+    chosen = keep[g]
+    return member_of[chosen], number[g[chosen]], left_depth[keep], right_depth[keep]
+
+
+def repeats(anchor: np.ndarray, doc: np.ndarray, near: np.ndarray, far: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each suffix and distance l from its start, whether the string of ``LENGTH`` bytes that
+    begins l bytes before the anchor also begins in a smaller document (suffixes x places)."""
+    member, group, left, right = maximal_groups(anchor, doc, near, far, data)
+    change = np.zeros(len(anchor) * (PLACES + 1), np.int64)
+    if len(member):
+        least = np.minimum.reduceat(doc[member], np.flatnonzero(np.diff(group, prepend=-1)))
+        later = doc[member] > least[group]
+        member, group = member[later], group[later]
+        change += np.bincount(member * (PLACES + 1) + LENGTH - right[group], minlength=len(change))
+        change -= np.bincount(member * (PLACES + 1) + left[group] + 1, minlength=len(change))
+    return np.cumsum(change.reshape(-1, PLACES + 1), axis=1)[:, :PLACES] > 0
+
+
+def _suffixes(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """Suffixes of a bucket, all of an anchor together, about ``_SUFFIXES`` at a time."""
+    read = lambda c, t: np.concatenate([np.frombuffer(_unzip(x.as_buffer().to_pybytes()), t) for x in table.column(c)])
+    anchor, doc, key, place, near, far, data = (read(c, t) for c, t in zip(_CONTEXT, ("<u8", "<i8", "<i8", "<i8", "u1", "u1", "u1"), strict=True))
+    near, far = near.astype(np.int64), far.astype(np.int64)
+    length = far - near + LENGTH
+    begin = np.cumsum(length) - length
+    order = np.argsort(anchor, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(anchor[order], prepend=~anchor[order[:1]])), len(order))
+    lo = 0
+    while lo < len(order):
+        hi = int(edges[max(np.searchsorted(edges, lo + _SUFFIXES, "right") - 1, np.searchsorted(edges, lo, "right"))])
+        at = order[lo:hi]
+        index, _ = _spread(begin[at], begin[at] + length[at] - 1)
+        yield anchor[at], doc[at], (doc + key)[at], place[at], near[at], far[at], data[index]
+        lo = hi
 
 
 def covered(contexts: DataFrame) -> DataFrame:
     """``(doc_id, spans)``: of each row, known by its key, the byte ranges (from, to) that stand in a smaller document."""
     chunks = 2 * int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["anchor", "doc", "row", "place", "near", "far", "bytes"]
 
     def scan(bucket: tuple, table: pa.Table) -> pa.Table:
-        read = lambda c, t: np.concatenate([np.frombuffer(_unzip(x.as_buffer().to_pybytes()), t) for x in table.column(c)])
-        anchor, doc, key, place, near, far, data = (read(c, t) for c, t in zip(names, ("<u8", "<i8", "<i8", "<i8", "u1", "u1", "u1"), strict=True))
-        near, far = near.astype(np.int64), far.astype(np.int64)
-        hit = repeats(anchor, doc, near, far, data)
-        # neighbouring distances make one range
-        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, low = np.nonzero(edge == 1)
-        _, high = np.nonzero(edge == -1)
-        spans = np.column_stack([place[row] - (high - 1), place[row] - low + LENGTH])
-        return _bundle_table(_bundles((doc + key)[row], spans, chunks))
+        k = bucket[0].as_py()
+        if k < 0:  # settled before they were sent
+            return pa.table({"chunk": pa.array([-1 - k] * table.num_rows, pa.int32()), "docs": table.column("doc"), "counts": table.column("row"), "items": table.column("place")})
+        rows = []
+        for anchor, doc, key, place, near, far, data in _suffixes(table):
+            hit = repeats(anchor, doc, near, far, data)
+            # neighbouring distances make one range
+            edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            row, low = np.nonzero(edge == 1)
+            _, high = np.nonzero(edge == -1)
+            rows += _bundles(key[row], np.column_stack([place[row] - (high - 1), place[row] - low + LENGTH]), chunks)
+        return _bundle_table(rows)
 
     return _by_document(contexts.groupBy("bucket").applyInArrow(scan, _BUNDLE), "spans", 2)
 
@@ -348,6 +490,44 @@ def _kept(data: bytes, spans: bytes) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, key)``: rows are known by their id where all ids are different (one narrow
+    aggregation tells), otherwise by a hash of id and text."""
+    repeated = bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
+    return docs.select("doc_id", "text", (F.xxhash64("doc_id", "text") if repeated else F.col("doc_id")).alias("key"))
+
+
+def _anchored(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """The rows of ``packed`` that share an anchor with another, with its codes."""
+    told = stash(shared_anchors(docs.where("doc_id is not null").select(F.col("key").alias("doc_id"), "text")), "anchors").withColumnRenamed("doc_id", "_key")
+    return packed.join(told, packed["key"] == told["_key"]).where("doc_id is not null")
+
+
+def maximal_repeats(docs: DataFrame) -> DataFrame:
+    """``(group, length, doc_id, start)``: one row for each occurrence (byte place) of each group of equal strings.
+
+    A group has ``length`` >= ``LENGTH`` bytes around one anchor, stands in two or more documents, and no
+    byte more on either side is common to all its occurrences, as far as the strings of this anchor reach
+    (at most ``PLACES - 1`` bytes before the anchor and ``LENGTH`` from it on; a longer repeat is a chain of
+    overlapping groups).  Rows without an id take no part.
+    """
+    docs = _keyed(docs)
+
+    def scan(bucket: tuple, table: pa.Table) -> pa.Table:
+        out = []
+        for anchor, doc, _, place, near, far, data in _suffixes(table):
+            member, group, left, right = maximal_groups(anchor, doc, near, far, data)
+            edge = np.diff(group, prepend=-1) > 0
+            # occurrences differ between groups of an anchor, so number and extent name a group
+            extent = (left * (LENGTH + 1) + right).astype(np.uint64)
+            first = B.mix((doc[member][edge].view(np.uint64) << np.uint64(20)) + place[member][edge].astype(np.uint64))
+            name = (B.mix(anchor[member[edge]] + B.mix(extent)) ^ first).view(np.int64)
+            out.append(pa.table({"group": pa.array(name[group], pa.int64()), "length": pa.array((left + right)[group], pa.int64()), "doc_id": pa.array(doc[member], pa.int64()), "start": pa.array(place[member] - left[group], pa.int64())}))
+        return pa.concat_tables(out)
+
+    return _contexts(_anchored(docs, _compressed(docs)), settle=False).groupBy("bucket").applyInArrow(scan, "group long, length long, doc_id long, start long")
+
+
 def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` and, if asked, ``kept`` (the bytes left).
 
@@ -357,17 +537,11 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     document: each is judged by its own text, and they do not remove from each
     other.  Rows without an id are not compared and lose nothing.  An empty table
     gives an empty result.
-
-    Rows are known by their id where all ids are different (one narrow
-    aggregation tells), otherwise by a hash of id and text.
     """
-    repeated = bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
-    docs = docs.select("doc_id", "text", (F.xxhash64("doc_id", "text") if repeated else F.col("doc_id")).alias("key"))
+    docs = _keyed(docs)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
-    told = stash(shared_anchors(docs.where("doc_id is not null").select(F.col("key").alias("doc_id"), "text")), "anchors").withColumnRenamed("doc_id", "_key")
     packed = _compressed(docs)
-    contexts = _contexts(packed.join(told, packed["key"] == told["_key"]).where("doc_id is not null"))
-    spans = stash(covered(contexts), "spans").withColumnRenamed("doc_id", "_key")
+    spans = stash(covered(_contexts(_anchored(docs, packed))), "spans").withColumnRenamed("doc_id", "_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

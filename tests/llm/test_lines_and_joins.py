@@ -164,6 +164,68 @@ def test_substrings(docs, rows):
         assert (got[d]["n_bytes"], got[d]["n_removed"], got[d]["n_spans"]) == (len(x), sum(gone), len(re.findall(b"\1+", bytes(gone))))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_repeats_of_a_bucket(seed):
+    r = np.random.default_rng(seed)
+    n, base = 60, r.integers(97, 99, (3, 80)).astype(np.uint8)
+    anchor, doc, near = r.integers(0, 2, n).astype(np.uint64), r.integers(0, 12, n), r.integers(0, 6, n)
+    far = np.minimum(30, near + r.integers(0, 28, n))
+    rows = []
+    for i in range(n):
+        x = base[r.integers(0, 3)].copy()
+        x[r.integers(0, 80, r.integers(0, 3))] = 99
+        x[30:50] = anchor[i] + 65
+        rows.append(x[30 - far[i] : 80 - near[i]])
+    string = lambda i, place: (anchor[i], place, rows[i][far[i] - place : far[i] - place + 50].tobytes())
+    least = {}
+    for i in range(n):
+        for place in range(near[i], far[i] + 1):
+            least[string(i, place)] = min(least.get(string(i, place), n), doc[i])
+    got = substring_dedup.repeats(anchor, doc, near, far, np.concatenate(rows))
+    assert got.any()
+    for i in range(n):
+        assert got[i].tolist() == [bool(near[i] <= k <= far[i] and doc[i] > least[string(i, k)]) for k in range(31)]
+
+
+def test_maximal_repeats(docs, rows):
+    data = {d: (t or "").encode() for d, t, *_ in rows}
+    groups = {}
+    for r in substring_dedup.maximal_repeats(docs).collect():
+        groups.setdefault((r["group"], r["length"]), set()).add((r["doc_id"], r["start"]))
+    assert len({g for g, _ in groups}) == len(groups) > 0
+    covered = {}
+    for (_, n), places in groups.items():
+        (text,) = {data[d][i : i + n] for d, i in places}
+        assert len(text) == n >= 50 and len({d for d, _ in places}) > 1
+        for k in range(n - 49):
+            covered.setdefault(text[k : k + 50], []).append({(d, i + k) for d, i in places})
+    everywhere = {}
+    for d, x in data.items():
+        for i in range(len(x) - 49):
+            everywhere.setdefault(x[i : i + 50], set()).add((d, i))
+    for text, places in everywhere.items():
+        if len({d for d, _ in places}) > 1:
+            # all occurrences stand in one group, not in neighbouring pairs
+            assert places in covered[text]
+
+
+def test_substrings_of_a_hot_passage(spark):
+    passage = "the passage that every document of this table holds, word for word, and more than once"
+    rows = [(i, f"{i * 7919 % 1009} own words {i} {passage} {i % 3} {passage if i % 2 else ''}") for i in range(300)]
+    data = {d: t.encode() for d, t in rows}
+    first = {}
+    for d in sorted(data):
+        for i in range(len(data[d]) - 49):
+            first.setdefault(data[d][i : i + 50], d)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in substring_dedup.remove_repeats(docs).collect():
+        x, gone = data[r["doc_id"]], set()
+        for i in range(len(x) - 49):
+            if first[x[i : i + 50]] < r["doc_id"]:
+                gone.update(range(i, i + 50))
+        assert r["n_removed"] == len(gone)
+
+
 def test_mixing(docs, rows):
     sized = docs.select("doc_id", "source", "lang", mixing.word_count(docs["text"]).alias("size"))
     out = mixing.mix(sized).collect()
