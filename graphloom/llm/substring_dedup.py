@@ -275,9 +275,13 @@ def _contexts(docs: DataFrame, settle: bool = True) -> DataFrame:
                     keep[edge[i] : edge[i + 1]] = np.isin(code[edge[i] : edge[i + 1]], wanted)
                 at = np.flatnonzero(keep)
                 if settle and len(at):
-                    done = at[_settled(h[at], ids[lo:hi][own[at]], place[at] - last[at], place[at] - first[at], first[at], data)]
-                    spans = np.column_stack([first[done], last[done] + LENGTH]) - off[own[done]][:, None]
-                    rows += [(-1 - k, b"", docs, counts, items, b"", b"", b"") for k, docs, counts, items in _bundles(keys[lo:hi][own[done]], spans, buckets)]
+                    done = np.sort(at[_settled(h[at], ids[lo:hi][own[at]], place[at] - last[at], place[at] - first[at], first[at], data)])
+                    # spans that meet are sent as one
+                    new = np.flatnonzero(np.concatenate([[True], (own[done[1:]] != own[done[:-1]]) | (first[done[1:]] > last[done[:-1]] + LENGTH)])[: len(done)])
+                    end = np.append(new[1:], len(done))[: len(new)] - 1
+                    text = own[done[new]]
+                    spans = np.column_stack([first[done[new]], last[done[end]] + LENGTH]) - off[text][:, None]
+                    rows += [(-1 - k, b"", docs, counts, items, b"", b"", b"") for k, docs, counts, items in _bundles(keys[lo:hi][text], spans, buckets)]
                     keep[done] = False
                     at = np.flatnonzero(keep)
                 if not len(at):

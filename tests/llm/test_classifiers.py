@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from graphloom.llm import language, pii, quality, toxicity
+from graphloom.llm import _bytes, language, pii, quality, toxicity
 
 from .fixtures import SCHEMA, corpus
 
@@ -26,6 +26,24 @@ def _texts(seed, n, sounds, bad=()):
     return out
 
 
+def _gram(s):
+    """The hash of a run of characters, one character after the other."""
+    h = 0
+    for k, c in enumerate(s):
+        h = (h ^ h >> 15) if k else 0
+        h = (h + int.from_bytes(c.encode(), "big")) * 0x9E3779B1 % 2**32
+    return h
+
+
+def _lower(t):
+    return (t or "").translate({i: i + 32 for i in range(65, 91)})
+
+
+def _hash(word):
+    data = np.frombuffer(word, np.uint8)
+    return int(_bytes.span_hashes(_bytes.running(data), np.array([0]), np.array([len(word)]))[0])
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     clean, foul = _texts(1, 80, ["ka", "lo", "mi", "te"]), _texts(2, 40, ["ka", "lo", "mi", "te"], ("vilewort", "nastling"))
@@ -85,13 +103,108 @@ def test_language(spark):
     assert language.fit(docs.where("false")) is None
 
 
+ODD = [(2000, None), (2001, ""), (2002, "é"), (2003, "Ünd Ka LO ción \U0001f600 " * 40), (None, "ka lo mi"), (2000, "tsch ung")]
+
+
+def test_language_scores_by_hand(spark):
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(_texts(7, 30, ["ka", "lo"]) + _texts(8, 30, ["ung", "ver", "é"]))]
+    docs = spark.createDataFrame(rows + [(d, t, None) for d, t in ODD], "doc_id long, text string, lang string").repartition(3)
+    slots = lambda t, n: [(k, _gram(t[i : i + m]) >> 18) for k, m in enumerate(language.GRAMS) if m in n for i in range(len(t) - m + 1)]
+    seen = {}
+    learnt = [t for d, t, lang in rows if zlib.crc32(str(d).encode()) % 5]
+    for t in learnt:
+        for f in set(slots(_lower(t), language.GRAMS)):
+            seen[f] = seen.get(f, 0) + 1
+    model = language.fit(docs)
+    idf = lambda f: np.log((1 + len(learnt)) / (1 + seen.get(f, 0))) + 1
+    want = {}
+    for d, t in [r[:2] for r in rows] + ODD:
+        if not any(map(str.isalpha, t or "")):
+            want.setdefault(d, []).append(("und", 0.0))
+            continue
+        count = {}
+        for f in slots(_lower(t), language.GRAMS):
+            count[f] = count.get(f, 0) + 1
+        value = {f: np.log1p(c) * idf(f) for f, c in count.items()}
+        norm = sum(v * v for v in value.values()) ** 0.5
+        z = [sum(w[k * language.DIM + f] * v / norm for (k, f), v in value.items()) + b for w, b in zip(model.weights, model.bias)]
+        e = [np.exp((x - max(z)) / model.temperature) for x in z]
+        want.setdefault(d, []).append((model.languages[int(np.argmax(z))], max(e) / sum(e)))
+    got = {}
+    for r in language.predict(docs, model).collect():
+        got.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"]))
+    assert got.keys() == want.keys()
+    for d in want:
+        for (a, p), (b, q) in zip(sorted(got[d]), sorted(want[d]), strict=True):
+            assert a == b and abs(p - q) < 1e-5
+
+
+def test_toxicity_by_hand(spark, labelled):
+    docs, labels = labelled
+    chain = toxicity.fit(docs, labels)
+    texts = ODD + [(3000, "ka VileWort-nastling9 lo"), (3001, "vile vilew vilewo nast"), (3001, "vilewort\0nastling")]
+    want = []
+    for d, t in texts:
+        words = re.findall(rb"[a-z\x80-\xff]+", _lower(t).encode())
+        has = {_hash(w) for w in words} | {(_hash(w[:n]) + k) % 2**64 for w in words for k, n in enumerate(toxicity.PREFIXES, 1)}
+        row, p = [k for k, f in enumerate(chain.features.tolist()) if f in has], []
+        for w, v, b in chain.models:
+            z = sum(w[k] for k in row) + sum(x * y for x, y in zip(v, p)) + b
+            p.append(1 / (1 + np.exp(-z)))
+        p = p if row else [0.0] * len(chain.models)
+        want.append((d or 0, *p, p[-1] >= toxicity.THRESHOLD))
+    got = toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), chain).collect()
+    got = [(r["doc_id"] or 0, *[r[f"p_{c}"] for c in toxicity.CHAIN], r["toxic"]) for r in got]
+    assert any(r[-1] for r in want) and len(got) == len(want)
+    for a, b in zip(sorted(got), sorted(want)):
+        assert np.allclose(np.array(a, float), np.array(b, float), atol=1e-5)
+
+
+def test_toxicity_chain_uses_predictions_out_of_fold(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    calls, real = [], toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y, dim, earlier: calls.append((x, y, earlier, real(x, y, dim, earlier))) or calls[-1][-1])
+    toxicity.fit(docs, labels)
+    n = toxicity.FOLDS + 1
+    assert len(calls) == n * len(toxicity.CHAIN)
+    x, y, earlier, _ = calls[-1]
+    assert earlier.shape == (len(y), 1)
+    for row in range(len(y)):
+        # the model that gave this row's probability was fitted on the rows of the other folds
+        _, seen, _, (w, _, b) = calls[row % toxicity.FOLDS]
+        assert len(seen) == sum(i % toxicity.FOLDS != row % toxicity.FOLDS for i in range(len(y)))
+        z = sum(w[k] for k in x.index[x.start[row] : x.start[row + 1]]) + b
+        assert abs(earlier[row, 0] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_quality_by_hand(spark):
+    good, poor = _texts(3, 40, ["ka", "lo", "mi", "é"]), [t.upper().replace(" ", "!! ") for t in _texts(4, 40, ["ka", "lo", "mi"])]
+    rows = list(enumerate(good + poor)) + ODD
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80) if i % 3] + [(7, None), (None, 1), (1, 1), (1, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    want = {}
+    for d, t in rows:
+        w = [_hash(x.encode()) for x in WORD.findall(t or "")]
+        kinds = [[int(_bytes.chained(np.array(w[i : i + n], np.uint64), n)[0]) >> 49 for i in range(len(w) - n + 1)] for n in quality.WORDS]
+        kinds += [[_gram((t or "")[i : i + n]) >> 17 for i in range(len(t or "") - n + 1)] for n in quality.CHARS]
+        z = model.bias + sum(quality.SCALE * sum(float(model.weights[k * quality.DIM + f]) for f in own) / max(1, len(own)) for k, own in enumerate(kinds))
+        want.setdefault(d, []).append(1 / (1 + np.exp(min(700.0, -model.slope * z - model.shift))))
+    got = quality.judge(docs, model).collect()
+    assert len(got) == len(rows) and any(r["base_failed"] for r in got)
+    for r in got:
+        assert r["kept"] == (not r["base_failed"] and r["p_good"] >= quality.KEEP) and (r["p_good"] is None) == r["base_failed"]
+        assert r["base_failed"] or min(abs(r["p_good"] - p) for p in want[r["doc_id"]]) < 1e-5
+    assert quality.judge(docs.where("false"), model).count() == 0
+
+
 def _plain(text):
     kinds = {"email": pii.EMAIL, "ip": pii.IP, "card": pii.CARD, "phone": pii.PHONE}
     out = []
     for n, (kind, pattern) in enumerate(kinds.items()):
         for m in pattern.finditer(text):
             d = re.sub("[^0-9]", "", m[0])
-            fits = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(d) <= 19 and pii.luhn(d), "phone": 10 <= len(d) <= 15}
+            fits = {"email": True, "ip": kind != "ip" or all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")), "card": 14 <= len(d) <= 19 and pii.luhn(d), "phone": 10 <= len(d) <= 15}
             if fits[kind]:
                 out.append((m.start(), n, f"{kind}:{m.start()}:{m.end()}"))
     return ",".join(x for *_, x in sorted(out))
@@ -107,10 +220,10 @@ def test_pii_base(spark):
     docs = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
     weights = pii.fit(docs)
     for r in pii.find(docs, weights).collect():
-        base = _plain(CASES[r["doc_id"]] or "") if r["doc_id"] != 11 else ""
-        if r["doc_id"] != 11:
-            assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), CASES[r["doc_id"]]
-            assert {x for x in base.split(",") if x} <= set(r["spans"].split(","))
+        base = _plain(CASES[r["doc_id"]] or "")
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), CASES[r["doc_id"]]
+        assert {x for x in base.split(",") if x} <= set(r["spans"].split(","))
+    assert pii.find(docs.where("false").withColumn("spans", docs["doc_id"]), weights).count() == 0
 
 
 def test_pii_adds_other_forms():

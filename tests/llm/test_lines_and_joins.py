@@ -310,6 +310,40 @@ def test_reduction_keeps_every_piece(seed):
     assert got == counts and n <= -(-sum(lengths) // capacity) * 1.3 + 1
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying all."""
+    best = len(lengths)
+
+    def place(left, rooms):
+        nonlocal best
+        if len(rooms) >= best and left:
+            return
+        if not left:
+            best = min(best, len(rooms))
+            return
+        w, rest = left[0], left[1:]
+        for k, room in enumerate(rooms):
+            if w <= room and room not in rooms[:k]:
+                place(rest, [*rooms[:k], room - w, *rooms[k + 1 :]])
+        place(rest, [*rooms, capacity - w])
+
+    place(sorted(lengths, reverse=True), [])
+    return best
+
+
+def test_packing_against_all_packings():
+    more = 0
+    for seed in range(150):
+        r = np.random.default_rng(seed)
+        capacity = int(r.choice([10, 20, 37]))
+        lengths = r.integers(1, capacity + 1, r.integers(1, 11)).tolist()
+        n = sum(many for many, _ in packing.reduce_and_fit({w: lengths.count(w) for w in set(lengths)}, capacity))
+        least = fewest(lengths, capacity)
+        assert least <= n <= least + 1
+        more += n > least
+    assert more <= 3
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(400, 8)).astype(np.float32)
