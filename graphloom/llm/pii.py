@@ -105,7 +105,7 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
 
 
 #: Features of a segment, in the order of ``_features``.
-_NAMES = 34
+_NAMES = 36
 
 
 def _features(text: str, a: int, b: int, n: int) -> np.ndarray:
@@ -147,6 +147,9 @@ def _features(text: str, a: int, b: int, n: int) -> np.ndarray:
     f[31] = b + 1 < len(text) and text[b] in "-. " and text[b + 1].isdigit()
     f[32] = d == len(s)
     f[33] = "@" in s and any(c.isspace() for c in s)
+    # a part of a longer name: a joint between letters or digits is cut
+    f[34] = a > 1 and text[a - 1] in "._%+-" and text[a - 2].isalnum()
+    f[35] = b + 1 < len(text) and text[b] in "._%+-" and text[b + 1].isalnum()
     return f
 
 
