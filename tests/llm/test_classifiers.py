@@ -198,6 +198,19 @@ def test_quality_by_hand(spark):
     assert quality.judge(docs.where("false"), model).count() == 0
 
 
+def test_empty_tables_and_clashing_names(spark):
+    names = ("y", "place", "poor", "kept", "score", "lang_pred", "held_out", "spans", "n_words", "chance")
+    rows = [(i, t, "aa") for i, t in enumerate(_texts(5, 12, ["ka", "lo"]))] + [(None, None, None), (3, "", None), (3, "ka lo " * 50_000, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for n in names:
+        docs = docs.withColumn(n, docs["doc_id"])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    good, tongue, weights = quality.fit(docs, labels), language.fit(docs), pii.fit(docs)
+    for table, n in ((docs, len(rows)), (docs.where("false"), 0)):
+        assert quality.judge(table, good).count() == language.predict(table, tongue).count() == pii.find(table, weights).count() == n
+    assert language.predict(docs.where("false"), None).count() == 0
+
+
 def _plain(text):
     kinds = {"email": pii.EMAIL, "ip": pii.IP, "card": pii.CARD, "phone": pii.PHONE}
     out = []
