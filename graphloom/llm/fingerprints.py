@@ -136,7 +136,7 @@ def peel(cells: tuple[np.ndarray, np.ndarray, np.ndarray], owners: int, size: in
             np.subtract.at(total, at, np.where(plus, key, np.uint64(0) - key))
             np.subtract.at(check, at, np.where(plus, checks, np.uint64(0) - checks))
             touched.append(at)
-        look = np.unique(np.concatenate(touched))
+        look = np.concatenate(touched)  # a cell may come twice; its digest counts once
         look = look[np.abs(count[look]) == 1]
     left = ((count != 0) | (total != 0) | (check != 0)).reshape(owners, size).any(axis=1)
     owner, key, side = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
