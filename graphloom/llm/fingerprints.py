@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._bytes import mix, running, slices, span_hashes, utf8, words
+from graphloom.llm._bytes import SLICE, mix, running, slices, span_hashes, utf8, words
 from graphloom.plans.stash import stash
 
 #: Cells of a published fingerprint, a multiple of three (it tells some 16 differing pieces from the strings alone).
@@ -208,20 +209,31 @@ def _compared(ids: list, own: list[str], following: list[str]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _FIELDS)], schema=_FIELDS)
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``text`` compressed, null as empty; all other columns as they are."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        small = pa.array([pack((t or "").encode()) for t in batch.column(at).to_pylist()], pa.binary())
+        yield batch.set_column(at, pa.field("text", pa.binary()), small)
+
+
 def _sliced(batch: pa.RecordBatch, *columns: str) -> Iterator[list[list]]:
-    """The id and the texts of some MB of rows at a time; null is empty."""
-    _, off = utf8(batch.column(columns[0]))
-    for lo, hi in slices(off):
+    """The ids and the texts of some MB of rows at a time."""
+    size = np.diff(np.frombuffer(batch.column(columns[0]).cast(pa.large_binary()).buffers()[1], np.int64)[: batch.num_rows + 1]) if batch.num_rows else np.zeros(0, np.int64)
+    unpack = zstandard.ZstdDecompressor().decompress
+    for lo, hi in slices(np.concatenate([[0], np.cumsum(size)]), SLICE // 2):
         part = batch.slice(lo, hi - lo)
-        yield [part.column("doc_id").to_pylist(), *[[t or "" for t in part.column(c).to_pylist()] for c in columns]]
+        yield [part.column("doc_id").to_pylist(), *[[unpack(t).decode() for t in part.column(c).to_pylist()] for c in columns]]
 
 
 def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results along one sorted range; its first and last rows go on with their texts (edge 1 and 2), for the ranges beside it."""
-    schema = _FIELDS.append(pa.field("edge", pa.int32())).append(pa.field("text", pa.string())).append(pa.field("part", pa.int32()))
+    schema = _FIELDS.append(pa.field("edge", pa.int32())).append(pa.field("text", pa.binary())).append(pa.field("part", pa.int32()))
+    pack = zstandard.ZstdCompressor(level=1).compress
 
     def border(edge: int, doc_id, text: str, part: int) -> pa.RecordBatch:
-        row = {"doc_id": doc_id, "edge": edge, "text": text, "part": part}
+        row = {"doc_id": doc_id, "edge": edge, "text": pack(text.encode()), "part": part}
         return pa.RecordBatch.from_pylist([row], schema=schema)
 
     held = None
@@ -238,7 +250,7 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
                 done = _compared(ids[:-1], texts[:-1], texts[1:])
                 n = done.num_rows
-                yield pa.RecordBatch.from_arrays([*done.columns, pa.array([0] * n, pa.int32()), pa.nulls(n, pa.string()), pa.array([part] * n, pa.int32())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*done.columns, pa.array([0] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([part] * n, pa.int32())], schema=schema)
     if held is not None:
         yield border(2, *held)
 
@@ -253,13 +265,14 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprints of ``documents(doc_id, text)`` and of their edited texts (see ``op12_fingerprints``).
 
     Documents are sorted in ranges by falling id, and each task walks along its
-    range with two texts at hand.  What one range's last document needs is the
+    range with two texts at hand; texts travel compressed.  What one range's last document needs is the
     next range's first: those few come back with their texts and meet in a join.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), (F.monotonically_increasing_id() % 997).alias("_tie"))
     order = [F.desc_nulls_last("doc_id"), F.asc("_hash"), F.asc("_tie")]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
-    along = stash(ranged.mapInArrow(_along, f"{RESULT}, edge int, text string, part int"), "fingerprints")
+    small = rows.mapInArrow(_zipped, "doc_id long, text binary, _hash long, _tie long")
+    ranged = small.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    along = stash(ranged.mapInArrow(_along, f"{RESULT}, edge int, text binary, part int"), "fingerprints")
     # ranges that hold documents: one number each
     parts = sorted(r["part"] for r in along.where("edge = 1").select("part").collect())
     after = dict(zip(parts, [*parts[1:], *parts[:1]]))
