@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.order import numbered
-from graphloom.operators.traverse import closure
 from graphloom.plans.stash import stash
 
 
@@ -70,35 +69,6 @@ def hits(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
     return score
 
 
-def harmonic(pairs: DataFrame) -> DataFrame:
-    """``(node, h_in, h_out)`` from ``closure``: sums of inverse distances."""
-    both = pairs.select(F.col("src").alias("node"), F.lit(0.0).alias("i"), (1 / F.col("dist")).alias("o")).unionAll(pairs.select("dst", 1 / F.col("dist"), F.lit(0.0)))
-    return both.groupBy("node").agg(F.sum("i").alias("h_in"), F.sum("o").alias("h_out"))
-
-
-def betweenness(edges: DataFrame, nodes: int) -> DataFrame:
-    """``(node, betweenness)``: shortest paths through each node, of ``nodes`` nodes, normalised by (n - 1)(n - 2).
-
-    The numbers of shortest paths grow layer by layer for all sources at once;
-    then v lies on s-t paths if the distances add up.
-    """
-    e = stash(edges.select("src", "dst").where("src <> dst").distinct(), "between")
-    pairs = closure(e)
-    paths = stash(e.select("src", "dst", F.lit(1).alias("dist"), F.lit(1).cast("long").alias("sigma")), "between")
-    top = pairs.agg(F.max("dist")).first()[0] or 1
-    for d in range(2, top + 1):
-        last = paths.where(F.col("dist") == d - 1).select("src", F.col("dst").alias("mid"), "sigma")
-        new = last.join(e.select(F.col("src").alias("mid"), "dst"), "mid").groupBy("src", "dst").agg(F.sum("sigma").alias("sigma"))
-        new = new.join(pairs.where(F.col("dist") == d), ["src", "dst"]).select("src", "dst", "dist", "sigma")
-        paths = stash(paths.unionByName(new), "between")
-    a = paths.select(F.col("src").alias("s"), F.col("dst").alias("v"), F.col("dist").alias("da"), F.col("sigma").alias("sa"))
-    b = paths.select(F.col("src").alias("v"), F.col("dst").alias("t"), F.col("dist").alias("db"), F.col("sigma").alias("sb"))
-    whole = paths.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.col("dist").alias("d"), F.col("sigma").alias("st"))
-    on = a.join(b, "v").join(whole, ["s", "t"]).where("da + db = d and s <> t")
-    scale = 1.0 / ((nodes - 1) * (nodes - 2)) if nodes > 2 else 0.0
-    return on.groupBy(F.col("v").alias("node")).agg((F.sum(F.col("sa") * F.col("sb") / F.col("st")) * scale).alias("betweenness"))
-
-
 def coreness(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``(node, core)`` of the undirected simple graph.
 
@@ -157,6 +127,16 @@ def by_entryness(scored: DataFrame) -> list[Column]:
     return [F.desc("score"), F.desc("anchor"), F.desc("free"), F.asc("system"), F.asc("callers"), F.desc("dom"), F.desc("reach"), F.desc("size"), F.asc("depth"), F.asc("node")]
 
 
+def entryness() -> Column:
+    """How much a function looks like an entry point, from its signals and the largest reach, dominated nodes and depth of all (at least 1)."""
+    c = F.col
+    flag = lambda x: F.when(x, 1.0).otherwise(0.0)
+    return (
+        3 * flag(c("anchor")) + 1.5 * flag(c("taken") & (c("callers") == 0)) + 1 / (1 + c("callers")) + 2 * c("reach") / c("max_reach")
+        + 3 * c("dom") / c("max_dom") + 0.25 * (1 - c("depth") / c("max_depth")) - 4 * flag(c("system"))
+    )
+
+
 ORDERS = {"centrality": by_centrality, "entryness": by_entryness}
 
 

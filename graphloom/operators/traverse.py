@@ -147,26 +147,66 @@ def dominators(edges: DataFrame, nodes: DataFrame | None = None, anchors: DataFr
     return known
 
 
-def component_signals(edges: DataFrame, nodes: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+def condensation(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(node, scc)`` of all ``nodes``, ``(scc, size)``, and the edges between components (``condensed``), each a table."""
+    scc = strong_components(edges)
+    scc = stash(nodes.select("node").join(scc, "node", "left").select("node", F.coalesce("scc", "node").alias("scc")), "components")
+    size = stash(scc.groupBy("scc").agg(F.count("*").alias("size")), "components")
+    return scc, size, stash(condensed(edges, scc), "components")
+
+
+def reach_exact(dag: DataFrame, size: DataFrame) -> DataFrame:
+    """``(scc, reach)``: nodes in the components that a component reaches, its own included, from all pairs."""
+    more = closure(dag).join(size.withColumnRenamed("scc", "dst"), "dst").groupBy(F.col("src").alias("scc")).agg(F.sum("size").alias("more"))
+    return size.join(more, "scc", "left").select("scc", (F.col("size") + F.coalesce("more", F.lit(0))).alias("reach"))
+
+
+def reach_estimate(dag: DataFrame, size: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """``(scc, reach)`` without pairs: a component's size and the estimates of its successors, at most the number of all nodes.
+
+    What several paths lead to counts several times, so it is never too small.
+    By levels from the last: one join a level, each component is summed once.
+    ``at``: ``levels`` of the graph, if they are known.
+    """
+    at = stash((levels(dag, size.select(F.col("scc").alias("node"))) if at is None else at).select(F.col("node").alias("scc"), "level").join(size, "scc"), "estimate")
+    total = at.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    e = stash(dag.select("src", "dst").join(at.select(F.col("scc").alias("src"), "level"), "src"), "estimate")
+    known = None
+    for level in range(at.agg(F.max("level")).first()[0] or 0, -1, -1):
+        here = at.where(F.col("level") == level)
+        if known is None:
+            now = here.select("scc", F.col("size").alias("reach"))
+        else:
+            # a sum beyond 64 bits is beyond the total anyway
+            got = e.where(F.col("level") == level).join(known.withColumnRenamed("scc", "dst"), "dst").groupBy(F.col("src").alias("scc")).agg(F.sum(F.col("reach").cast("decimal(38,0)")).alias("more"))
+            now = here.join(got, "scc", "left").select("scc", F.least(F.col("size") + F.coalesce("more", F.lit(0)), F.lit(total)).cast("long").alias("reach"))
+        now = stash(now, "estimate")
+        known = now if known is None else known.unionByName(now)
+    return size.select("scc", F.col("size").alias("reach")) if known is None else known
+
+
+def component_signals(edges: DataFrame, nodes: DataFrame, anchors: DataFrame | None = None, exact: int = 8192) -> DataFrame:
     """``(node, scc, reach, dom, level, depth)`` of any graph, by its strong components.
 
-    ``reach``: nodes that can be reached, its own component included; ``dom``:
-    nodes of the components that its component dominates; ``level``: longest path
-    of components; ``depth``: steps of components from the virtual root (its
+    ``reach``: nodes that can be reached, its own component included (exact up to
+    ``exact`` components, then ``reach_estimate``); ``dom``: nodes of the
+    components that its component dominates; ``level``: longest path of
+    components; ``depth``: steps of components from the virtual root (its
     successors have 1).
     """
-    scc = strong_components(edges)
-    scc = stash(nodes.select("node").join(scc, "node", "left").select("node", F.coalesce("scc", "node").alias("scc")), "components")
-    size = stash(scc.groupBy("scc").agg(F.count("*").alias("size")), "components")
-    dag = stash(condensed(edges, scc), "components")
+    scc, size, dag = condensation(edges, nodes)
     points = size.select(F.col("scc").alias("node"))
     free = anchors.join(scc, "node").select(F.col("scc").alias("node")).distinct() if anchors is not None else None
-    at = levels(dag, points)
-    dom = dominators(dag, points, free)
+    at = stash(levels(dag, points), "components")
+    dom = dominated(dominators(dag, points, free), size)
     roots = at.where("level = 0").select("node")
-    depth = layers(dag, roots.union(free).distinct() if free is not None else roots, size.count())
-    whole = lambda pairs, own, other: pairs.join(size.withColumnRenamed("scc", other), other).groupBy(F.col(own).alias("scc")).agg(F.sum("size").alias("n"))
-    reach = whole(closure(dag), "src", "dst").withColumnRenamed("n", "more")
-    dom = whole(dom, "dominator", "node").withColumnRenamed("n", "dom")
-    out = scc.join(size, "scc").join(reach, "scc", "left").join(dom, "scc").join(at.withColumnRenamed("node", "scc"), "scc").join(depth.withColumnRenamed("node", "scc"), "scc")
-    return out.select("node", "scc", (F.col("size") + F.coalesce("more", F.lit(0))).alias("reach"), "dom", "level", (F.col("depth") + 1).alias("depth"))
+    n = size.count()
+    depth = layers(dag, roots.union(free).distinct() if free is not None else roots, n)
+    reach = reach_exact(dag, size) if n <= exact else reach_estimate(dag, size, at)
+    out = scc.join(reach, "scc").join(dom, "scc").join(at.withColumnRenamed("node", "scc"), "scc").join(depth.withColumnRenamed("node", "scc"), "scc")
+    return out.select("node", "scc", "reach", "dom", "level", (F.col("depth") + 1).alias("depth"))
+
+
+def dominated(pairs: DataFrame, size: DataFrame) -> DataFrame:
+    """``(scc, dom)`` from ``dominators``: nodes in the components that each component dominates."""
+    return pairs.join(size.withColumnRenamed("scc", "node"), "node").groupBy(F.col("dominator").alias("scc")).agg(F.sum("size").alias("dom"))

@@ -9,7 +9,7 @@ from graphloom.operators import centrality, cluster, edges, render
 from graphloom.plans.collect import collector
 from graphloom.plans.stash import stash
 from graphloom.sources import star
-from graphloom.sources.star import FUNC, flow_sql
+from graphloom.sources.star import FUNC, ORDER_CALLS, flow_sql
 
 QUERIES, SQL, query = collector()
 
@@ -66,14 +66,42 @@ def utility_hubs(spark, sf_dir):
     return cluster.utility_hubs(stash(cluster.fan_in(e), "fans"), centrality.coreness(e), system)
 
 
+_SINGLE = f"""{ORDER_CALLS},
+entry_ AS (SELECT o_orderkey AS node FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+direct AS (SELECT DISTINCT src, dst FROM call_ WHERE ref = 0),
+util AS (SELECT dst AS node FROM direct GROUP BY dst HAVING count(*) >= 12),
+held AS (SELECT node FROM entry_ UNION SELECT node FROM util UNION SELECT dst FROM call_ WHERE ref = 5),
+link AS (SELECT dst AS node, min(src) AS caller FROM direct GROUP BY dst HAVING count(*) = 1 AND dst NOT IN (FROM held) AND min(src) NOT IN (FROM util))"""
+
+
+def _single(spark, sf_dir):
+    """Single callers in the graph of orders: urgent pending ones are entries, those with 12 callers utilities."""
+    refs = stash(star.order_calls(spark, sf_dir), "calls")
+    direct = refs.where("ref = 0")
+    entry = star.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.col("o_orderkey").alias("node"))
+    utilities = stash(cluster.fan_in(direct).where("callers >= 12").select("node"), "utilities")
+    return cluster.single_callers(direct, entry.union(refs.where("ref = 5").select("dst")), utilities)
+
+
+@query(f"WITH {_SINGLE} SELECT node, caller FROM link")
+def single_caller_groups(spark, sf_dir):
+    """Orders that belong to their only caller: neither entries nor targets of indirect references nor utilities."""
+    return _single(spark, sf_dir)
+
+
 @query(f"""
-WITH {flow_sql(0)}, {FUNC}, x AS (SELECT id FROM func WHERE system UNION SELECT dst FROM flow WHERE ref IN (1, 5, 6))
-SELECT dst AS node, min(src) AS caller FROM edge GROUP BY dst HAVING count(*) = 1 AND dst NOT IN (FROM x) AND min(src) NOT IN (FROM x)
+WITH RECURSIVE {_SINGLE},
+walk_(node, up) AS (SELECT node, caller FROM link UNION SELECT w.node, link.caller FROM walk_ w JOIN link ON link.node = w.up),
+cyc AS (SELECT node, max(up) AS root FROM walk_ WHERE node IN (SELECT node FROM walk_ WHERE node = up) GROUP BY node),
+every AS (SELECT node FROM link UNION SELECT caller FROM link),
+rooted AS (
+  SELECT e.node, coalesce((SELECT root FROM cyc WHERE cyc.node = e.node), (SELECT min(root) FROM walk_ w JOIN cyc ON cyc.node = w.up WHERE w.node = e.node),
+    (SELECT min(up) FROM walk_ w WHERE w.node = e.node AND up NOT IN (SELECT node FROM link)), e.node) AS root FROM every e)
+SELECT r.node, CASE WHEN r.node <> r.root THEN caller END AS caller, r.root, min(r.node) OVER (PARTITION BY r.root) AS grp FROM rooted r LEFT JOIN link ON link.node = r.node
 """)
-def single_caller_groups(spark, sf_dir):
-    refs = star.flow(spark, sf_dir, 0)
-    out = star.functions(spark, sf_dir).where("system").select(F.col("id").alias("node")).union(refs.where(F.col("ref").isin(1, 5, 6)).select("dst"))
-    return cluster.single_callers(refs, out)
+def collapsed_groups(spark, sf_dir):
+    """Orders gathered at the root of their single callers; a ring is cut at its largest order."""
+    return cluster.collapse(_single(spark, sf_dir))
 
 
 @query()
@@ -108,9 +136,9 @@ def merged_tiny(spark, sf_dir):
 @query("""
 WITH g AS (SELECT p_partkey AS node, p_size % 12 AS cluster, CASE WHEN p_size % 12 = 5 THEN 'one' ELSE p_brand END AS module FROM part),
 n AS (SELECT cluster, sum(n) AS n, max(n) AS top, count(*) AS modules FROM (SELECT cluster, module, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY cluster),
-m AS (SELECT g.*, n > 40 AS large, modules >= 2 AND top < 0.95 * n AS by_module FROM g JOIN n USING (cluster))
+m AS (SELECT g.*, n > 40 AS large, modules >= 2 AND top < floor(0.95 * n) AS by_module, ceil(n / greatest(2, ceil(n / 40))) AS run FROM g JOIN n USING (cluster))
 SELECT node, CAST(cluster AS BIGINT) AS cluster, CASE WHEN NOT large THEN 0 WHEN by_module THEN dense_rank() OVER (PARTITION BY cluster ORDER BY module) - 1
-  ELSE (row_number() OVER (PARTITION BY cluster ORDER BY node) - 1) // 40 END AS part FROM m
+  ELSE CAST(floor((row_number() OVER (PARTITION BY cluster ORDER BY node) - 1) / run) AS BIGINT) END AS part FROM m
 """)
 def split_clusters(spark, sf_dir):
     """Large clusters by module, or where one module is nearly all of them in runs of addresses."""
@@ -119,6 +147,14 @@ def split_clusters(spark, sf_dir):
     return cluster.split_large(g, 40)
 
 
+@query()
+def subdivided_clusters(spark, sf_dir):
+    """Clusters divided until none has more than 120 functions, on the whole affinity graph; local moves in turns are beyond SQL (tests have a plain version)."""
+    size = (F.col("p_size") % 12).cast("long")
+    g = star.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), size.alias("cluster"), F.when(size == 5, "one").otherwise(F.col("p_brand")).alias("module"))
+    return cluster.subdivide(g, stash(_affinity(spark, sf_dir), "affinity"), 120)
+
+
 _META = f"""{flow_sql(0)}, g AS (SELECT p_partkey AS node, p_size % 12 AS cluster FROM part),
 m AS (SELECT a.cluster AS src_cluster, b.cluster AS dst_cluster, count(DISTINCT (src, dst)) AS count, array_to_string(list_sort(list(DISTINCT ref)), ',') AS types
       FROM flow JOIN g a ON a.node = src JOIN g b ON b.node = dst WHERE a.cluster <> b.cluster GROUP BY 1, 2)"""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import notation
 from graphloom.operators import edges, expressions, traverse
-from graphloom.operators.components import connected_components
 from graphloom.plans.collect import collector
 from graphloom.plans.stash import stash
 from graphloom.sources import star
@@ -165,21 +164,6 @@ def merge_targets(spark, sf_dir):
     return w.withColumn("_k", best).where("_k = 1").select(F.col("a").alias("cluster"), F.col("b").alias("into_cluster"))
 
 
-@query(f"""
-WITH RECURSIVE {flow_sql(35)}, one AS (SELECT dst AS a, min(src) AS b FROM edge GROUP BY dst HAVING count(*) = 1),
-u AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
-r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON r.node = u.a WHERE r.root < u.b)
-SELECT node, min(root) AS grp FROM r GROUP BY node
-""")
-def collapsed_groups(spark, sf_dir):
-    """Chains of single callers as one group, named after its smallest function."""
-    from graphloom.operators import cluster
-
-    e = star.links(spark, sf_dir, 35)
-    one = cluster.single_callers(e, e.select(F.col("src").alias("node")).where("false"))
-    return connected_components(one, "node", "caller").select("node", F.col("component").alias("grp"))
-
-
 @query(f"""
 WITH {flow_sql(0)}, t AS (SELECT src, dst, list_sort(list(DISTINCT ref)) AS types FROM flow GROUP BY src, dst)
 SELECT src, dst, greatest(CASE WHEN list_contains(types, 1) OR list_contains(types, 6) THEN 0.6::DOUBLE ELSE 0 END, CASE WHEN list_contains(types, 5) THEN 0.4::DOUBLE ELSE 0 END) AS confidence,

@@ -163,24 +163,60 @@ def scc_members(spark, sf_dir):
     return traverse.strong_components(star.links(spark, sf_dir, 0))
 
 
-def _components(spark, sf_dir):
+def _condensed(spark, sf_dir):
     e = stash(star.links(spark, sf_dir, 0), "graph")
-    return traverse.component_signals(e, e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    return traverse.condensation(e, e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
 
 
 @query(f"WITH RECURSIVE {condensed_sql()} SELECT node, CAST(reach AS BIGINT) AS reach FROM sig")
 def reach_size(spark, sf_dir):
     """Nodes that can be reached, the node's component included."""
-    return _components(spark, sf_dir).select("node", "reach")
+    scc, size, dag = _condensed(spark, sf_dir)
+    return scc.join(traverse.reach_exact(dag, size), "scc").select("node", "reach")
+
+
+#: The flow of line items is one large component; a customer's orders make a deep graph without cycles.
+_LATER = """o AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER w AS n1, lead(o_orderkey, 3) OVER w AS n3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+dag AS (SELECT DISTINCT id AS src, n AS dst FROM (SELECT id, unnest([n1, n3]) AS n FROM o) WHERE n IS NOT NULL)"""
+
+
+def _later_orders(spark, sf_dir):
+    """Each order leads to its customer's next one and to the third after it."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    e = star.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.array(F.lead("o_orderkey").over(order), F.lead("o_orderkey", 3).over(order)).alias("to"))
+    return e.select("src", F.explode("to").alias("dst")).where("dst is not null").distinct()
+
+
+@query(f"""
+WITH RECURSIVE {_LATER},
+total AS (SELECT count(*) AS n FROM orders),
+depth(node, k) AS (SELECT o_orderkey, 0 FROM orders UNION SELECT src, k + 1 FROM depth JOIN dag ON dst = node),
+h AS (SELECT node, max(k) AS h FROM depth GROUP BY node),
+r(node, est, k) USING KEY (node) AS (
+  SELECT node, CAST(1 AS DOUBLE), 0 FROM h WHERE h = 0
+  UNION
+  SELECT h.node, least(1 + sum(y.est), max(total.n)), h.h
+  FROM (SELECT DISTINCT k + 1 AS k FROM r) x JOIN h ON h.h = x.k JOIN dag ON dag.src = h.node JOIN recurring.r y ON y.node = dag.dst, total GROUP BY h.node, h.h)
+SELECT node, CAST(est AS BIGINT) AS estimate FROM r
+""")
+def reach_estimate(spark, sf_dir):
+    """What each order leads to, estimated by levels without pairs (what several paths lead to counts several times, up to the number of orders)."""
+    e = stash(_later_orders(spark, sf_dir), "later")
+    size = star.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scc")).distinct().withColumn("size", F.lit(1).cast("long"))
+    return traverse.reach_estimate(e, stash(size, "later")).select(F.col("scc").alias("node"), F.col("reach").alias("estimate"))
 
 
 @query(f"WITH RECURSIVE {condensed_sql()} SELECT node, CAST(level AS INT) AS level FROM sig")
 def topo_level(spark, sf_dir):
     """The longest path of components that ends at a node's own."""
-    return _components(spark, sf_dir).select("node", "level")
+    scc, size, dag = _condensed(spark, sf_dir)
+    at = traverse.levels(dag, size.select(F.col("scc").alias("node"))).withColumnRenamed("node", "scc")
+    return scc.join(at, "scc").select("node", "level")
 
 
 @query(f"WITH RECURSIVE {condensed_sql()} SELECT node, CAST(dom AS BIGINT) AS subtree FROM sig")
 def dominator_subtree(spark, sf_dir):
     """Nodes in components that a node's own dominates."""
-    return _components(spark, sf_dir).select("node", F.col("dom").alias("subtree"))
+    scc, size, dag = _condensed(spark, sf_dir)
+    pairs = traverse.dominators(dag, size.select(F.col("scc").alias("node")))
+    return scc.join(traverse.dominated(pairs, size), "scc").select("node", F.col("dom").alias("subtree"))

@@ -57,3 +57,28 @@ def flow_sql(quantity: float) -> str:
     FROM lineitem {chosen})
   WHERE dst IS NOT NULL AND src <> dst),
 edge AS (SELECT DISTINCT src, dst FROM flow)"""
+
+
+def order_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(src, dst, ref)`` of a sparse graph of orders.
+
+    An order calls its customer's next one, the last one the first; the first
+    line of an order calls the order numbered as its part, and the seventh
+    refers indirectly to the order numbered as its order and supplier together.
+    """
+    turn, last = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"), Window.partitionBy("o_custkey")
+    o = table(spark, sf_dir, "orders")
+    first = F.min(F.struct("o_orderdate", "o_orderkey")).over(last)["o_orderkey"]
+    ring = o.select(F.col("o_orderkey").alias("src"), F.coalesce(F.lead("o_orderkey").over(turn), first).alias("dst"), F.lit(0).alias("ref"))
+    li = table(spark, sf_dir, "lineitem")
+    shared = li.where("l_linenumber = 1").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit(0).alias("ref"))
+    aside = li.where("l_linenumber = 7").select(F.col("l_orderkey").alias("src"), (F.col("l_orderkey") + F.col("l_suppkey")).alias("dst"), F.lit(5).alias("ref"))
+    known = o.select(F.col("o_orderkey").alias("dst")).distinct()
+    return ring.unionByName(shared.unionByName(aside).join(known, "dst", "left_semi")).where("src <> dst")
+
+
+ORDER_CALLS = """oc AS (
+  SELECT o_orderkey AS src, coalesce(lead(o_orderkey) OVER w, first_value(o_orderkey) OVER w) AS dst, 0 AS ref FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+  UNION ALL SELECT l_orderkey, l_partkey, 0 FROM lineitem WHERE l_linenumber = 1 AND l_partkey IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT l_orderkey, l_orderkey + l_suppkey, 5 FROM lineitem WHERE l_linenumber = 7 AND l_orderkey + l_suppkey IN (SELECT o_orderkey FROM orders)),
+call_ AS (SELECT src, dst, ref FROM oc WHERE src <> dst)"""

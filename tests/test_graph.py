@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, notation
-from graphloom.operators import centrality, cluster, edges, facts, producers, provenance, render, transfer, traverse
+from graphloom.operators import centrality, cluster, edges, facts, paths, producers, provenance, render, transfer, traverse
 from graphloom.operators.components import connected_components
 
 DIAMOND = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 3)]
@@ -41,8 +41,8 @@ def test_layers(spark, diamond):
 
 
 def test_distances(diamond):
-    pairs = traverse.closure(diamond)
-    h = {r["node"]: (round(r["h_in"], 6), round(r["h_out"], 6)) for r in centrality.harmonic(pairs).collect()}
+    nodes = diamond.select(F.col("src").alias("node")).distinct()
+    h = {r["node"]: (round(r["h_in"], 6), round(r["h_out"], 6)) for r in paths.harmonic(paths.search(diamond, nodes)).collect()}
     assert h[0] == (0.0, 2.833333) and h[3] == (3.5, 1.0) and h[4] == (2.333333, 1.0)
 
 
@@ -54,7 +54,7 @@ def test_dominators(spark):
 
 
 def test_betweenness_and_core(diamond):
-    b = {k: round(v * 12, 6) for k, v in as_dict(centrality.betweenness(diamond, 5), "node", "betweenness").items()}
+    b = {k: round(v * 12, 6) for k, v in as_dict(paths.betweenness(diamond, paths.search(diamond, diamond.select(F.col("src").alias("node")).distinct()), 5), "node", "betweenness").items()}
     assert b == {1: 1.0, 2: 1.0, 3: 3.0}
     assert as_dict(centrality.coreness(diamond), "node", "core") == {0: 2, 1: 2, 2: 2, 3: 2, 4: 1}
 
@@ -233,3 +233,131 @@ def test_strings_are_capped(spark):
     rows = [(1, i, f"string number{'x' * i} alpha beta") for i in range(60)] + [(1, 60, "string number alpha beta"), (2, 0, " ".join(["word" + chr(97 + i) for i in range(20)])), (2, 1, "long " * 60)]
     got = {(r["func"], r["token"]): r["w"] for r in facts.evidence(facts.string_tokens(spark.createDataFrame(rows, "func long, seq long, text string"))).collect()}
     assert got[1, "alpha"] == 48 and len([k for k in got if k[0] == 2]) == 9 and got[2, "long"] == 4.0
+
+
+def _pieces(nodes, edges, gamma, half, sweeps=25):
+    """Plain version of the turns of local moves in one graph: {node: smallest node of its part}."""
+    near = {n: {} for n in nodes}
+    for a, b, w in edges:
+        if a in near and b in near:
+            near[a][b] = near[a].get(b, 0) + w
+            near[b][a] = near[b].get(a, 0) + w
+    k = {n: sum(near[n].values()) for n in nodes if near[n]}
+    twice, home, quiet = sum(k.values()), {n: n for n in k}, 0
+    for sweep in range(2 * sweeps):
+        total, new = {}, dict(home)
+        for n, c in home.items():
+            total[c] = total.get(c, 0) + k[n]
+        for n in k:
+            if half[n] != sweep % 2:
+                continue
+            inside = {home[n]: 0.0}
+            for v, w in near[n].items():
+                inside[home[v]] = inside.get(home[v], 0) + w
+            gain = {c: round(i - gamma / twice * k[n] * (total[c] - (k[n] if c == home[n] else 0)), 9) for c, i in inside.items()}
+            best = min(gain, key=lambda c: (-gain[c], c))
+            if gain[best] > gain[home[n]]:
+                new[n] = best
+        quiet = quiet + 1 if new == home else 0
+        home = new
+        if quiet == 2:
+            break
+    least = {}
+    for n, c in home.items():
+        least[c] = min(least.get(c, n), n)
+    return {n: least[home[n]] if n in home else n for n in nodes}
+
+
+def test_structural_split_matches_plain(spark):
+    r = random.Random(4)
+    members = [(n, n // 30, f"m{n % 3}" if n < 60 else "m") for n in range(120)]
+    # two loose halves, five cliques, nothing, one clique
+    edges = [(a, b, 1.0) for a in range(30) for b in range(a + 1, 30) if a // 15 == b // 15 and r.random() < 0.5] + [(14, 15, 1.0)]
+    edges += [(a, b, 1.0) for a in range(30, 60) for b in range(a + 1, 60) if a // 6 == b // 6 or r.random() < 0.02]
+    edges += [(a, b, 1.0) for a in range(90, 120) for b in range(a + 1, 120)] + [(a, a + 31, 3.0) for a in range(80)]
+    m, e = spark.createDataFrame(members, "node long, cluster long, module string"), spark.createDataFrame(edges, "a long, b long, w double")
+    halves = {x["turn"]: {} for x in [{"turn": i} for i in range(8)]}
+    for i in halves:
+        key = F.xxhash64(F.struct(F.lit(i).alias("turn"), F.col("node")))
+        halves[i] = {x["node"]: x["h"] for x in m.select("node", F.pmod(key, F.lit(2)).alias("h")).collect()}
+    got = {x["node"]: x["part"] for x in cluster.split_structural(m, e).collect()}
+    want = {}
+    for c in range(4):
+        nodes, chosen, more = [n for n, x, _ in members if x == c], None, None
+        for i, f in enumerate(cluster.SCHEDULE):
+            parts = _pieces(nodes, edges, f, halves[i])
+            n = len(set(parts.values()))
+            chosen = parts if chosen is None and 2 <= n <= 8 else chosen
+            more = parts if more is None and n > 8 else more
+        want |= chosen or more or dict.fromkeys(nodes)
+    assert got == want
+    assert len({got[n] for n in range(30)}) == 2 and got[0] != got[29]
+    out = {x["node"]: x["cluster"] for x in cluster.subdivide(m, e, 20).collect()}
+    sizes = {}
+    for n, c in out.items():
+        sizes.setdefault(c, []).append(n)
+    assert len(out) == 120 and all(len(v) <= 20 and c == min(v) for c, v in sizes.items())
+    assert all(len({n // 30 for n in v}) == 1 for v in sizes.values())
+    # at these resolutions nobody in a clique of 30 gains by joining another
+    assert sorted(c for c in sizes if c >= 90) == list(range(90, 120))
+
+
+def test_collapse(spark):
+    links = [(2, 1), (3, 2), (4, 3), (10, 11), (11, 12), (12, 10), (13, 12), (14, 13), (20, 21), (21, 20)] + [(100 + i, 99 + i) for i in range(1, 200)]
+    out = {r["node"]: (r["caller"], r["root"], r["grp"]) for r in cluster.collapse(spark.createDataFrame(links, "node long, caller long")).collect()}
+    assert out[4] == (3, 1, 1) and out[1] == (None, 1, 1)
+    assert {n: out[n] for n in (10, 11, 12, 13, 14)} == {10: (11, 12, 10), 11: (12, 12, 10), 12: (None, 12, 10), 13: (12, 12, 10), 14: (13, 12, 10)}
+    assert out[20] == (21, 21, 20) and out[21] == (None, 21, 20) and out[299] == (298, 100, 100)
+    assert cluster.collapse(spark.createDataFrame([], "node long, caller long")).count() == 0
+
+
+def test_paths_against_plain(spark):
+    from collections import deque
+
+    r = random.Random(8)
+    n = 40
+    edges = {(r.randrange(n), r.randrange(n)) for _ in range(110)}
+    edges = sorted((a, b) for a, b in edges if a != b)
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+
+    def passed(sources):
+        between = dict.fromkeys(range(n), 0.0)
+        for s in sources:
+            dist, sigma, order, queue = {s: 0}, {s: 1.0}, [], deque([s])
+            while queue:
+                v = queue.popleft()
+                order.append(v)
+                for w in out.get(v, []):
+                    if w not in dist:
+                        dist[w], sigma[w] = dist[v] + 1, 0.0
+                        queue.append(w)
+                    if dist[w] == dist[v] + 1:
+                        sigma[w] += sigma[v]
+            delta = dict.fromkeys(order, 0.0)
+            for w in reversed(order):
+                for v in order:
+                    if w in out.get(v, []) and dist[v] + 1 == dist[w]:
+                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            for v in order:
+                between[v] += delta[v] if v != s else 0.0
+        return between
+
+    e = spark.createDataFrame(edges, "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node long")
+    for most, few in ((n, 1), (10, 7)):
+        sources, scale = paths.pivots(nodes, most, few)
+        chosen = sorted(x["node"] for x in sources.collect())
+        assert chosen == (list(range(n)) if most >= n else [i * n // few for i in range(few)])
+        got = {x["node"]: x["betweenness"] for x in paths.betweenness(e, paths.search(e, sources), n, scale).collect()}
+        want = {v: b * n / len(chosen) / ((n - 1) * (n - 2)) for v, b in passed(chosen).items() if b > 0}
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+
+
+def test_reach_by_levels(spark):
+    dag = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)], "src long, dst long")
+    size = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 1), (5, 3), (6, 7)], "scc long, size long")
+    read = lambda df: {r["scc"]: r["reach"] for r in df.collect()}
+    assert read(traverse.reach_exact(dag, size)) == {1: 8, 2: 5, 3: 6, 4: 4, 5: 3, 6: 7}
+    assert read(traverse.reach_estimate(dag, size)) == {1: 12, 2: 5, 3: 6, 4: 4, 5: 3, 6: 7}
