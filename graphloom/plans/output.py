@@ -83,38 +83,99 @@ def metadata_round_trip(spark, sf_dir):
     return lines.select(part(1).cast("long").alias("conv_id"), part(2).cast("long").alias("turn"), notation.c_unescape(part(3)).alias("text"))
 
 
-@query("""
-WITH t AS (SELECT o_orderkey AS tree, ['add', 'sub', 'or', 'mul', 'comma', 'and'][1 + o_orderkey % 6] AS op, o_orderkey % 3 AS a, (o_orderkey // 3) % 3 AS b, o_orderkey % 16 AS m, o_custkey AS k FROM orders),
-o AS (SELECT *, ['var', 'num', 'obj'][1 + a] AS ka, ['param', 'num', 'call'][1 + b] AS kb FROM t),
-l AS (SELECT *, ['L', 'C', 'G'][1 + a] AS oa, ['P', 'C', 'R'][1 + b] AS ob, CASE WHEN b = 2 THEN 1 ELSE 2 END AS cb FROM o),
-r AS (SELECT *, CASE
-  WHEN op = 'comma' THEN 'b' WHEN op IN ('add', 'sub', 'or') AND oa <> 'C' AND ob <> 'C' THEN 'd'
-  WHEN op IN ('add', 'sub') AND ob = 'C' THEN 'a' WHEN op IN ('add', 'sub') THEN 'b'
-  WHEN op IN ('or', 'and') AND oa = 'C' THEN 'b' ELSE 'a' END AS pick FROM l)
-SELECT tree, CASE pick WHEN 'a' THEN oa WHEN 'b' THEN ob ELSE 'D' END AS kind, CASE pick WHEN 'a' THEN 'x' || k WHEN 'b' THEN 'y' || k ELSE '' END AS name,
-  CAST(CASE WHEN pick = 'd' THEN 0 WHEN pick = 'a' THEN m + CASE op WHEN 'add' THEN CASE WHEN ob = 'C' THEN k ELSE 0 END WHEN 'sub' THEN CASE WHEN ob = 'C' THEN -k ELSE 0 END ELSE 0 END
-       ELSE CASE WHEN op IN ('add', 'sub') THEN k ELSE 0 END END AS BIGINT) AS "offset",
-  CAST(CASE WHEN pick = 'd' OR op = 'mul' THEN 0 WHEN pick = 'b' THEN cb ELSE 2 END AS INT) AS confidence
-FROM r
+#: Operators that an event applies to what its user's events before it have made, by event_id.
+_CHAIN = ("add", "sub", "mul", "shl", "sshr", "member", "index", "deref", "ref", "bor", "band", "bxor", "neg", "comma", "lnot", "ternary")
+
+
+def _event_trees(spark, sf_dir):
+    """A tree a user: the first event is a parameter, each later one an operator over the one before and a number or variable."""
+    e = star.table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("i"), F.count("*").over(Window.partitionBy("user_id")).alias("n"))
+    k, i = F.col("event_id"), F.col("i")
+    op = F.when(i == 1, "param").otherwise(F.element_at(F.array(*[F.lit(o) for o in _CHAIN]), (k % len(_CHAIN) + 1).cast("int")))
+    is_num = k % 3 != 0
+    # a comma's second operand and a ternary's branches are what counts
+    flip = F.when(op == "ternary", 1).otherwise(0)
+    up = F.when(i < F.col("n"), 2 * i + 2)
+    row = lambda node, parent, ord_, o, name, num: F.struct(node.alias("node"), parent.alias("parent"), ord_.cast("int").alias("ord"), o.alias("op"), name.alias("name"), num.cast("long").alias("num"), F.lit(4).alias("width"))
+    after = F.lead(F.when(op == "ternary", 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("i"))
+    e = e.withColumn("place", F.coalesce(after, F.lit(0)))
+    chain = row(2 * i, up, F.col("place"), op, F.when(i == 1, F.concat(F.lit("u"), "user_id")).when(op == "member", F.concat(F.lit("m"), k % 9)), F.when(op == "member", k % 16).when(op == "index", F.lit(8)))
+    other = row(2 * i + 1, 2 * i, flip + 1, F.when(is_num, "num").otherwise("var"), F.when(is_num, F.concat(F.lit("n"), k % 5)).otherwise(F.concat(F.lit("y"), k)), F.when(is_num, k % 5))
+    return e.select(F.col("user_id").alias("tree"), F.col("n"), F.explode(F.when(i == 1, F.array(chain)).otherwise(F.array(chain, other))).alias("r")).select("tree", "n", "r.*")
+
+
+@query(f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, [{", ".join(f"'{o}'" for o in _CHAIN)}][1 + event_id % {len(_CHAIN)}] AS op,
+    event_id % 3 <> 0 AS isnum, event_id % 5 AS v FROM events),
+f(tree, i, kind, name, off_, mode, member, conf) AS (
+  SELECT user_id, i, 'P', 'u' || user_id, CAST(0 AS BIGINT), '', '', 2 FROM e WHERE i = 1
+  UNION ALL
+  SELECT tree, i, CASE WHEN pick = 'r' THEN CASE WHEN isnum THEN 'C' ELSE 'L' END WHEN pick = 'd' THEN 'D' ELSE kind END,
+    CASE WHEN pick = 'r' THEN CASE WHEN isnum THEN 'n' || v ELSE 'y' || k END ELSE name END,
+    CASE WHEN pick = 'r' THEN 0 ELSE ((CASE WHEN op = 'add' AND isnum THEN off_ + v WHEN op = 'sub' AND isnum THEN off_ - v WHEN op = 'mul' AND isnum THEN off_ * v WHEN op = 'shl' AND isnum THEN off_ * (1 << v)
+      WHEN op = 'sshr' AND isnum THEN off_ >> v WHEN op = 'member' THEN off_ + k % 16 WHEN op = 'index' AND isnum THEN off_ + 8 * v WHEN op = 'neg' THEN -off_ ELSE off_ END + 2147483648) & 4294967295) - 2147483648 END,
+    CASE WHEN pick = 'r' THEN '' WHEN op = 'deref' THEN '*' WHEN op = 'ref' THEN '&' ELSE mode END, CASE WHEN pick = 'r' THEN '' WHEN op = 'member' THEN 'm' || k % 9 ELSE member END,
+    CASE WHEN pick = 'd' OR op IN ('lnot', 'ternary') OR (NOT isnum AND op IN ('sub', 'index')) OR (NOT isnum AND op = 'mul' AND NOT second) THEN 0 WHEN pick = 'r' THEN CASE WHEN op = 'mul' THEN 2 ELSE 2 END ELSE conf END
+  FROM (
+    SELECT f.tree, e.*, f.kind, f.name, f.off_, f.mode, f.member, f.conf, f.kind = 'C' AND NOT isnum AND f.isleaf AS second,
+      CASE WHEN op = 'comma' THEN 'r' WHEN op = 'add' AND NOT isnum THEN 'd' WHEN op = 'bor' AND kind <> 'C' AND NOT isnum THEN 'd' WHEN op IN ('bor', 'bxor') AND kind = 'C' THEN 'r' WHEN op = 'band' AND kind = 'C' AND NOT isnum THEN 'r' ELSE 'l' END AS pick
+    FROM (SELECT *, false AS isleaf FROM f) f JOIN e ON e.user_id = f.tree AND e.i = f.i + 1))
+SELECT tree, kind, name, off_ AS "offset", mode, member, CAST(conf AS INT) AS confidence FROM f QUALIFY row_number() OVER (PARTITION BY tree ORDER BY i DESC) = 1
 """)
 def expression_origins(spark, sf_dir):
-    """Trees of an operator over a member of one leaf and a second leaf, folded to the origin of the root."""
-    k = F.col("o_orderkey")
-    pick = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (1 + i).cast("int"))
-    num = F.col("o_custkey")
-    rows = F.array(
-        *[
-            F.struct(F.lit(n).alias("node"), F.lit(p).cast("int").alias("parent"), F.lit(o).alias("ord"), op.alias("op"), name.alias("name"), value.cast("long").alias("num"))
-            for n, p, o, op, name, value in (
-                (0, None, 0, pick(("add", "sub", "or", "mul", "comma", "and"), k % 6), F.lit(""), F.lit(0)),
-                (1, 0, 0, F.lit("member"), F.lit(""), k % 16),
-                (2, 1, 0, pick(("var", "num", "obj"), k % 3), F.concat(F.lit("x"), num), num),
-                (3, 0, 1, pick(("param", "num", "call"), F.floor(k / 3) % 3), F.concat(F.lit("y"), num), num),
-            )
-        ]
-    )
-    nodes = star.table(spark, sf_dir, "orders").select(k.alias("tree"), F.explode(rows).alias("r")).select("tree", "r.*")
-    return expressions.fold_origins(nodes).where("node = 0").drop("node")
+    """What each user's events, read as one deep expression, come from in the end."""
+    nodes = stash(_event_trees(spark, sf_dir), "nodes")
+    top = nodes.where("parent is null").select("tree", "node")
+    return expressions.origins(nodes.drop("n")).join(top, ["tree", "node"]).select("tree", "kind", "name", "offset", "mode", "member", "confidence")
+
+
+def _order_trees(spark, sf_dir):
+    """A tree an order: a variable is assigned the result of a call, whose arguments are the order's line items."""
+    li = star.table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", F.row_number().over(order).alias("k"))
+    row = lambda node, parent, ord_, op, name, num: F.struct(node.cast("long").alias("node"), parent.cast("long").alias("parent"), ord_.cast("int").alias("ord"), op.alias("op"), name.alias("name"), num.cast("long").alias("num"), F.lit(8).alias("width"))
+    none, k, lit = F.lit(None), F.col("k"), F.lit
+    arg = F.col("l_returnflag")
+    at = 10 * k
+    top = row(at, lit(2), k, F.when(arg == "R", "add").when(arg == "A", "deref").otherwise("num"), none.cast("string"), F.when(arg == "N", F.col("l_suppkey")))
+    one = row(at + 1, at, lit(0), F.when(arg == "R", "param").otherwise("obj"), F.concat(lit("p"), "l_partkey"), none)
+    two = row(at + 2, at, lit(1), F.when(F.col("l_suppkey") % 4 != 0, "num").otherwise("var"), F.concat(lit("s"), "l_suppkey"), F.col("l_suppkey"))
+    args = li.select(F.col("l_orderkey").alias("tree"), F.explode(F.when(arg == "R", F.array(top, one, two)).when(arg == "A", F.array(top, one)).otherwise(F.array(top))).alias("r")).select("tree", "r.*")
+    o = star.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tree"), "o_custkey")
+    head = F.array(
+        row(lit(0), none, lit(0), lit("assign"), none.cast("string"), none), row(lit(1), lit(0), lit(0), lit("var"), F.concat(lit("v"), F.col("o_custkey") % 7), none),
+        row(lit(2), lit(0), lit(1), F.when(F.col("tree") % 3 == 0, "cast").otherwise("call"), F.concat(lit("f"), F.col("o_custkey") % 50), none),
+        row(lit(3), lit(2), lit(0), F.when(F.col("tree") % 3 == 0, "param").when(F.col("tree") % 5 == 0, "var").otherwise("obj"), F.concat(lit("f"), F.col("o_custkey") % 50), none),
+    )
+    return stash(o.select("tree", F.explode(head).alias("r")).select("tree", "r.*").unionByName(args), "nodes")
+
+
+_ORDER_ARGS = """l AS (SELECT l_orderkey AS tree, l_partkey AS p, l_suppkey AS s, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem)"""
+
+
+@query(f"""
+WITH {_ORDER_ARGS}
+SELECT tree, 'f' || o_custkey % 50 AS callee, CAST(k - 1 AS INT) AS arg, CASE WHEN flag = 'R' THEN CASE WHEN s % 4 = 0 THEN 'D' ELSE 'P' END WHEN flag = 'A' THEN 'G' ELSE 'C' END AS kind,
+  CASE WHEN flag = 'N' THEN '' ELSE 'p' || p END AS name, CAST(CASE WHEN flag = 'R' AND s % 4 <> 0 THEN s ELSE 0 END AS BIGINT) AS "offset", CASE WHEN flag = 'A' THEN '*' ELSE '' END AS mode,
+  CAST(CASE WHEN flag = 'R' AND s % 4 = 0 THEN 0 ELSE 2 END AS INT) AS confidence
+FROM l JOIN orders ON o_orderkey = tree WHERE tree % 3 <> 0 AND tree % 5 <> 0
+""")
+def call_arguments(spark, sf_dir):
+    """Origins of the arguments of each call, taken from its tree."""
+    nodes = _order_trees(spark, sf_dir)
+    return expressions.call_arguments(nodes, expressions.origins(nodes)).select("tree", "callee", "arg", "kind", "name", "offset", "mode", "confidence")
+
+
+@query("""
+SELECT o_orderkey AS tree, 'v' || o_custkey % 7 AS var, CASE WHEN o_orderkey % 3 = 0 THEN 'P' ELSE 'R' END AS kind, 'f' || o_custkey % 50 AS name,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'f' || o_custkey % 50 ELSE '' END AS cast_, 2 AS confidence FROM orders
+""")
+def assigned_values(spark, sf_dir):
+    """Where the value of each assigned variable comes from, taken from its tree."""
+    nodes = _order_trees(spark, sf_dir)
+    return expressions.assigned_values(nodes, expressions.origins(nodes)).select("tree", "var", "kind", "name", F.col("cast").alias("cast_"), "confidence")
 
 
 @query(f"""
