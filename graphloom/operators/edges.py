@@ -16,16 +16,23 @@ def dedup_types(refs: DataFrame) -> DataFrame:
 def containing(points: DataFrame, functions: DataFrame, at: str = "addr") -> DataFrame:
     """Adds ``func_start`` and ``func_id`` of the function whose [start, end) holds each point; others are dropped.
 
-    Both sides are cut into blocks of the largest function's size, so the range
-    join becomes an equality join on the block and its neighbour, at any size
-    of either side.
+    Functions are sorted by length into classes, each 16 times as long as the
+    one before, and cut into blocks of their class' length, of which a function
+    meets two at most.  So the range join becomes an equality join on class and
+    block, and one huge function does not put all points into one block: a point
+    is looked up once in each class that there is, 16 at most.
     """
-    f = functions.select(F.col("start").alias("func_start"), F.col("end").alias("_end"), F.col("id").alias("func_id"))
-    width = f.agg(F.coalesce(F.max(F.col("_end") - F.col("func_start")), F.lit(1))).first()[0]
-    f = f.withColumn("_block", F.explode(F.sequence(F.floor(F.col("func_start") / width), F.floor((F.col("_end") - 1) / width))))
-    p = points.withColumn("_block", F.floor(F.col(at) / width))
+    f = functions.where("end > start").select(F.col("start").alias("func_start"), F.col("end").alias("_end"), F.col("id").alias("func_id"))
+    bits = F.length(F.bin(F.col("_end") - F.col("func_start") - 1))
+    f = f.withColumn("_class", F.ceil(bits / 4).cast("int"))
+    found = sorted(r["_class"] for r in f.select("_class").distinct().collect())
+    block = lambda c, k: F.shiftright(c.cast("long"), 4 * k)
+    pick = lambda c: F.element_at(F.create_map(*[x for k in found or [1] for x in (F.lit(k), block(c, k))]), F.col("_class"))
+    f = f.withColumn("_block", F.explode(F.array_distinct(F.array(pick(F.col("func_start")), pick(F.col("_end") - 1)))))
+    places = F.array(*[F.struct(F.lit(k).alias("_class"), block(F.col(at), k).alias("_block")) for k in found or [1]])
+    p = points.withColumn("_place", F.explode(places)).withColumns({"_class": F.col("_place._class"), "_block": F.col("_place._block")})
     inside = (F.col("func_start") <= F.col(at)) & (F.col(at) < F.col("_end"))
-    return p.join(f, "_block").where(inside).drop("_block", "_end")
+    return p.join(f, ["_class", "_block"]).where(inside).drop("_class", "_block", "_place", "_end")
 
 
 def last_definition(rows: DataFrame, key: str, order: list[str], is_use: Column, is_definition: Column, value: Column, back: int = 20) -> DataFrame:

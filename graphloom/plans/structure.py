@@ -63,6 +63,19 @@ def func_containing(spark, sf_dir):
     return edges.containing(points, star.functions(spark, sf_dir)).select("addr", "func_start", "func_id")
 
 
+@query(f"""
+WITH {FUNC}, x AS (SELECT {BASE} + {STEP} * l_partkey + l_linenumber * 5 AS src_addr, {BASE} + {STEP} * (l_suppkey * 20) AS dst_addr, l_linenumber - 1 AS ref FROM lineitem)
+SELECT DISTINCT a.id AS src, b.id AS dst, CAST(ref AS INT) AS ref FROM x JOIN func a ON a.start_ <= src_addr AND src_addr < a.end_ JOIN func b ON b.start_ = dst_addr WHERE a.id <> b.id
+""")
+def outbound_by_address(spark, sf_dir):
+    """References from instructions: each belongs to the function that holds its address and leads to one that starts at its target."""
+    li = star.table(spark, sf_dir, "lineitem")
+    x = li.select((F.lit(BASE) + F.col("l_partkey") * STEP + F.col("l_linenumber") * 5).alias("addr"), (F.lit(BASE) + F.col("l_suppkey") * 20 * STEP).alias("start"), (F.col("l_linenumber") - 1).alias("ref")).distinct()
+    f = star.functions(spark, sf_dir)
+    out = edges.containing(x, f).withColumnRenamed("func_id", "src").join(f.select("start", F.col("id").alias("dst")), "start")
+    return out.where("src <> dst").select("src", "dst", F.col("ref").cast("int").alias("ref")).distinct()
+
+
 @query("""
 SELECT event_id, user_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS)
   OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS def_id

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, notation
-from graphloom.operators import cluster
+from graphloom.operators import labels
 from graphloom.plans.collect import collector
+from graphloom.plans.stash import stash
 from graphloom.sources import star
 from graphloom.sources.star import FUNC
 
@@ -78,8 +79,8 @@ def tokenize_docs(spark, sf_dir):
 
 @query(f"""
 WITH {_TOKENS}, c AS (SELECT source AS cluster, token, count(*) AS tf FROM tok WHERE source IS NOT NULL GROUP BY source, token),
-m AS (SELECT cluster, sum(tf) AS mass FROM c GROUP BY cluster), d AS (SELECT token, count(DISTINCT cluster) AS df FROM c GROUP BY token),
-s AS (SELECT c.cluster, token, (tf + 0.5) / (mass + 0.5 * (SELECT count(*) FROM d)) * ln(1 + (SELECT count(*) FROM m) / df) AS score FROM c JOIN m USING (cluster) JOIN d USING (token))
+m AS (SELECT cluster, sum(tf) AS mass, count(*) AS v FROM c GROUP BY cluster), d AS (SELECT token, count(DISTINCT cluster) AS df FROM c GROUP BY token),
+s AS (SELECT c.cluster, token, (tf + 0.5) / (mass + 0.5 * v) * ln(1 + (SELECT count(*) FROM m) / df) AS score FROM c JOIN m USING (cluster) JOIN d USING (token))
 SELECT cluster, token, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, token) <= 8
 """)
 def ctfidf_terms(spark, sf_dir):
@@ -88,7 +89,7 @@ def ctfidf_terms(spark, sf_dir):
 
     docs = star.table(spark, sf_dir, "documents").where("source is not null").select("source", "text")
     counts = docs.select(F.col("source").alias("cluster"), F.explode(names.tokens(F.col("text"))).alias("token")).groupBy("cluster", "token").agg(F.count("*").alias("tf"))
-    scores = cluster.term_scores(counts).withColumn("score", F.round("score", 9))
+    scores = labels.term_scores(counts).withColumn("score", F.round("score", 9))
     best = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "token"))
     return scores.withColumn("_k", best).where("_k <= 8").drop("_k")
 
@@ -128,6 +129,56 @@ def module_key(spark, sf_dir):
 _CATS = ", ".join(f"('{t}', '{c}')" for t, c in names.category_rows())
 
 
+_LABELS = f"""cat(token, category) AS (VALUES {_CATS}),
+word_ AS (SELECT p_partkey AS node, p_size AS cluster, (SELECT list(token ORDER BY token) FROM cat)[1 + (p_partkey * 7) % 200] AS word, p_name, p_type FROM part),
+tok AS (
+  SELECT node, cluster, unnest(string_split(p_name, ' ')) AS token, 3.0 AS w FROM word_ UNION ALL SELECT node, cluster, lower(p_type), 1.0 FROM word_
+  UNION ALL SELECT node, cluster, 'kit' || cluster // 2, 4.0 FROM word_ UNION ALL SELECT node, cluster, 'part' || cluster // 2, 4.0 FROM word_ WHERE node % 4 <> 0
+  UNION ALL SELECT node, cluster, word, 1.5 FROM word_ WHERE word IS NOT NULL),
+c AS (SELECT cluster, token, CAST(sum(w) AS DOUBLE) AS tf FROM tok GROUP BY 1, 2), m AS (SELECT cluster, sum(tf) AS mass, count(*) AS v FROM c GROUP BY 1), d AS (SELECT token, count(*) AS df FROM c GROUP BY 1),
+sc AS (SELECT cluster, token, round((tf + 0.5) / (mass + 0.5 * v) * ln(1 + (SELECT count(*) FROM m) / df), 9) AS score FROM c JOIN m USING (cluster) JOIN d USING (token)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, token) AS k FROM sc WHERE cluster <> 1),
+has AS (SELECT cluster, node, count(DISTINCT token) AS n FROM tok JOIN rk USING (cluster, token) WHERE k <= 2 GROUP BY 1, 2),
+big AS (SELECT cluster, (SELECT string_agg(token, '-' ORDER BY k) FROM rk WHERE rk.cluster = has.cluster AND k <= 2) AS term FROM has GROUP BY cluster HAVING count(*) FILTER (n = 2) / count(*) >= 0.6),
+opt AS (
+  SELECT cluster, row_number() OVER (ORDER BY max(score) DESC, cluster) AS place, min_by(token, k) AS best, list_concat(coalesce((SELECT [term] FROM big WHERE big.cluster = rk.cluster), []), list(token ORDER BY k)) AS terms
+  FROM rk GROUP BY cluster),
+claim(place, cluster, first_, used) AS (
+  SELECT CAST(0 AS BIGINT), -1, '', CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT place, cluster, first_, list_append(used, first_) FROM (
+    SELECT o.place, o.cluster, used, coalesce(list_filter(terms, lambda t: NOT list_contains(used, t))[1], best) AS first_ FROM claim JOIN opt o ON o.place = claim.place + 1)),
+more_ AS (SELECT cluster, string_agg(token, ' · ' ORDER BY k) AS more FROM (
+  SELECT rk.cluster, token, k FROM rk JOIN claim USING (cluster) WHERE NOT contains(first_, token) QUALIFY row_number() OVER (PARTITION BY rk.cluster ORDER BY k) <= 2) GROUP BY cluster),
+kind AS (SELECT cluster, category, min(k) AS k, count(*) AS n FROM rk JOIN cat USING (token) GROUP BY 1, 2 HAVING min(k) <= 8),
+hit AS (SELECT DISTINCT cluster, category FROM word_ JOIN cat ON token = word WHERE node % 11 = 0 AND len(word) BETWEEN 3 AND 24 AND word NOT IN {_list(names.STOPWORDS)}),
+cat_ AS (SELECT cluster, min_by(category, k) AS category FROM kind WHERE category NOT IN {_list(names.SENSITIVE)} OR n >= 2 OR (cluster, category) IN (FROM hit) GROUP BY cluster),
+size_ AS (SELECT p_size AS cluster, count(*) AS n FROM part GROUP BY 1)"""
+
+
+@query(f"""
+WITH RECURSIVE {_LABELS}
+SELECT z.cluster, CASE WHEN z.cluster = 1 THEN 'Utilities' ELSE coalesce(first_ || coalesce(' · ' || more, ''), 'cluster-' || (z.cluster + 1)) END || ' (' || n || ' funcs)' AS label,
+  CASE WHEN z.cluster = 1 THEN 'stl_util' ELSE coalesce(category, '') END AS category
+FROM size_ z LEFT JOIN claim USING (cluster) LEFT JOIN more_ ON more_.cluster = z.cluster LEFT JOIN cat_ ON cat_.cluster = z.cluster
+""")
+def cluster_labels(spark, sf_dir):
+    """Parts of a size are a subsystem, told by words of their names, types and a word with a category; neighbouring sizes compete for the same terms."""
+    p = star.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("cluster"), "p_name", "p_type")
+    words = F.array(*[F.lit(t) for t, _ in names.category_rows()])
+    p = p.withColumn("word", F.get(words, ((F.col("node") * 7) % 200).cast("int")))
+    both = F.floor(F.col("cluster") / 2)
+    rows = F.filter(F.concat(
+        F.transform(F.split("p_name", " "), lambda t: F.struct(t.alias("token"), F.lit(3.0).alias("weight"))),
+        F.array(F.struct(F.lower("p_type").alias("token"), F.lit(1.0).alias("weight")), F.struct(F.concat(F.lit("kit"), both).alias("token"), F.lit(4.0).alias("weight")),
+                F.struct(F.when(F.col("node") % 4 != 0, F.concat(F.lit("part"), both)).alias("token"), F.lit(4.0).alias("weight")), F.struct(F.col("word").alias("token"), F.lit(1.5).alias("weight"))),
+    ), lambda x: x["token"].isNotNull())
+    tokens = stash(p.select("node", "cluster", F.explode(rows).alias("r")).select("node", "cluster", "r.*"), "tokens")
+    clusters = p.groupBy("cluster").agg(F.count("*").alias("size")).withColumn("utility", F.col("cluster") == 1)
+    modules = p.where("node % 11 = 0 and word is not null").select("cluster", F.concat(F.lit("lib"), "word", F.lit(".so")).alias("module"))
+    return labels.labels(tokens, clusters, modules)
+
+
 @query(f"""
 WITH cat(token, category) AS (VALUES {_CATS}), w AS (SELECT p_partkey AS id, (SELECT list(token ORDER BY token) FROM cat)[1 + (p_partkey * 7) % 200] AS token FROM part)
 SELECT id, w.token, category, category IN {_list(names.SENSITIVE)} AS sensitive FROM w LEFT JOIN cat USING (token) WHERE w.token IS NOT NULL

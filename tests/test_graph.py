@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, notation
-from graphloom.operators import centrality, cluster, edges, facts, paths, producers, provenance, render, transfer, traverse
+from graphloom.operators import centrality, cluster, edges, facts, labels, paths, producers, provenance, render, transfer, traverse
 from graphloom.operators.components import connected_components
 
 DIAMOND = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 3)]
@@ -167,9 +167,34 @@ def test_shape_hash(spark):
     assert as_dict(transfer.shape_hash(t), "func", "shape")[1] % 2**64 == h
 
 
-def test_labels():
-    top = [(0, "dot", 0.9), (0, "graph", 0.5), (1, "dot", 0.8), (1, "sql", 0.1)]
-    assert cluster.claim_labels(top, {0: 3, 1: 2, 2: 1}) == {0: "dot · graph (3 funcs)", 1: "sql · dot (2 funcs)", 2: "cluster-2 (1 funcs)"}
+def test_labels(spark):
+    one, two = names.CATEGORIES["crypto"].split()[:2]
+    tokens = [(1, 0, "dot", 5.0), (1, 0, "graph", 4.0), (2, 1, "dot", 9.0), (2, 1, "sql", 1.0), (3, 1, "dot", 2.0), (4, 3, "dot", 1.0), (5, 5, "dot", 1.0), (6, 6, one, 1.0), (7, 7, one, 1.0), (7, 7, two, 1.0)]
+    clusters = [(0, 3, False), (1, 2, False), (2, 1, False), (3, 1, False), (4, 9, True), (5, 1, False), (6, 1, False), (7, 1, False)]
+    t = spark.createDataFrame(tokens, "node long, cluster long, token string, weight double")
+    c = spark.createDataFrame(clusters, "cluster long, size long, utility boolean")
+    out = {r["cluster"]: (r["label"], r["category"]) for r in labels.labels(t, c, spark.createDataFrame([], "cluster long, module string")).collect()}
+    assert out[2] == ("cluster-3 (1 funcs)", "") and out[4] == ("Utilities (9 funcs)", "stl_util")
+    # the two best terms of 0 stand together, those of 1 in one of two functions
+    assert out[0][0] == "graph-dot (3 funcs)" and out[1][0].split(" ")[0] in ("sql", "dot")
+    # only one can have "dot" alone; who finds no other takes it again
+    assert {out[k][0] for k in (3, 5)} == {"dot (1 funcs)"}
+    assert out[6][1] == "" and out[7][1] == "crypto"  # a sensitive category needs two terms
+
+
+def test_claims_match_sequence(spark):
+    r = random.Random(2)
+    options = {c: r.sample(range(12), r.randrange(0, 12)) for c in range(30)}
+    place = {c: i for i, c in enumerate(r.sample(range(30), 30))}
+    used, want = set(), {}
+    for c in sorted(place, key=place.get):
+        first = next((t for t in options[c] if t not in used), None)
+        if first is not None:
+            used.add(first)
+            want[c] = str(first)
+    o = spark.createDataFrame([(c, k, str(t)) for c, ts in options.items() for k, t in enumerate(ts)], "cluster long, k long, term string")
+    p = spark.createDataFrame(list(place.items()), "cluster long, place long")
+    assert as_dict(labels.claims(o, p), "cluster", "term") == want
 
 
 def test_signals_of_a_graph_with_cycles(spark):
@@ -486,3 +511,18 @@ def test_deep_expressions_fold_in_few_rounds(spark):
     nodes = spark.createDataFrame(rows, "tree long, node long, parent long, ord int, op string, name string, num long, width int")
     top = x.origins(nodes, max_rounds=20).where(F.col("node") == 2 * (depth - 1)).first()
     assert (top["kind"], top["name"], top["offset"], top["confidence"]) == ("P", "p", 3 * (depth // 2), 2)
+
+
+def test_containing_with_uneven_sizes(spark):
+    r = random.Random(3)
+    functions, at = [(-(1 << 25), 0, 0)], 64
+    for i in range(1, 400):  # the first one is a million times as long as the others
+        n = r.randrange(1, 60)
+        functions.append((at, at + n, i))
+        at += n + r.randrange(0, 9)
+    points = [r.randrange(-(1 << 25) - 50, at + 50) for _ in range(500)] + [r.randrange(0, at + 50) for _ in range(1500)] + [f[0] for f in functions] + [f[1] for f in functions] + [f[1] - 1 for f in functions]
+    want = sorted((p, f[0], f[2]) for p in points for f in functions if f[0] <= p < f[1])
+    f = spark.createDataFrame(functions, "start long, end long, id long")
+    out = edges.containing(spark.createDataFrame([(p,) for p in points], "addr long"), f).select("addr", "func_start", "func_id")
+    assert sorted(map(tuple, out.collect())) == want
+    assert edges.containing(spark.createDataFrame([(1,)], "addr long"), f.where("false")).count() == 0
