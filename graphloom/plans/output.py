@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import notation
-from graphloom.operators import edges, expressions, traverse
+from graphloom.operators import dump, edges, expressions, traverse
 from graphloom.plans.collect import collector
 from graphloom.plans.stash import stash
 from graphloom.sources import star
-from graphloom.sources.star import FUNC, flow_sql
+from graphloom.sources.star import BASE, FUNC, flow_sql
 
 QUERIES, SQL, query = collector()
 
@@ -44,6 +44,44 @@ def code_dump(spark, sf_dir):
     return g.select("file", F.concat(F.lit("// included: "), F.col("n"), F.lit("\n"), F.array_join("b", "\n")).alias("code"))
 
 
+_REF_NAMES = "['direct_call', 'indirect_call', 'data_ref', 'immediate_ref', 'tail_call', 'virtual_call', 'jump_table']"
+
+
+def _refs_sql(of: str, other: str) -> str:
+    entry = f"g.name || ' (0x' || upper(to_hex(g.start_)) || ') [' || array_to_string(list_transform(types, lambda x: {_REF_NAMES}[x + 1]), '/') || ']'"
+    return f"(SELECT {of} AS id, string_agg({entry}, ', ' ORDER BY {other}) AS refs FROM t JOIN func g ON g.id = {other} GROUP BY {of})"
+
+
+@query(f"""
+WITH {flow_sql(0)}, {FUNC}, t AS (SELECT src, dst, list_sort(list(DISTINCT ref)) AS types FROM flow GROUP BY src, dst),
+nm AS (SELECT id, start_, size, system, name || ' (0x' || upper(to_hex(start_)) || ')' AS n FROM func),
+b AS (
+  SELECT nm.id, nm.start_ AS place, nm.system AS seed, '// Incoming xrefs for ' || n || ': ' || coalesce(i.refs, 'None') || chr(10) || '// Outgoing xrefs for ' || n || ': ' || coalesce(o.refs, 'None') || chr(10)
+    || '// --- Function: ' || n || ' ---' || chr(10) || '// offset: RVA 0x' || upper(to_hex(nm.start_ - {BASE})) || ' EA 0x' || upper(to_hex(nm.start_)) || chr(10)
+    || CASE WHEN size % 9 = 0 THEN '// (decompilation failed)' ELSE 'int f' || nm.id || '() {{ return ' || repeat('1', CAST(size AS INT)) || '; }}' END || chr(10) || '// --- End Function: ' || n || ' ---' || chr(10) || chr(10) AS text
+  FROM nm LEFT JOIN {_refs_sql("dst", "src")} i ON i.id = nm.id LEFT JOIN {_refs_sql("src", "dst")} o ON o.id = nm.id),
+h AS (
+  SELECT 0 AS section, CAST(0 AS BIGINT) AS place, '// Decompiled code' || chr(10) || chr(10) || '// Start functions: ' || (SELECT count(*) FROM func WHERE system) || chr(10) || chr(10) AS text
+  UNION ALL SELECT 1, dense_rank() OVER (ORDER BY p_type), 'struct ' || lower(p_type) || ';' || chr(10) FROM (SELECT DISTINCT p_type FROM part)),
+x AS (SELECT (SELECT sum(strlen(text)) FROM h) + sum(strlen(text)) AS whole FROM b),
+k AS (SELECT *, coalesce(sum(strlen(text)) OVER (PARTITION BY seed ORDER BY strlen(text), place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+SELECT * FROM h UNION ALL SELECT 2, place, text FROM k, x WHERE seed OR before >= whole - whole * 6 // 10
+""")
+def code_dump_budget(spark, sf_dir):
+    """The whole program as a code dump of three fifths of its size: functions of one brand are seeds, the smallest others go."""
+    f = star.functions(spark, sf_dir)
+    body = F.concat(F.lit("int f"), F.col("id"), F.lit("() { return "), F.repeat(F.lit("1"), F.col("size").cast("int")), F.lit("; }"))
+    f = stash(f.select("id", "name", "start", "system", F.when(F.col("size") % 9 != 0, body).alias("code")), "functions")
+    e = edges.dedup_types(star.flow(spark, sf_dir, 0))
+    blocks = dump.function_blocks(f.select("id", "name", "start", "code"), e, star.BASE).join(f.select("id", F.col("start").alias("place"), F.col("system").alias("seed")), "id")
+    blocks = stash(blocks, "blocks")
+    kinds = star.table(spark, sf_dir, "part").select("p_type").distinct()
+    types = kinds.select(F.dense_rank().over(Window.orderBy("p_type")).alias("place"), F.concat(F.lit("struct "), F.lower("p_type"), F.lit(";\n")).alias("text"))  # one row a type
+    seeds = f.where("system").count()
+    whole = dump.code_dump(spark, blocks, types, seeds).agg(F.sum(F.octet_length("text"))).first()[0]
+    return dump.code_dump(spark, blocks, types, seeds, whole * 6 // 10)
+
+
 @query(f"""
 WITH {flow_sql(0)}, l AS (SELECT src % 20 AS graph, src, dst FROM edge)
 SELECT graph, 'digraph {{' || chr(10) || string_agg('  f_' || lower(to_hex(src)) || ' -> f_' || lower(to_hex(dst)) || ';', chr(10) ORDER BY src, dst) || chr(10) || '}}' AS dot FROM l GROUP BY graph

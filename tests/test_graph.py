@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, notation
-from graphloom.operators import centrality, cluster, edges, facts, labels, paths, producers, provenance, render, transfer, traverse
+from graphloom.operators import centrality, cluster, dump, edges, facts, labels, paths, producers, provenance, render, transfer, traverse
 from graphloom.operators.components import connected_components
 
 DIAMOND = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 3)]
@@ -526,3 +526,21 @@ def test_containing_with_uneven_sizes(spark):
     out = edges.containing(spark.createDataFrame([(p,) for p in points], "addr long"), f).select("addr", "func_start", "func_id")
     assert sorted(map(tuple, out.collect())) == want
     assert edges.containing(spark.createDataFrame([(1,)], "addr long"), f.where("false")).count() == 0
+
+
+def test_budget_of_a_whole_dump(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(i, r.choice([5, 5, 7, 300, 70000]), r.random() < 0.1) for i in range(300)]
+    b = spark.createDataFrame(rows, "place long, size long, seed boolean")
+    whole = sum(s for _, s, _ in rows) + 11
+    for budget in (whole, whole - 1, whole - 5, whole - 600, whole // 2, 10, 0):
+        total, gone = whole, set()
+        for place, size, _ in sorted((x for x in rows if not x[2]), key=lambda x: (x[1], x[0])):
+            if total <= budget:
+                break
+            total -= size
+            gone.add(place)
+        assert {x["place"] for x in dump.within_total(b, 11, budget).collect()} == {p for p, _, _ in rows} - gone
+    dump.write_text(b.select("place", F.concat(F.col("place"), F.lit("\n")).alias("text")), str(tmp_path / "out"), "place")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert text == "".join(f"{i}\n" for i in range(300))
