@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import notation
-from graphloom.operators import dump, edges, expressions, traverse
+from graphloom.operators import dump, edges, expressions, paths, traverse, types
 from graphloom.plans.collect import collector
 from graphloom.plans.stash import stash
 from graphloom.sources import star
@@ -285,9 +287,31 @@ SELECT CAST(root AS BIGINT) AS root, string_agg('struct T' || node || ';', ' ' O
 def type_headers(spark, sf_dir):
     """Declarations of a type and what it needs two levels down, needed ones first."""
     p = star.table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("src"), (1 + F.col("p_size") * 3 % 50).cast("long").alias("dst")).where("src <> dst").distinct()
-    root = p.select(F.col("src").alias("root"), F.struct(F.col("src").alias("root"), F.col("src").alias("t")).alias("node"))
-    pairs = p.crossJoin(F.broadcast(p.select(F.col("src").alias("root")).distinct()))  # 50 types at most
-    e = pairs.select(F.struct("root", F.col("src").alias("t")).alias("src"), F.struct("root", F.col("dst").alias("t")).alias("dst"))
-    d = traverse.layers(stash(e, "typed"), root, 2).select("node.root", F.col("node.t").alias("t"), "depth")
+    sources = p.select(F.col("src").alias("node")).distinct()
+    d = reduce(DataFrame.unionAll, [x.select(F.col("source").alias("root"), F.col("node").alias("t"), F.col("dist").alias("depth")) for x in paths.search(p, sources, depth=2)])
     parts = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "t")))
     return d.groupBy("root").agg(F.array_join(F.transform(parts, lambda x: F.concat(F.lit("struct T"), x["t"], F.lit(";"))), " ").alias("header"))
+
+
+@query("""
+WITH RECURSIVE m0 AS (SELECT p_partkey AS k, CAST(substr(p_brand, 7) AS BIGINT) AS type, CAST(1 + p_size % 8 AS BIGINT) AS size, p_name || '_' || p_partkey AS name FROM part),
+m AS (SELECT type, coalesce(sum(size) OVER (PARTITION BY type ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off_, size, name, CASE WHEN k % 5 = 0 THEN 1 + (type * 7 + k) % 25 END AS nested FROM m0),
+w AS (SELECT type, max(off_ + size) AS e FROM m GROUP BY type),
+a(type, off_) AS (
+  SELECT DISTINCT w.type, CAST((l_orderkey * 13 + l_suppkey) % (w.e * 3) AS BIGINT) FROM lineitem JOIN m0 ON k = l_partkey JOIN w ON w.type = m0.type WHERE (l_orderkey * 13 + l_suppkey) % (w.e * 3) < w.e AND l_orderkey % 10 = 0
+  UNION SELECT m.nested, a.off_ - m.off_ FROM a JOIN m ON m.type = a.type AND m.off_ <= a.off_ AND a.off_ < m.off_ + m.size WHERE nested IS NOT NULL),
+kept AS (SELECT DISTINCT m.* FROM a JOIN m ON m.type = a.type AND m.off_ <= a.off_ AND a.off_ < m.off_ + m.size),
+k AS (SELECT *, coalesce(lag(off_ + size) OVER o, 0) AS before, lead(off_) OVER o IS NULL AS last FROM kept WINDOW o AS (PARTITION BY type ORDER BY off_))
+SELECT type, off_, size, name FROM k UNION ALL SELECT type, before, off_ - before, NULL FROM k WHERE off_ > before UNION ALL SELECT type, off_ + size, e - off_ - size, NULL FROM k JOIN w USING (type) WHERE last AND e > off_ + size
+""")
+def trimmed_types(spark, sf_dir):
+    """Brands as structures of their parts, some of them structures themselves, trimmed to the offsets that every tenth order accesses; the rest is padding."""
+    k = F.col("p_partkey")
+    m = star.table(spark, sf_dir, "part").select(k.alias("k"), F.substring("p_brand", F.lit(7), F.lit(9)).cast("long").alias("type"), (1 + F.col("p_size") % 8).cast("long").alias("size"), F.concat_ws("_", "p_name", k).alias("name"))
+    before = Window.partitionBy("type").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumns({"off": F.coalesce(F.sum("size").over(before), F.lit(0)), "nested": F.when(F.col("k") % 5 == 0, 1 + (F.col("type") * 7 + F.col("k")) % 25)})
+    m = stash(m, "members")
+    whole = m.groupBy("type").agg((F.max(F.col("off") + F.col("size"))).alias("e"))
+    li = star.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 13 + F.col("l_suppkey")).alias("x"))
+    a = li.join(m.select("k", "type"), "k").join(whole, "type").select("type", (F.col("x") % (F.col("e") * 3)).alias("off"), "e").where("off < e").select("type", "off")
+    return types.trimmed(m.select("type", "off", "size", "name", "nested"), a).withColumnRenamed("off", "off_")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, notation
-from graphloom.operators import centrality, cluster, dump, edges, facts, labels, paths, producers, provenance, render, transfer, traverse
+from graphloom.operators import centrality, cluster, dump, edges, facts, labels, paths, producers, provenance, render, transfer, traverse, types
 from graphloom.operators.components import connected_components
 
 DIAMOND = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 3)]
@@ -544,3 +544,13 @@ def test_budget_of_a_whole_dump(spark, tmp_path):
     dump.write_text(b.select("place", F.concat(F.col("place"), F.lit("\n")).alias("text")), str(tmp_path / "out"), "place")
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert text == "".join(f"{i}\n" for i in range(300))
+
+
+def test_types_are_trimmed(spark):
+    members = [(1, 0, 4, "a", None), (1, 4, 8, "inner", 2), (1, 12, 4, "b", None), (2, 0, 4, "x", None), (2, 4, 4, "self", 2), (3, 0, 1, "never", None)]
+    m = spark.createDataFrame(members, "type long, off long, size long, name string, nested long")
+    a = spark.createDataFrame([(1, 9), (1, 99)], "type long, off long")
+    out = sorted((r["type"], r["off"], r["size"], r["name"]) for r in types.trimmed(m, a).collect())
+    # offset 9 is 5 in the inner type, there 1 in its own last member, which is in its first
+    assert out == [(1, 0, 4, None), (1, 4, 8, "inner"), (1, 12, 4, None), (2, 0, 4, "x"), (2, 4, 4, "self")]
+    assert types.trimmed(m, a.where("false")).count() == 0
