@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARTS = ("size", "insns", "blocks", "shape")
@@ -17,22 +13,20 @@ START, TIMES = 1469598103934665603, 1099511628211
 def shape_hash(tagged: DataFrame) -> DataFrame:
     """``(func, shape)`` from ``tagged(func, pos, tag)``: the tags of a function folded in order, wrapping at 64 bits.
 
-    The fold is a polynomial in the multiplier only if tags were added; they are
-    xor-ed in, so it runs step by step over each function's own sorted tags.
+    The multiplier is 2**40 + 435, so a product of 64 bits is put together from
+    the halves of its factor without a sum that overflows.
     """
-    rows = tagged.groupBy("func").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"]).alias("tags"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for tags in batch.column("tags").to_pylist():
-                h = START
-                for t in tags:
-                    h = ((h ^ (t & 0xFFFFFFFFFFFFFFFF)) * TIMES) & 0xFFFFFFFFFFFFFFFF
-                out.append(h)
-            yield pa.RecordBatch.from_arrays([batch.column("func"), pa.array(np.array(out, np.uint64).view(np.int64))], ["func", "shape"])
-
-    return rows.mapInArrow(fold, "func long, shape long")
+    tags = F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"].cast("long"))
+    half = F.lit(0xFFFFFFFF).cast("long")
+
+    def step(h: Column, tag: Column) -> Column:
+        x = h.bitwiseXOR(tag)
+        low = x.bitwiseAND(half)
+        small = low * (TIMES - (1 << 40))
+        high = F.shiftrightunsigned(small, 32) + F.shiftrightunsigned(x, 32) * (TIMES - (1 << 40)) + F.shiftleft(low, 8)
+        return F.shiftleft(high, 32).bitwiseOR(small.bitwiseAND(half))
+
+    return tagged.groupBy("func").agg(F.aggregate(tags, F.lit(START).cast("long"), step).alias("shape"))
 
 
 def match_fingerprints(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -122,9 +122,13 @@ def fingerprint_mismatch(spark, sf_dir):
     return transfer.mismatch(pairs).select("func", "why")
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT l_orderkey AS func, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey)::UHUGEINT[] AS tags FROM lineitem GROUP BY l_orderkey),
+h AS (SELECT func, list_reduce(list_prepend({transfer.START}::UHUGEINT, tags), lambda h, t: (xor(h, t) * {transfer.TIMES}::UHUGEINT) % 18446744073709551616::UHUGEINT)::HUGEINT AS u FROM t)
+SELECT func, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS shape FROM h
+""")
 def shape_hashes(spark, sf_dir):
-    """Order-sensitive 64-bit folds with wrapping multiplication, which SQL of neither engine has."""
+    """Order-sensitive 64-bit folds with wrapping multiplication."""
     e = star.table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return transfer.shape_hash(e.select(F.col("l_orderkey").alias("func"), F.row_number().over(order).alias("pos"), F.col("l_partkey").alias("tag")))
