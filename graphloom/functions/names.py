@@ -49,7 +49,7 @@ CATEGORIES = {
 #: Categories that need more than one sign.
 SENSITIVE = ("network", "crypto", "compression", "database")
 
-#: The same rules as regular expressions of both Java and RE2.
+#: Prefixes and parts of names that runtime and low-level functions have, as regular expressions of both Java and RE2.
 LEADING = r"^(?:j_|__imp_|_imp_|imp_|\.|_)+"
 RUNTIME_TEXT = r"^(?:_Z|__|std::|`|\.)|_M_|__gnu_cxx|cxxabi|__cxa|gxx_personality|_Unwind|operator|GLIBC|GCC_|CXXABI|GLIBCXX|^[A-Z0-9]{4,}$|^[A-Z0-9]{4,}[h.]$"
 RUNTIME_DEMANGLED = r"^(?:std::|__gnu_cxx|__cxxabiv1|__cxa|operator new|operator delete|non-virtual thunk|virtual thunk|typeinfo|vtable for|VTT for|guard variable)"

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Temporary folders of local sessions without the setting, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,11 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+    return _LOCAL[context.applicationId]
 
 
 def stash(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
