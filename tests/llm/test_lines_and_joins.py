@@ -1,10 +1,12 @@
 """Line dedup, n-gram join, mixing, substring dedup and packing against brute force."""
 
 import hashlib
+import os
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +274,19 @@ def test_encoder_is_the_tokenizer():
         assert e.ids(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_encoder_is_the_tokenizer_on_all_texts():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    e = packing.Encoder(public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.RANKS))
+    texts = sorted({t for t in pq.read_table(path)["text"].to_pylist() if t})
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        for text, ids in zip(part, e.tokenizer.encode_batch(part, add_special_tokens=False)):
+            assert e.ids(text) == np.array(ids.ids, "<u4").tobytes(), text[:200]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_reduction_keeps_the_optimum(seed):
     """Few sequences as an exhaustive search finds, and never more than best-fit alone would need beyond it."""
