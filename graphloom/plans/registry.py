@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.plans import dataflow, documents, drawing, facts, output, producing, ranking, structure, texts
+from graphloom.plans import dataflow, decoding, documents, drawing, facts, output, producing, ranking, structure, texts
 
-_ALL = (structure, producing, ranking, texts, dataflow, facts, drawing, output, documents)
+_ALL = (structure, producing, decoding, ranking, texts, dataflow, facts, drawing, output, documents)
 QUERIES = {k: f for m in _ALL for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _ALL for k, s in m.SQL.items()}
