@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,16 @@ def stash(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Data
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
     return out
+
+
+def resumed(spark: SparkSession, run: str, step: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a named step of a named run: made and written once, only read if it was finished before.
+
+    A step that was cut off left no mark of success and is made again, so a run that
+    is started anew under its name goes on after its last finished step.
+    """
+    path = f"{shared_dir(spark)}/graphloom/runs/{run}/{step}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
