@@ -103,3 +103,23 @@ def edge_alpha(count: Column, largest: Column) -> Column:
 def comment_to_assembly(c: Column) -> Column:
     """A line of C for an assembly listing: comments begin with a semicolon, and so does all else."""
     return F.when(c.startswith("// "), F.concat(F.lit("; "), F.substr(c, F.lit(4)))).when(c.startswith("//"), F.concat(F.lit(";"), F.substr(c, F.lit(3)))).otherwise(F.concat(F.lit("; "), c))
+
+
+def node_of(kind: Column, function: Column, name: Column, offset: Column, mode: Column, member: Column, meta: Column) -> Column:
+    """A node of a value with its slice, mode and notes: locals and parameters without a name are told by function and index 0, globals by 0x0, returns by function.
+
+    ``offset`` null or 0 has no slice, ``meta`` is text as ``meta_of`` gives.
+    """
+    part = slice_of(member, F.nullif(offset, F.lit(0)), F.lit(None).cast("int"))
+    named = lambda other: F.when(F.coalesce(name, F.lit("")) != "", name).otherwise(other)
+    held = F.concat(kind, F.lit("("), named(F.concat(function, F.lit(",0"))), F.lit(")"), part, F.coalesce(mode, F.lit("")))
+    body = F.when(kind.isin("L", "P"), held).when(kind == "G", F.concat(F.lit("G("), named(F.lit("0x0")), F.lit(")"), part)).when(kind == "C", "C(0x0)").when(kind == "R", F.concat(F.lit("R("), named(function), F.lit(")")))
+    return F.concat(F.coalesce(body, F.lit("U()")), meta)
+
+
+def argument_node(callee: Column, arg: Column) -> Column:
+    return F.concat(F.lit("A("), callee, F.lit(","), arg.cast("string"), F.lit(")"))
+
+
+def function_node(function: Column, name: Column) -> Column:
+    return F.concat(F.lit("F("), F.when(F.coalesce(name, F.lit("")) != "", name).otherwise(function), F.lit(")"))
