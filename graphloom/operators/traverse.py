@@ -12,8 +12,11 @@ def layers(edges: DataFrame, seeds: DataFrame, depth: int, backwards: bool = Fal
     """``(node, depth)``: nodes within ``depth`` steps of the seeds, each at its smallest depth.
 
     A layer is the neighbours of the last one that were not met before, so each
-    node is opened once; the loop has ``depth`` joins at most.
+    node is opened once; the loop has ``depth`` joins at most.  Edges that several
+    layers read are written first, so that what makes them is not done again for each.
     """
+    if depth > 1 and not hasattr(edges, "stashed_at"):
+        edges = stash(edges.select("src", "dst"), "edges")
     a, b = ("dst", "src") if backwards else ("src", "dst")
     e = edges.select(F.col(a).alias("node"), F.col(b).alias("to"))
     last = stash(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "layers")
