@@ -90,17 +90,27 @@ def read(texts: DataFrame) -> DataFrame:
     operand is the first of ``texts``.  Null texts have no lines.
     """
     lines = texts.where("text is not null").select("file", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return decoded(lines, ["file"])
+
+
+def decoded(lines: DataFrame, unit: list[str], headed: str | None = None) -> DataFrame:
+    """``read``'s rows of ``lines(file, line_no, line, ...)``.
+
+    No function's block runs over the border of a ``unit`` (columns), so each is
+    decoded alone; ``headed`` names the column that says whether the file begins with a
+    header, where a unit is less than a file.
+    """
     lines = lines.where(F.trim("line") != "").withColumn("line", F.trim(F.regexp_replace("line", "\t", " ")))
     name = F.regexp_extract("line", "^([a-z_]+)", 1)
     lines = lines.withColumn("directive", F.when(F.col("line").startswith(MAGIC), "header").otherwise(name))
     fits = F.when(F.col("directive") == "header", F.col("line").rlike("^" + MAGIC + "[0-9]{1,9}$"))
     for d, operands in DIRECTIVES.items():
         fits = fits.when(F.col("directive") == d, F.col("line").rlike("^" + d + "".join(r"\s+" + _OPERAND[o] for o in operands) + "$"))
-    in_file = Window.partitionBy("file").orderBy("line_no")
-    before = in_file.rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when((F.col("directive") == "func") & F.col("_fits"), F.regexp_extract("line", r"^func\s+(\S+)", 1)).when((F.col("directive") == "func") | (F.lag("directive").over(in_file) == "end_func"), "")
+    in_unit = Window.partitionBy(*unit).orderBy("line_no")
+    before = in_unit.rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when((F.col("directive") == "func") & F.col("_fits"), F.regexp_extract("line", r"^func\s+(\S+)", 1)).when((F.col("directive") == "func") | (F.lag("directive").over(in_unit) == "end_func"), "")
     lines = lines.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn("_mark", mark)
-    lines = lines.withColumn("_func", F.last("_mark", ignorenulls=True).over(before)).withColumn("_headed", F.first("directive").over(before) == "header")
+    lines = lines.withColumn("_func", F.last("_mark", ignorenulls=True).over(before)).withColumn("_headed", F.col(headed) if headed else F.first("directive").over(before) == "header")
     inner = F.col("directive").isin(INNER)
     within = F.coalesce(F.col("_func"), F.lit("")) != ""
     error = F.when(~F.col("_headed"), "no header").when(~F.col("directive").isin("header", *DIRECTIVES), "unknown directive").when(~F.col("_fits"), "bad operands")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import annotations, edges, render
+from graphloom.operators import annotation_parts, annotations, edges, render
 from graphloom.plans.collect import collector
+from graphloom.plans.stash import fresh_path
 from graphloom.sources import star
 from graphloom.sources.star import BASE, FUNC, flow_sql
 
@@ -39,8 +40,7 @@ def _program(spark, sf_dir):
     return programs, types, f, comments, variables, callees
 
 
-@query(f"""
-WITH {_SITES}, x AS (SELECT id // 100 AS file, * FROM site),
+_LINES = f"""{_SITES}, x AS (SELECT id // 100 AS file, * FROM site),
 line AS (
   SELECT file, 0 AS s, CAST(0 AS BIGINT) AS o, 0 AS p, CAST(0 AS BIGINT) AS q, concat_ws(chr(10), '#annotations v1', 'image_base 0x{BASE:X}', 'root_ea 0x' || upper(to_hex(min(start_))), 'arch "x64"', 'created "day \\"1\\""') AS line FROM fn GROUP BY file
   UNION ALL SELECT s_suppkey // 5, 1, s_suppkey, 0, 0, 'type ' || s_suppkey || ' "' || s_name || '" "struct ' || s_name || '\\n{{}};"' FROM supplier
@@ -49,25 +49,60 @@ line AS (
   UNION ALL SELECT file, 2, id, 20, k, '  cmt 0x' || upper(to_hex(k)) || CASE WHEN closed THEN ' 1 "' ELSE ' 0 "' END || flag || '\\t"' FROM x WHERE n = 1
   UNION ALL SELECT file, 2, id, 21, k, '  lvar ' || ['none', 'reg', 'stk'][1 + k % 3] || ' ' || n * 4 || ' 0x' || upper(to_hex(k)) || ' "v' || k || '" "int"' FROM x WHERE n = 2
   UNION ALL SELECT file, 2, id, 22, k, '  callee 0x' || upper(to_hex(k)) || ' ' || id + k FROM x WHERE n >= 3
-  UNION ALL SELECT file, 2, id, 23, 0, 'end_func' FROM fn)
-SELECT file, string_agg(line, chr(10) ORDER BY s, o, p, q) || chr(10) AS text FROM line GROUP BY file
-""")
+  UNION ALL SELECT file, 2, id, 23, 0, 'end_func' FROM fn),
+whole AS (SELECT file, string_agg(line, chr(10) ORDER BY s, o, p, q) || chr(10) AS text FROM line GROUP BY file)"""
+
+
+@query(f"WITH {_LINES} SELECT file, text FROM whole")
 def annotation_files(spark, sf_dir):
     """Programs' annotations as whole files."""
     return annotations.files(annotations.written(*_program(spark, sf_dir)))
 
 
-@query(f"""
+_FUNCTIONS = f"""
 WITH {_SITES}, n AS (SELECT id, count_if(n = 1) AS comments, count_if(n = 2) AS variables, count_if(n >= 3) AS callees FROM site GROUP BY id)
 SELECT file, id AS func, name, start_ AS ea, start_ - {BASE} AS rva, size, size % 7 AS insns, CAST(1 AS BIGINT) AS blocks, id * 2654435761 AS shape, nullif(proto, '') AS proto, said AS comment, CAST(NULL AS VARCHAR) AS repeatable,
   coalesce(comments, 0) AS comments, coalesce(variables, 0) AS variables, coalesce(callees, 0) AS callees
 FROM fn LEFT JOIN n USING (id)
-""")
+"""
+
+
+@query(_FUNCTIONS)
 def annotation_functions(spark, sf_dir):
     """What the files say of each function, read back from their text."""
     return annotations.function_facts(annotations.read(annotation_files(spark, sf_dir)))
 
 
+def _in_parts(spark, sf_dir):
+    """The rows of the programs' files, written as parts in the shared folder and read back in blocks."""
+    path = fresh_path(spark, "annotation-parts")
+    annotation_parts.write_parts(annotations.written(*_program(spark, sf_dir)), path)
+    return annotation_parts.read_parts(spark, path).withColumn("file", F.col("file").cast("long"))
+
+
+@query(_FUNCTIONS)
+def annotation_parts_functions(spark, sf_dir):
+    """What the files say of each function, where no row ever holds a file."""
+    return annotations.function_facts(_in_parts(spark, sf_dir))
+
+
+_OPERANDS = "MAP {" + ", ".join(f"'{d}': '{o}'" for d, o in (("header", "n"), *annotations.DIRECTIVES.items())) + "}"
+
+
+@query(f"""
+WITH {_LINES}, cut AS (SELECT file, string_split(text, chr(10)) AS rows FROM whole),
+l AS (SELECT file, unnest(range(1, len(rows) + 1)) AS line_no, trim(unnest(rows)) AS line FROM cut),
+d AS (SELECT *, CASE WHEN line LIKE '#%' THEN 'header' ELSE string_split(line, ' ')[1] END AS directive FROM l WHERE line <> '')
+SELECT file, line_no, max(CASE WHEN directive = 'func' THEN CAST(string_split(line, ' ')[2] AS BIGINT) END) OVER (PARTITION BY file ORDER BY line_no) AS func, directive,
+  len(replace(replace(operands, 's', ''), 'w', '')) AS numbers, len(replace(operands, 'n', '')) AS texts
+FROM (SELECT *, map_extract_value({_OPERANDS}, directive) AS operands FROM d)
+""")
+def annotation_lines(spark, sf_dir):
+    """Every line of the files with its number, its function and how many operands it has, read in blocks."""
+    rows = _in_parts(spark, sf_dir).where("error is null")
+    return rows.select("file", "line_no", "func", "directive", F.size("numbers").cast("long").alias("numbers"), F.size("texts").cast("long").alias("texts"))
+
+
 @query("""
 WITH e AS (
   SELECT o_orderkey AS file, o_orderkey % 5 = 0 AS bare, o_orderkey % 7 = 0 AS nameless, o_orderkey % 3 = 0 AS cut, o_orderkey % 2 = 0 AS even FROM orders),

@@ -26,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing was written to yet."""
+    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+
+
 def stash(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -35,7 +40,7 @@ def stash(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Data
     other table that is still to be computed may read it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     if instead_of is not None:
         old = spark._jvm.org.apache.hadoop.fs.Path(instead_of.stashed_at)
