@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import notation
-from graphloom.operators import centrality, cluster, edges, render
+from graphloom.operators import centrality, cluster, edges, metagraph, render
 from graphloom.plans.collect import collector
 from graphloom.plans.stash import stash
 from graphloom.sources import star
@@ -193,6 +193,46 @@ def meta_styles(spark, sf_dir):
     return m.crossJoin(F.broadcast(top)).select("src_cluster", "dst_cluster", F.round(notation.edge_pen(F.col("count")), 6).alias("pen"), alpha.alias("alpha"))
 
 
+_KINDS = sorted(metagraph.STYLES) + ["", "unknown"]
+_STYLES = ", ".join(f"('{k}', '{f}', '{b}', '{n}')" for k, (f, b, n) in metagraph.STYLES.items())
+
+
+@query(f"""
+WITH {_META}, style(k, fill, border, called) AS (VALUES {_STYLES}),
+brand AS (SELECT p_size % 12 AS cluster, p_brand, count(*) AS n FROM part GROUP BY ALL),
+ev AS (SELECT cluster, p_brand AS said, sum(n) OVER (PARTITION BY cluster) AS n FROM brand QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY brand.n DESC, p_brand) = 1),
+kind AS (SELECT *, cluster = 3 AS utility, [{", ".join(f"'{k}'" for k in _KINDS)}][1 + cluster * 7 % {len(_KINDS)}] AS given FROM ev),
+shown AS (SELECT *, CASE WHEN utility THEN 'stl_util' WHEN given = '' THEN 'other' ELSE given END AS category FROM kind),
+drawn AS (SELECT shown.*, coalesce(s.fill, o.fill) AS fill, coalesce(s.border, o.border) AS border, coalesce(s.called, o.called) AS called FROM shown LEFT JOIN style s ON s.k = category, style o WHERE o.k = 'other'),
+kept AS (SELECT * FROM m WHERE src_cluster <> 3 AND dst_cluster <> 3),
+ends AS (SELECT *, unnest([src_cluster, dst_cluster]) AS node FROM kept),
+best AS (SELECT src_cluster, dst_cluster FROM ends QUALIFY row_number() OVER (PARTITION BY node ORDER BY count DESC, src_cluster, dst_cluster) = 1),
+top AS (SELECT max(count) AS t FROM m),
+line AS (
+  SELECT 0 AS section, 0 AS a, 0 AS b, '' AS key, '{metagraph.HEAD % ("LR", "ortho")}' AS line UNION ALL SELECT 2, 0, 0, '', '' UNION ALL SELECT 7, 0, 0, '', '}}'
+  UNION ALL SELECT 1, cluster, 0, '', '    c_' || cluster || ' [label=<<B>size ' || cluster || ' &lt;&amp;&gt;</B><BR/><FONT POINT-SIZE="9" COLOR="#5a6270">' || n || ' funcs</FONT><BR/><FONT POINT-SIZE="8" COLOR="#8a94a6">'
+    || said || '</FONT>> fillcolor="' || fill || '" color="' || border || '" fontsize=' || CAST(trunc(least(24, greatest(11, 11 + 3 * log2(n)))) AS INT)
+    || ' penwidth=' || regexp_replace(CAST(round(least(4.2, greatest(1.2, 1.2 + 0.1 * sqrt(n))), 5) AS VARCHAR), '[.]0$', '') || CASE WHEN utility THEN ' style="rounded,filled,dashed"' ELSE '' END || '];' FROM drawn
+  UNION ALL SELECT 3, src_cluster, dst_cluster, '', '    c_' || src_cluster || ' -> c_' || dst_cluster || ' [penwidth=' || regexp_replace(CAST(round(least(6, 0.8 + 0.9 * log2(1.0 + count)), 5) AS VARCHAR), '[.]0$', '')
+    || ' color="#334155' || upper(to_hex(CAST(trunc(greatest(64, least(204, 64 + 140 * log2(1.0 + count) / log2(1.0 + t)))) AS BIGINT))) || '" weight=' || count || '];' FROM kept, top
+    WHERE count >= greatest(3, (SELECT max(count) * 6 // 100 FROM kept)) OR (src_cluster, dst_cluster) IN (FROM best)
+  UNION ALL SELECT DISTINCT 5, 0, 0, category, '          <TR><TD BGCOLOR="' || fill || '" WIDTH="16"></TD><TD ALIGN="LEFT"><FONT POINT-SIZE="9">' || called || '</FONT></TD></TR>' FROM drawn
+  UNION ALL SELECT DISTINCT 4, 0, 0, '', '{metagraph.LEGEND}' FROM drawn UNION ALL SELECT DISTINCT 6, 0, 0, '', '{metagraph.LEGEND_END}' FROM drawn)
+SELECT CAST(section AS INT) AS section, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, key, line FROM line
+""")
+def meta_document(spark, sf_dir):
+    """The graph of parts by size as a document: the commonest brand is evidence, one size is the runtime."""
+    c = F.col
+    of = star.table(spark, sf_dir, "part").select((c("p_size") % 12).alias("cluster"), "p_brand").groupBy("cluster", "p_brand").agg(F.count("*").alias("n"))
+    said = F.min(F.struct(-c("n"), "p_brand"))["p_brand"]
+    kinds = F.array(*[F.lit(k) for k in _KINDS])
+    clusters = of.groupBy("cluster").agg(F.sum("n").alias("functions"), said.alias("evidence")).select(
+        "cluster", F.concat(F.lit("size "), "cluster", F.lit(" <&> ("), "functions", F.lit(" funcs)")).alias("label"), F.element_at(kinds, (1 + c("cluster") * 7 % len(_KINDS)).cast("int")).alias("category"),
+        (c("cluster") == 3).alias("utility"), "functions", "evidence",
+    )
+    return metagraph.meta_document(clusters, _meta(spark, sf_dir), "LR", True)
+
+
 @query("""
 SELECT o_orderkey AS id, o_custkey AS grp FROM (
   SELECT *, sum(s) OVER (PARTITION BY o_custkey) AS total, coalesce(sum(s) OVER (PARTITION BY o_custkey, seed ORDER BY s, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before

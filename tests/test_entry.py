@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SLOW = set("""
 address_taken affinity_edges alias_chain annotation_files annotation_functions annotation_lines annotation_parts_functions apply_mapping assigned_values betweenness betweenness_pivots
 call_arguments carried_annotations carried_counts callee_bfs caller_bfs centrality_rank cluster_labels code_dump_budget coreness dominator_subtree export_ids export_order expression_origins
-followed_edges harmonic hits instruction_edges liveness meta_backbone outbound_edges pagerank pagerank_reverse pagerank_seeded param_forward_chains producer_counts program_facts
+followed_edges harmonic hits instruction_edges liveness meta_backbone meta_document outbound_edges pagerank pagerank_reverse pagerank_seeded param_forward_chains producer_counts program_facts
 reach_estimate reach_size replayed_targets rrf_rank runtime_name scc_members shown_edges topo_level trimmed_types type_closure typed_neighbourhood
 utility_hubs virtual_dispatch vtable_runs
 """.split())
