@@ -77,7 +77,7 @@ def file_name(c: Column) -> Column:
 
 def rank_direction(c: Column) -> Column:
     u = F.upper(c)
-    return F.when(u.isin("TB", "BT", "LR", "RL"), u).otherwise("LR")
+    return F.when(u.isin("TB", "BT", "LR", "RL"), u).otherwise("TB")
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
