@@ -29,6 +29,25 @@ def _requests(spark, sf_dir):
     return lines.groupBy("l_orderkey").agg(told.alias("told")).select(c("l_orderkey").alias("request"), text.alias("text"))
 
 
+def _called(spark, sf_dir, found):
+    """Arguments of ``seeds.anchors``: functions, some called like entries, ``found`` seeds, and suppliers' entry points."""
+    c = F.col
+    f = star.functions(spark, sf_dir)
+    entries = star.table(spark, sf_dir, "supplier").select((F.lit(BASE) + STEP * 3 * c("s_suppkey") + c("s_nationkey")).alias("address"))
+    told = F.when(c("size") == 7, F.element_at(F.array(F.lit("_main"), F.lit("WinMain"), F.lit("start")), (1 + c("id") % 3).cast("int"))).otherwise(c("name"))
+    return f.withColumn("name", told), found, entries
+
+
+def entry_anchors(spark, sf_dir):
+    """``node``: anchors where nobody asks for any function."""
+    nobody = star.functions(spark, sf_dir).where("false").select(F.col("id").alias("node"))
+    return seeds.anchors(*_called(spark, sf_dir, nobody)).select("node")
+
+
+#: SQL of ``entry_anchors``; needs ``func``.
+ENTRY_ANCHORS = f"SELECT id FROM func JOIN supplier ON {BASE} + {STEP} * 3 * s_suppkey + s_nationkey BETWEEN start_ AND end_ - 1 UNION SELECT id FROM func WHERE size = 7"
+
+
 _RESOLVED = f"""{FUNC},
 l AS (SELECT l_orderkey AS request, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos, l_linenumber AS kind, name, id, start_ + CAST(l_quantity AS BIGINT) AS place FROM lineitem JOIN func ON id = l_partkey),
 told AS (
@@ -59,6 +78,4 @@ def anchors(spark, sf_dir):
     urgent = star.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(c("o_orderkey").alias("request"))
     wanted = seeds.specs(_requests(spark, sf_dir).join(urgent, "request", "left_semi"))
     found = seeds.resolved(wanted, f, f.select("name", c("start").alias("address"))).where("func is not null").select(c("func").alias("node"))
-    entries = star.table(spark, sf_dir, "supplier").select((F.lit(BASE) + STEP * 3 * c("s_suppkey") + c("s_nationkey")).alias("address"))
-    told = F.when(c("size") == 7, F.element_at(F.array(F.lit("_main"), F.lit("WinMain"), F.lit("start")), (1 + c("id") % 3).cast("int"))).otherwise(c("name"))
-    return seeds.anchors(f.withColumn("name", told), found, entries)
+    return seeds.anchors(*_called(spark, sf_dir, found))
