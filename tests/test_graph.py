@@ -46,6 +46,50 @@ def test_distances(diamond):
     assert h[0] == (0.0, 2.833333) and h[3] == (3.5, 1.0) and h[4] == (2.333333, 1.0)
 
 
+def _harmonic_by_search(pairs):
+    """Harmonic centrality by a search from each node, rounded."""
+    nodes = {x for p in pairs for x in p}
+    to, h = {v: {b for a, b in pairs if a == v} for v in nodes}, {v: [0.0, 0.0] for v in nodes}
+    for s in nodes:
+        seen, last, d = {s}, {s}, 0
+        while last:
+            last, d = {w for v in last for w in to[v]} - seen, d + 1
+            seen |= last
+            for w in last:
+                h[w][0] += 1 / d
+                h[s][1] += 1 / d
+    return {v: (round(i, 6), round(o, 6)) for v, (i, o) in h.items()}
+
+
+@pytest.mark.parametrize("batch_rows", [1, 10_000])
+def test_harmonic_of_all_nodes_in_batches(spark, batch_rows):
+    r = random.Random(3)
+    far = [(i, i + 1) for i in range(1000, 1010)]
+    ring = [(2000 + i, 2000 + (i + 1) % 7) for i in range(7)]
+    pairs = {*DIAMOND, *far, *ring, *((r.randrange(90), r.randrange(90)) for _ in range(250))}
+    e = spark.createDataFrame([*sorted(pairs), (0, 1), (7, 7), (None, 3)], "src long, dst long")
+    h = {x["node"]: (round(x["h_in"], 6), round(x["h_out"], 6)) for x in paths.harmonic_exact(e, words=1, batch_rows=batch_rows).collect()}
+    assert h == _harmonic_by_search({p for p in pairs if p[0] != p[1]})
+    assert paths.harmonic_exact(e.where("false")).collect() == []
+
+
+def test_harmonic_query_has_all_nodes_and_distances(spark, tmp_path):
+    """More than 4,096 nodes, and a path of eleven steps."""
+    import duckdb
+    import pandas as pd
+
+    import __spark_entry__ as entry
+
+    lines = [(o, i + 1, 2 * o + i, 1) for o in range(2100) for i in range(2)] + [(9000, i + 1, 9000 + i, 1) for i in range(12)]
+    pd.DataFrame(lines, columns=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).to_parquet(tmp_path / "lineitem.parquet")
+    h = {x["node"]: (x["h_in"], x["h_out"]) for x in entry.queries()["harmonic"](spark, str(tmp_path)).collect()}
+    far = [round(sum(1 / d for d in range(1, k + 1)), 6) for k in range(12)]
+    assert h == {n: (float(n % 2), float(1 - n % 2)) for n in range(4200)} | {9000 + k: (far[k], far[11 - k]) for k in range(12)}
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    assert {n: (i, o) for n, i, o in con.sql(entry.oracle_sql()["harmonic"]).fetchall()} == h
+
+
 def test_dominators(spark):
     dag = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)], "src long, dst long")
     n = as_dict(traverse.dominators(dag).groupBy("dominator").count(), "dominator", "count")
