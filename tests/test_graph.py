@@ -90,6 +90,20 @@ def test_harmonic_query_has_all_nodes_and_distances(spark, tmp_path):
     assert {n: (i, o) for n, i, o in con.sql(entry.oracle_sql()["harmonic"]).fetchall()} == h
 
 
+def test_betweenness_of_many_sources_at_once(spark):
+    """More than one part of nodes and block of sources, a hub, a long path, nodes without edges; and little memory."""
+    r = random.Random(11)
+    pairs = {(r.randrange(300), r.randrange(300)) for _ in range(700)} | {(i, 5000) for i in range(0, 5000, 3)} | {(5000, i) for i in range(1, 5000, 7)} | {(5200 + i, 5201 + i) for i in range(12)}
+    e = spark.createDataFrame([*sorted(pairs), (0, 1), (7, 7)], "src long, dst long")
+    nodes = spark.range(5400).withColumnRenamed("id", "node")
+    sources = spark.createDataFrame([(i,) for i in [*range(0, 300, 4), 5000, *range(5200, 5207), 5399]], "node long")
+    want = as_dict(paths.betweenness(e, paths.search(e, sources), 5400, 2.0), "node", "betweenness")
+    for lines in (1, 10**6):
+        got = as_dict(paths.passing(e, sources, nodes, 2.0, batch_lines=lines), "node", "betweenness")
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert paths.passing(e.where("false"), sources, nodes).collect() == paths.passing(e, sources, nodes.limit(2)).collect() == []
+
+
 def test_dominators(spark):
     dag = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)], "src long, dst long")
     n = as_dict(traverse.dominators(dag).groupBy("dominator").count(), "dominator", "count")
