@@ -138,6 +138,20 @@ def test_edges(spark):
     assert sorted((r["offset"], r["func"]) for r in edges.table_runs(slots).collect()) == [(0, 1), (8, 2), (16, 3)]
 
 
+def test_dispatched_pairs_are_not_shuffled(spark):
+    """As ``dedup_types`` of the union: pairs with other types, at several offsets, to oneself; and no exchange after the lists."""
+    r = random.Random(4)
+    refs = spark.createDataFrame([(r.randrange(30), r.randrange(60), r.choice([0, 3, 6])) for _ in range(150)], "src long, dst long, ref long")
+    calls = spark.createDataFrame([(r.randrange(30), 8 * r.randrange(6)) for _ in range(50)] + [(None, 8), (3, None)], "src long, offset long")
+    slots = spark.createDataFrame([(8 * r.randrange(5), r.randrange(60)) for _ in range(90)] + [(8, 999), (8, None)], "offset long, func long")
+    want = edges.dedup_types(refs.unionByName(edges.virtual_dispatch(calls, slots).withColumn("ref", F.lit(5).cast("long"))))
+    got = edges.dispatched(refs, calls, slots, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, edges.dispatched(refs, calls.where("false"), slots, 5).collect())) == sorted(map(tuple, edges.dedup_types(refs).collect()))
+    last = got._jdf.queryExecution().optimizedPlan().children().apply(1).toString().split("Join")[0]
+    assert "Generate explode" in last and "Aggregate" not in last
+
+
 def test_names(spark):
     raw = ["__imp__malloc_12", "j_operator new", "?x@@y", "main@@4", "", "face"]
     rows = spark.createDataFrame([(r,) for r in raw], "n string").select("n", names.canonical_runtime_name(F.col("n")).alias("c"), names.is_runtime_name(F.col("n")).alias("r")).collect()
